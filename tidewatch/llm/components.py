@@ -7,12 +7,25 @@ minima is passed through a bit inversion), so adaptive execution can split a ske
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.session import cut
 
 
+def merge(label: np.ndarray, row: int, cols: np.ndarray) -> np.ndarray:
+    """Labels after ``row`` and ``cols`` have become one component; a label is its component's smallest position."""
+    seen = np.unique(label[cols])
+    mine = label[row]
+    if len(seen) == 1 and seen[0] == mine:
+        return label
+    joined = np.append(seen, mine)
+    table = np.arange(len(label))
+    table[joined] = joined.min()
+    return table[label]
+
+
 def _with_min(pairs: DataFrame) -> DataFrame:
     """(u, v) -> (u, v, m): m is the smallest of u and its v."""
     low = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("k"), F.least("u", "m").alias("m"))

@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, line_dedup, mixing, simhash
+from tidewatch.llm import embeddings, exact_dedup, langid, line_dedup, mixing, pieces, simhash, token_store
+from tidewatch.llm.common import crc_mod
 from tidewatch.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+    return out.select("doc_id", "n_tokens", "score", "nbest_scores", "ids_crc32", "round_trip")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = crc_mod(F.col("doc_id"), 4)
+    model = langid.fit(docs.where(part != 2))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_store(table(spark, sf_dir, "documents"), token_store.store_path(spark))
+    return token_store.read_digests(spark, path)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,6 +81,26 @@ from t
 """
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id u, b.vec_id w from v a join v b
+  on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+r(vec_id, c) as (select vec_id, vec_id from embeddings union select r.vec_id, l.w from r join l on r.c = l.u),
+c as (select vec_id, min(c) component_id from r group by vec_id),
+n as (select u, count(*) n from l group by u)
+select c.vec_id, cast(coalesce(n.n, 0) as bigint) n_links, c.component_id, c.vec_id = c.component_id kept
+from c left join n on n.u = c.vec_id
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages are the documents, a page's site is its source."""
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
@@ -93,10 +131,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_language_id": op2_language_id,
+    "op3_token_store": op3_token_store,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import require, words_of
-from tidewatch.llm.components import connected_components
+from tidewatch.llm.components import connected_components, merge
 from tidewatch.session import cut, ship
 
 #: Words of a shingle, the hash seed and the link radius: fixed by the contract of the query.
@@ -96,20 +96,7 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> np
         near = np.bitwise_count(a[rows][:, None] ^ other[None, s:e]) <= radius
         for r in np.flatnonzero(near.any(axis=1)):
             cols = order[s:e][near[r]] + off
-            seen = np.unique(label[cols])
-            mine = label[rows[r]]
-            if len(seen) == 1 and seen[0] == mine:
-                continue
-            low = min(mine, seen[0])
-            merge = np.append(seen, mine)
-            if len(merge) <= 3:
-                for x in merge:
-                    if x != low:
-                        label[label == x] = low
-            else:
-                table = np.arange(len(both))
-                table[merge] = low
-                label = table[label]
+            label = merge(label, rows[r], cols)
     return label
 
 
