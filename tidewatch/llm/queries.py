@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import embeddings, exact_dedup, langid, line_dedup, mixing, pieces, simhash, token_store
+from tidewatch.llm import embeddings, exact_dedup, langid, line_dedup, mixing, pieces, quality, simhash, token_store
 from tidewatch.llm.common import crc_mod
 from tidewatch.session import table
 
@@ -31,6 +31,12 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), train=crc_mod(F.col("doc_id"), 3) != 1)
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -134,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op3_token_store": op3_token_store,
+    "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
