@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import embeddings, exact_dedup, langid, line_dedup, mixing, pieces, quality, simhash, token_store
+from tidewatch.llm import embeddings, exact_dedup, langid, language_model, line_dedup, mixing, pieces, quality, simhash, token_store
 from tidewatch.llm.common import crc_mod
 from tidewatch.session import table
 
@@ -136,6 +136,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 10) == 0
+    out = language_model.score_documents(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
@@ -146,6 +153,7 @@ QUERIES: dict[str, Query] = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
