@@ -62,8 +62,12 @@ def _salted(left: DataFrame, spread: Column, right: DataFrame, site_col: str) ->
     return left.join(right, on, "left").drop("__ld_salt", "__ld_salt_r", "__ld_site")
 
 
-def line_dedup(df: DataFrame, *, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """The rows of ``df`` with boilerplate lines gone from the text, and n_lines, n_dropped (both without blank lines) after its columns."""
+def line_dedup(df: DataFrame, *, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, spare_whole: bool = False) -> DataFrame:
+    """The rows of ``df`` with boilerplate lines gone from the text, and n_lines, n_dropped (both without blank lines) after its columns.
+
+    With ``spare_whole``, a page that consists of such lines alone keeps them: it is a page with many
+    copies, of which a later stage keeps one.
+    """
     if min_pages < 2:
         raise ValueError("min_pages: 2 at least")
     lists = cut(boilerplate(df, site_col=site_col, text_col=text_col, ratio=ratio, min_pages=min_pages).groupBy("site").agg(F.collect_list("line_key").alias("__ld_keys")))
@@ -77,6 +81,8 @@ def line_dedup(df: DataFrame, *, site_col: str = "source", text_col: str = "text
     solid = F.filter(lines, lambda x: F.trim(x) != "")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__ld_keys"), _key(x)))
     has = F.col("__ld_keys").isNotNull()
+    if spare_whole:
+        has = has & F.exists(solid, lambda x: ~F.array_contains(F.col("__ld_keys"), _key(x)))
     out = met.withColumn("__ld_lines", F.when(has, kept).otherwise(lines))
     return out.select(
         *[F.array_join("__ld_lines", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns],
