@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A pivot below this share of the variable's own variance counts as zero.
-TINY = 1e-10
+#: A pivot below this share of the variable's own variance, or of its raw second moment, counts as zero.
+TINY, NOISE = 1e-10, 1e-13
 
 
 def moment_names(k: int) -> list[str]:
@@ -49,12 +49,12 @@ def solve(df: DataFrame, k: int, keep: Sequence[str], coef: str = "b") -> DataFr
         return F.col(f"s_{a}_{b}") - F.col(f"s_{i}") * F.col(f"s_{j}") / n
 
     matrix = F.array(*[F.array(*[centred(i, j) for j in range(k + 1)]) for i in range(k)]).cast("array<array<double>>")
-    variances = F.array(*[centred(i, i) for i in range(k)])
-    df = df.select(*keep, "n", F.array(*[F.col(f"s_{i}") / n for i in range(k + 1)]).alias("__mean"), matrix.alias("__m"), variances.alias("__d"))
+    least = F.array(*[F.greatest(TINY * centred(i, i), NOISE * F.col(f"s_{i}_{i}")) for i in range(k)])
+    df = df.select(*keep, "n", F.array(*[F.col(f"s_{i}") / n for i in range(k + 1)]).alias("__mean"), matrix.alias("__m"), least.alias("__d"))
 
     def step(m: Column, p: Column) -> Column:
         at = F.get(F.get(m, p), p)
-        pivot = F.when(F.abs(at) > TINY * F.get(F.col("__d"), p), at)
+        pivot = F.when(F.abs(at) > F.get(F.col("__d"), p), at)
         row = F.transform(F.get(m, p), lambda x: x / pivot)
         return F.transform(m, lambda r, i: F.when(i == p, row).otherwise(F.zip_with(r, row, lambda x, y: x - F.get(r, p) * y)))
 
