@@ -1,8 +1,10 @@
 """Daily as-of panels: for each series and day, the newest value that could be seen on that day.
 
-The panel is long: (series, as_of_date, value, ref_period, age_days, is_new_release). It comes from one
-shuffle on the series: events are grouped, carried forward and expanded into days within it, so there
-is no join of days with events. Wide forms are made at the edge, by conditional aggregation.
+The panel is long: (series, as_of_date, value, ref_period, age_days, is_new_release). Observations are
+reduced to one event a day before they are shuffled, by series and day, so a series with a large share
+of all rows is spread; only events, a row a day at most, then meet by series, where they are carried
+forward and expanded into days. There is no join of days with events. Wide forms are made at the edge,
+by conditional aggregation.
 
 Semantics: events outside [start, end] play no part, so a panel begins with nulls until the first event
 inside (unless ``carry_in``); each column is carried forward on its own, so a null value under a newer
@@ -55,7 +57,7 @@ def daily_panel(cal: DataFrame, start: str, end: str, *, carry_in: bool = False,
     # What lies outside becomes an empty event on the first day, so that its series still has rows.
     keyed = cal.select("series", F.when(inside, at).otherwise(lo).alias("at"), inside.alias("real"), "value", "ref_period", "vintage_date")
     best = F.max_by(F.struct("value", "ref_period", "real"), F.struct("real", "ref_period", "vintage_date"))
-    events = keyed.repartition("series").groupBy("series", "at").agg(best.alias("x"))
+    events = keyed.groupBy("series", "at").agg(best.alias("x"))
     blank = ~F.col("x.real")
     events = events.select("series", "at", F.when(~blank, F.col("x.value")).alias("value"), F.when(~blank, F.col("x.ref_period")).alias("ref_period"), F.when(~blank, F.col("at")).alias("seen"))
     upto = Window.partitionBy("series").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
