@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tidewatch.__main__ import main
 from tidewatch.config import SeriesMeta
 from tidewatch.operators import evaluation
-from tidewatch.plans.queries import nowcaster
+from tidewatch.plans.queries import _exported
 from tidewatch.sources import http, observations, results
+from tidewatch.sources.fixtures import CONFIG, TARGET
 
 BODY = {"observations": [{"date": "2020-02-01", "value": "2.5", "realtime_start": "2020-03-15"}, {"date": "2020-01-01", "value": ".", "realtime_start": "2020-02-15"}, {"date": "2020-01-01", "value": "1.5", "realtime_start": "2020-02-16"}]}
 
@@ -109,13 +111,16 @@ def test_results(spark, tmp_path):
     assert results.find_root(tmp_path / "a" / "b") == tmp_path
 
 
-def test_run_to_files(spark, tmp_path):
-    n = nowcaster(spark, SMALL)
-    paths = n.save(str(tmp_path))
+def test_run_to_files(spark, tmp_path, capsys):
+    """The command line from CSV files to the comparison of all models."""
+    main(["run", "--config", str(CONFIG), "--data", _exported(spark, SMALL), "--target", TARGET, "--out", str(tmp_path), "--start", "1995-01-01", "--end", "2001-12-31", "--test-start", "1998-01-01", "--window-years", "3", "--min-quarters", "8"])
+    paths = dict(x.split(": ") for x in capsys.readouterr().out.splitlines() if ": " in x)
     assert {"ar_daily", "metrics_by_distance", "simple_predictions", "stage_overall", "nowcast", "model_compare"} <= set(paths)
-    table = results.read_csv_if_exists(spark, paths["model_compare"])
-    assert {r["model_name"] for r in table.collect()} == {"AR_p1_15y", "Bridge_simple_15y", "Bridge_stage_aware_15y"}
-    again = evaluation.evaluate_files(spark, paths["ar_daily"], f"{tmp_path}/again")
-    assert set(again) == {"metrics_overall", "metrics_by_distance", "metrics_by_time_slice"}
+    rows = results.read_csv_if_exists(spark, paths["model_compare"]).collect()
+    assert {r["model_name"] for r in rows} == {"AR_p1_15y", "Bridge_simple_15y", "Bridge_stage_aware_15y"}
+    main(["compare", f"{tmp_path}/eval"])
+    assert results.read_csv_if_exists(spark, paths["model_compare"]).count() == len(rows)
+    main(["evaluate", paths["ar_daily"], f"{tmp_path}/again"])
+    assert results.read_csv_if_exists(spark, f"{tmp_path}/again/metrics_overall.csv").count() == 1
     with pytest.raises(RuntimeError):
         evaluation.compare_files(spark, f"{tmp_path}/nothing")

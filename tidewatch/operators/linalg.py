@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import ship
+
 #: A pivot below this share of the variable's own variance, or of its raw second moment, counts as zero.
 TINY, NOISE = 1e-10, 1e-13
 
@@ -90,6 +92,7 @@ def least_norm(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
 
 def fit_groups(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, coef: str = "b") -> DataFrame:
     """keys, {coef}_0..k of each group's rows by ``least_norm``: the way for collinear features. A group is one training window."""
+    ship(rows.sparkSession)
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], *[f"{coef}_{i} double" for i in range(len(xs) + 1)]])
 

@@ -46,10 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if named:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(named)
         return named
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-ckpt-"))
     return sc.getCheckpointDir()

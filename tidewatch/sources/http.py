@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from tidewatch.config import SeriesMeta
+from tidewatch.session import ship
 from tidewatch.sources.observations import file_name, has_vintages
 
 BASE_URL = "https://api.stlouisfed.org/fred"
@@ -187,5 +188,7 @@ class ObservationSource(DataSource):
 
 
 def read_observations(spark: SparkSession, codes: list[str], source: type[ObservationSource] = ObservationSource, **options: str) -> DataFrame:
+    ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(source)
     return spark.read.format(source.name()).options(codes=",".join(codes), **options).load()
