@@ -35,6 +35,25 @@ def slices(texts: list, max_bytes: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+class Memory:
+    """A bounded dictionary of two generations: a full one becomes the old one, and what is met again moves on."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that neither generation has; those of the old one are taken over."""
+        if len(self.now) > self.size:
+            self.old, self.now = self.now, {}
+        new = keys.difference(self.now)
+        known = new.intersection(self.old) if self.old else ()
+        if known:
+            old = self.old
+            self.now.update([(k, old[k]) for k in known])
+            new.difference_update(known)
+        return new
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), so that low bits depend on all bits."""
     x = x ^ (x >> np.uint64(33))
