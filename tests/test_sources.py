@@ -1,6 +1,7 @@
 """Files, the HTTP client with a stub transport, the data source, and an end-to-end run over files."""
 
 import json
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -10,7 +11,7 @@ from tests.conftest import SMALL
 from tidewatch.__main__ import main
 from tidewatch.config import SeriesMeta
 from tidewatch.operators import evaluation
-from tidewatch.plans.queries import _exported
+from tidewatch.plans.queries import _exported, nowcaster
 from tidewatch.sources import http, observations, results
 from tidewatch.sources.fixtures import CONFIG, TARGET
 
@@ -124,3 +125,9 @@ def test_run_to_files(spark, tmp_path, capsys):
     assert results.read_csv_if_exists(spark, f"{tmp_path}/again/metrics_overall.csv").count() == 1
     with pytest.raises(RuntimeError):
         evaluation.compare_files(spark, f"{tmp_path}/nothing")
+
+
+def test_runs_without_rows_or_predictions_say_so(spark, tmp_path):
+    n = nowcaster(spark, SMALL)
+    with pytest.raises(ValueError, match="no rows"):
+        replace(n, rolling=replace(n.rolling, test_start="2010-01-01")).save(str(tmp_path))

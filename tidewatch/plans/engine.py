@@ -73,12 +73,18 @@ class Nowcaster:
             paths[name] = f"{out_dir}/{path}"
 
         ds = self.cached_dataset(f"{out_dir}/dataset.parquet", rebuild=True)
+        if ds.where(F.col("origin_date") >= F.lit(self.rolling.test_start).cast("date")).isEmpty():
+            raise ValueError(f"no rows on or after {self.rolling.test_start}")
         ar = self.ar_predictions()
+        if ar.isEmpty():
+            raise ValueError("no quarter to forecast")
         put("ar_daily", ar, "results/ar_daily_predictions.csv")
         paths |= evaluation.evaluate_to_files(ar, f"{out_dir}/eval/outputs/ar")
         for short, preds in (("simple", self.bridge_predictions(ds)), ("stage", self.stage_predictions(ds).drop("refit_date", "stage_model"))):
             preds = preds.persist()  # predictions, slices and the clean output read it
             try:
+                if preds.isEmpty():
+                    raise RuntimeError("no predictions: see eligible refits, min_train_rows and the dataset's coverage")
                 put(f"{short}_predictions", preds, f"results/{short}_bridge_predictions.csv")
                 slices = evaluation.slice_metrics(preds)
                 for kind in ("overall", "time_slice", "distance_bucket"):

@@ -46,8 +46,8 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parquet_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """The table at ``path``; it is built and written first if it does not exist or ``rebuild`` is set."""
+    """The table at ``path``; it is built and written first if it does not exist or ``rebuild`` is set. Dates that do not parse become null."""
     if rebuild or not path_exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     df = spark.read.parquet(path)
-    return df.withColumns({c: F.col(c).cast("date") for c in df.columns if c.endswith(("_date", "_ref_period"))})
+    return df.withColumns({c: F.col(c).try_cast("date") for c in df.columns if c.endswith(("_date", "_ref_period"))})
