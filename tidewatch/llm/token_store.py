@@ -22,9 +22,11 @@ text; an empty table gives an empty store; extra columns are not stored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import mix64, require, slices
+from tidewatch.llm.common import Memory, mix64, require, slices
 from tidewatch.session import checkpoint_dir, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunk lengths in ids: at least, aimed at (a power of two) and at most.
 CHUNK_MIN, CHUNK_AIM, CHUNK_MAX = 64, 256, 1024
-#: Words of a worker's encoding memory: about 100 MB.
-MEMORY_WORDS = 400_000
+#: Words and pieces of them that a worker remembers, in each of two generations: about 110 MB in all.
+MEMORY_WORDS, MEMORY_PIECES = 60_000, 150_000
 SLICE = 1_000_000
 
 _GEAR = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
@@ -49,40 +51,50 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """Whole texts to packed ids, each distinct word encoded once while it is remembered."""
+    """Whole texts to packed ids. Texts are split into words, words not met lately into the pre-tokenizer's
+    pieces, and only pieces not met lately are encoded.
+    """
 
     def __init__(self, tokenizer: str):
+        # Spark runs a worker for each core; the library's own threads would only wait for each other and hold memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
         # Words by whether a blank goes before them; None: white space at an end, so not to be cut here.
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
+        self.first, self.later, self.pieces = Memory(MEMORY_WORDS), Memory(MEMORY_WORDS), Memory(MEMORY_PIECES)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        out: list[bytes] = []
+        for i in range(0, len(texts), 4_000):
+            out += [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 4_000], add_special_tokens=False)]
+        return out
 
-    def _learn(self, memory: dict[str, bytes | None], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in memory]
-        if len(memory) + len(new) > MEMORY_WORDS:
-            memory.clear()
-            new = list(words)
+    def _learn(self, memory: Memory, words: set[str], lead: str) -> None:
+        new = memory.missing(words)
         good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        memory.update(dict.fromkeys(new))
-        for i in range(0, len(good), 50_000):
-            memory.update(zip(good[i : i + 50_000], self._ids([lead + w for w in good[i : i + 50_000]]), strict=True))
+        memory.now.update(dict.fromkeys(new))
+        find = self.find
+        split = [find(lead + w) for w in good]
+        fresh = list(self.pieces.missing(set().union(*split)))
+        self.pieces.now.update(zip(fresh, self._ids(fresh), strict=True))
+        ids = self.pieces.now
+        memory.now.update([(w, ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p])) for w, p in zip(good, split, strict=True)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         parts = [t.split(" ") if t else [] for t in texts]
         self._learn(self.first, {p[0] for p in parts if p}, "")
-        self._learn(self.later, {w for p in parts for w in p[1:]}, " ")
-        out, get = [], self.later.__getitem__
+        self._learn(self.later, set().union(*[p[1:] for p in parts]), " ")
+        out, first, get = [], self.first.now, self.later.now.__getitem__
         for t, p in zip(texts, parts, strict=True):
             try:
-                out.append(self.first[p[0]] + b"".join(map(get, p[1:])) if p else b"")
+                out.append(first[p[0]] + b"".join(map(get, p[1:])) if p else b"")
             except TypeError:  # a None: runs of white space in this text
                 head, *rest = _CUT.split(t)
                 out.append(b"".join(self._ids([head, *(" " + w for w in rest)])))
@@ -217,10 +229,10 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(df: DataFrame, path: str, **kw) -> str:
     """Write the documents of ``df`` as a store below ``path`` and return the path. The staged encoding is deleted again."""
     spark = df.sparkSession
-    encode_documents(df, **kw).write.parquet(f"{path}/staged")
+    encode_documents(df, **kw).write.option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.parquet(f"{path}/staged")
     chunks = staged.select(F.explode("chunks").alias("c")).select("c.digest", "c.n", "c.ids")
-    chunks.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.parquet(f"{path}/chunks")
+    chunks.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.select("doc_id", "n_tokens", "root", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("sizes"))
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(_number, "kind int, part int, row long, start long, doc_id long, n_tokens long, root binary, digests array<binary>, sizes array<int>").write.parquet(f"{path}/recipes")
