@@ -377,6 +377,21 @@ def test_language_model_awkward_rows(spark, awkward):
     assert language_model.score_documents(empty(spark), F.lit(True)).count() == 0
 
 
+def test_language_model_learns_from_every_training_document(spark, docs, tmp_path, monkeypatch):
+    m, dealt = language_model, []
+    monkeypatch.setattr(m, "deal", lambda *a, deal=m.deal: dealt.append((a[-1], deal(*a))) or dealt[-1][1])
+    training = docs.where("doc_id % 10 <> 0")
+    rows = [len(lower(r["text"]).split()) + 1 for r in training.collect()]
+    m.score_documents(docs, F.col("doc_id") % 10 != 0, part_chars=50_000, path=str(tmp_path)).count()
+    (parts, df), got = dealt[0], []
+    for r in df.collect():
+        got += [(r["part"], n) for n in np.frombuffer(r["lengths"], np.int64).tolist()]
+        assert len(m._unpack_ids(r["sym"])) == np.frombuffer(r["lengths"], np.int64).sum()
+    assert sorted(n for _, n in got) == sorted(rows) and len({p for p, _ in got}) > m.PARTS
+    sizes = [m.fit_sizes(x) for x in (1e6, 1e8, 1e9, 3e10)]
+    assert [g for g, _ in sizes] == [1, 1, 2, 4] and all(x <= p * g * m.PART_CHARS for (g, p), x in zip(sizes, (1e6, 1e8, 1e9, 3e10), strict=True))
+
+
 def test_probabilities_sum_to_one():
     m = language_model
     head = [(b"w%d" % k, 100 - k) for k in range(90)]

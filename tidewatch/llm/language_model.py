@@ -17,9 +17,9 @@ The jobs, whose parts are each bounded:
    words, and this is written to the shared folder.
 2. Words are dealt to buckets; each chunk sends a bucket its words and counts, and gets the sums over
    all training documents back.
-3. The weights start at the counts' logarithms and are fitted on a sample of the training documents,
-   at most about ``FIT_CHARS`` characters, chosen by hash. In each round every part of the sample makes
-   Adagrad steps from the shared weights, and the rows that changed are averaged.
+3. The weights start at the counts' logarithms and are fitted on all training documents, dealt by hash
+   to parts of bounded size whose number grows with the text. In each round every part makes Adagrad
+   steps from the shared weights, and the rows that changed are averaged by place.
 4. Chunks meet the sums of their words and score in numpy batches.
 
 Defined results: a null text is empty and has one token, its end; a null doc_id hashes as the empty
@@ -54,11 +54,13 @@ CLASSES = UNSEEN + 1
 #: Context symbols: head tokens, then the other classes, then what stands before a text.
 START = HEAD + CLASSES - HEAD_CLASSES
 SYMBOLS = START + 1
-#: Rows of the hashed weights of classes and of words: 14 MB in all.
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
+#: Rows of the hashed weights of classes and of words, at least: 14 MB in all. They grow with the fourth
+#: root of the text, up to ``GROWTH`` times as many: 55 MB, which each worker holds up to four times.
+CLASS_ROWS, WORD_ROWS, GROWTH = 1 << 14, 1 << 15, 4
 ALPHA = 0.1
 CHUNK = 6_000_000
-FIT_CHARS, PARTS, ROUNDS, BATCH, RATE = 16_000_000, 4, 2, 2_048, 0.15
+#: Characters of a part for the least tables (parts grow with the tables, as their changes do), and the least number of parts.
+PART_CHARS, PARTS, ROUNDS, BATCH, RATE = 16_000_000, 4, 2, 2_048, 0.15
 #: Entries that a bucket of words holds, about.
 BUCKET_WORDS = 500_000
 #: Tokens that are scored at a time.
@@ -93,12 +95,12 @@ def _mix(*parts: np.ndarray | int) -> np.ndarray:
     return h
 
 
-def features(before: list[np.ndarray], cls: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Rows of the class weights and, for tokens of head classes, rows of the word weights."""
+def features(before: list[np.ndarray], cls: np.ndarray, n_class: int = CLASS_ROWS, n_word: int = WORD_ROWS) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of the n_class class weights and, for tokens of head classes, rows of the n_word word weights."""
     one, two, three = before
     class_rows = [_mix(1, one), _mix(2, two), _mix(3, three), _mix(4, one, two)]
     word_rows = [_mix(5, one, cls), _mix(6, two, cls), _mix(7, three, cls)]
-    return [(r % np.uint64(CLASS_ROWS)).astype(np.int64) for r in class_rows], [(r % np.uint64(WORD_ROWS)).astype(np.int64) for r in word_rows]
+    return [(r % np.uint64(n_class)).astype(np.int64) for r in class_rows], [(r % np.uint64(n_word)).astype(np.int64) for r in word_rows]
 
 
 def contexts(sym: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -116,8 +118,8 @@ def contexts(sym: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
 class Weights(NamedTuple):
     class_bias: np.ndarray  # (CLASSES,)
     word_bias: np.ndarray  # (HEAD_CLASSES, WIDTH)
-    by_class: np.ndarray  # (CLASS_ROWS, CLASSES)
-    by_word: np.ndarray  # (WORD_ROWS, WIDTH)
+    by_class: np.ndarray  # (CLASS_ROWS or more, CLASSES)
+    by_word: np.ndarray  # (WORD_ROWS or more, WIDTH)
 
 
 def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -136,7 +138,7 @@ def log_probs(w: Weights, before: list[np.ndarray], cls: np.ndarray, sym: np.nda
     out = np.zeros(len(cls))
     for lo in range(0, len(cls), ROWS):
         c, s = cls[lo : lo + ROWS], sym[lo : lo + ROWS]
-        class_rows, word_rows = features([b[lo : lo + ROWS] for b in before], c)
+        class_rows, word_rows = features([b[lo : lo + ROWS] for b in before], c, len(w.by_class), len(w.by_word))
         out[lo : lo + ROWS] = _softmax(w.class_bias, w.by_class, class_rows)[np.arange(len(c)), c]
         head = np.flatnonzero(c < HEAD_CLASSES)
         inner = _softmax(w.word_bias[c[head]], w.by_word, [r[head] for r in word_rows])
@@ -144,37 +146,66 @@ def log_probs(w: Weights, before: list[np.ndarray], cls: np.ndarray, sym: np.nda
     return out
 
 
+def _errors(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray], true: np.ndarray) -> np.ndarray:
+    """The softmax's probabilities, less 1 at the true one of each line."""
+    x = np.take(table, rows[0], axis=0)
+    for r in rows[1:]:
+        x += np.take(table, r, axis=0)
+    x += bias
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), true] -= 1
+    return x
+
+
+def _sums(lines: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of lines that begin at starts; as np.add.reduceat, which is slow along this axis."""
+    n = np.diff(np.append(starts, len(lines)))
+    out = np.take(lines, starts, axis=0)
+    some = np.flatnonzero((n > 1) & (n < 8))
+    for k in range(1, 7):
+        out[some] += np.take(lines, starts[some] + k, axis=0)
+        some = some[n[some] > k + 1]
+    for i in np.flatnonzero(n >= 8).tolist():
+        out[i] = lines[starts[i] : starts[i] + n[i]].sum(axis=0)
+    return out
+
+
 def _step(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], error: np.ndarray) -> None:
     """One Adagrad step; rows: those that each line of error concerns, once for each feature."""
     at = np.concatenate(rows)
-    order = np.argsort(at, kind="stable")
-    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-    grad = np.add.reduceat(np.concatenate([error] * len(rows))[order], starts, axis=0)
-    row = at[order][starts]
-    seen[row] += grad * grad
-    table[row] -= RATE * grad / np.sqrt(seen[row])
-
-
-def fit_part(w: Weights, docs: list[tuple[np.ndarray, np.ndarray]], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """docs: (classes, symbols) of each text -> the rows that changed and their changes, of both tables."""
+    order = np.argsort(at.astype(np.uint16) if len(table) <= 1 << 16 else at, kind="stable")
+    at = at[order]
+    starts = np.flatnonzero(np.diff(at, prepend=-1))
+    grad = _sums(np.take(error, order % len(error), axis=0), starts)
+    row = at[starts]
+    total = np.take(seen, row, axis=0)
+    total += grad * grad
+    seen[row] = total
+    grad *= RATE
+    grad /= np.sqrt(total, out=total)
+    table[row] = np.take(table, row, axis=0) - grad
+
+
+def fit_part(w: Weights, docs: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """docs: the symbols of each text -> the rows that changed and their changes, of both tables."""
     by_class, by_word = w.by_class.copy(), w.by_word.copy()
     seen_class, seen_word = np.full(by_class.shape, 1.0, np.float32), np.full(by_word.shape, 1.0, np.float32)
-    cls, sym = np.concatenate([c for c, _ in docs]), np.concatenate([s for _, s in docs])
-    before = contexts(sym, np.array([len(c) for c, _ in docs]))
-    order = np.random.default_rng(seed).permutation(-(-len(cls) // BATCH))
+    gap = np.full(3, START, np.uint16)
+    stream = np.concatenate([x for d in docs for x in (gap, d)])  # three STARTs before each text
+    own = np.flatnonzero(stream != START)
+    order = np.random.default_rng(seed).permutation(-(-len(own) // BATCH))
     for k in order:
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        c, s = cls[part], sym[part]
-        class_rows, word_rows = features([b[part] for b in before], c)
-        p = np.exp(_softmax(w.class_bias, by_class, class_rows))
-        p[np.arange(len(c)), c] -= 1
-        _step(by_class, seen_class, class_rows, p)
+        at = own[k * BATCH : (k + 1) * BATCH]
+        s = stream[at].astype(np.int64)
+        c = np.where(s < HEAD, s // WIDTH, s - HEAD + HEAD_CLASSES)
+        class_rows, word_rows = features([stream[at - n] for n in (1, 2, 3)], c, len(by_class), len(by_word))
+        _step(by_class, seen_class, class_rows, _errors(w.class_bias, by_class, class_rows, c))
         head = np.flatnonzero(c < HEAD_CLASSES)
         if len(head):
             rows = [r[head] for r in word_rows]
-            p = np.exp(_softmax(w.word_bias[c[head]], by_word, rows))
-            p[np.arange(len(head)), s[head] % WIDTH] -= 1
-            _step(by_word, seen_word, rows, p)
+            _step(by_word, seen_word, rows, _errors(w.word_bias[c[head]], by_word, rows, s[head] % WIDTH))
     a, b = np.flatnonzero((seen_class > 1).any(axis=1)), np.flatnonzero((seen_word > 1).any(axis=1))
     return a, by_class[a] - w.by_class[a], b, by_word[b] - w.by_word[b]
 
@@ -356,65 +387,85 @@ def _unpack(left: pa.Table, right: pa.Table, buckets: int) -> Iterator[tuple[dic
 
 def _part_fitter(shared, seed: int):
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "sym"])
-        docs = [(np.frombuffer(c, np.uint8).astype(np.int64), np.frombuffer(s, np.uint16).astype(np.int64)) for c, s in zip(pdf["cls"], pdf["sym"], strict=True)]
-        a, da, b, db = fit_part(shared.value, docs, seed)
-        return pd.DataFrame({"part": int(pdf["part"].iloc[0]), "place": np.concatenate([a, CLASS_ROWS + b]), "change": [x.astype(np.float16).tobytes() for x in da] + [x.astype(np.float16).tobytes() for x in db]})
+        docs = []
+        for keys, lengths, sym in zip(pdf["keys"], pdf["lengths"], pdf["sym"], strict=True):
+            ends = np.cumsum(np.frombuffer(lengths, np.int64))
+            docs += zip(np.frombuffer(keys, np.uint32).tolist(), np.split(_unpack_ids(sym).astype(np.uint16), ends[:-1]), strict=True)
+        docs.sort(key=lambda d: (d[0], d[1].tobytes()))
+        a, da, b, db = fit_part(shared.value, [d for _, d in docs], seed)
+        return pd.DataFrame({"part": int(pdf["part"].iloc[0]), "place": np.concatenate([a, len(shared.value.by_class) + b]), "change": [x.astype(np.float16).tobytes() for x in da] + [x.astype(np.float16).tobytes() for x in db]})
 
     return part
 
 
-def _average(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Changes of each place, averaged over the parts that made any."""
-    pdf, out = pdf.sort_values(["place", "part"]), []
-    for g in (pdf[pdf["place"] < CLASS_ROWS], pdf[pdf["place"] >= CLASS_ROWS]):
-        if len(g):
-            place = g["place"].to_numpy()
-            starts = np.flatnonzero(np.diff(place, prepend=-1))
-            x = np.add.reduceat(np.frombuffer(b"".join(g["change"]), np.float16).astype(np.float32).reshape(len(g), -1), starts, axis=0)
-            x /= np.diff(np.append(starts, len(g)))[:, None]
-            out.append(pd.DataFrame({"place": place[starts], "change": [r.tobytes() for r in x]}))
-    return pd.concat(out)
+def _averager(n_class: int):
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Changes of each place, averaged over the parts that made any."""
+        pdf, out = pdf.sort_values(["place", "part"]), []
+        for g in (pdf[pdf["place"] < n_class], pdf[pdf["place"] >= n_class]):
+            if len(g):
+                place = g["place"].to_numpy()
+                starts = np.flatnonzero(np.diff(place, prepend=-1))
+                x = np.add.reduceat(np.frombuffer(b"".join(g["change"]), np.float16).astype(np.float32).reshape(len(g), -1), starts, axis=0)
+                x /= np.diff(np.append(starts, len(g)))[:, None]
+                out.append(pd.DataFrame({"place": place[starts], "change": [r.tobytes() for r in x]}))
+        return pd.concat(out)
 
+    return average
 
-def fit(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary, share: float) -> Weights:
-    """Weights fitted on about ``share`` of the training documents."""
-    spark = chunks.sparkSession
-    known = spark.sparkContext.broadcast(vocab)
-    limit = int(share * (1 << 20))
+
+def fit_sizes(chars: float, part_chars: int = PART_CHARS) -> tuple[int, int]:
+    """How many times the least tables the tables of a training text are, and its parts."""
+    growth = min(GROWTH, 1 << int(np.log2(max(1.0, chars / part_chars))) // 4)
+    return growth, max(PARTS, -int(-chars // (growth * part_chars)))
+
+
+def deal(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary, parts: int) -> DataFrame:
+    """(part, keys, lengths, sym): the symbols of all training documents, those of a chunk and a part in one row."""
+    known = chunks.sparkSession.sparkContext.broadcast(vocab)
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for x, words, c in _unpack(left, right, buckets):
-            cls, sym = known.value.classify(words, c, True)
-            ids = x["ids"]
+            sym, dealt = known.value.classify(words, c, True)[1].astype(np.uint16), {}
             for doc_id, trains, n, end in zip(x["doc_ids"], x["training"], x["lengths"].tolist(), np.cumsum(x["lengths"]).tolist(), strict=True):
-                key = zlib.crc32(str(doc_id).encode() + b"fit")
-                if trains and key >> 12 < limit:
-                    own = ids[end - n : end]
-                    out.append({"part": key % PARTS, "doc_id": doc_id, "cls": cls[own].astype(np.uint8).tobytes(), "sym": sym[own].astype(np.uint16).tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.binary()), ("sym", pa.binary())]))
+                if trains:
+                    own = sym[x["ids"][end - n : end]]
+                    key = zlib.crc32(own.tobytes(), zlib.crc32(f"{doc_id}fit".encode()))
+                    dealt.setdefault(key % parts, []).append((key, own))
+            for part, docs in dealt.items():
+                out.append({"part": part, "keys": np.array([k for k, _ in docs], np.uint32).tobytes(), "lengths": np.array([len(d) for _, d in docs], np.int64).tobytes(), "sym": _pack(np.concatenate([d for _, d in docs]))})
+        return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary()), ("sym", pa.binary())]))
 
-    sample = cut(_with_counts(chunks, counted).applyInArrow(encode, "part int, doc_id long, cls binary, sym binary"))
-    weights = vocab.start
+    return _with_counts(chunks, counted).applyInArrow(encode, "part int, keys binary, lengths binary, sym binary")
+
+
+def fit(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary, part_chars: int) -> Weights:
+    """Weights fitted on all training documents."""
+    spark = chunks.sparkSession
+    growth, parts = fit_sizes(6.0 * vocab.tokens, part_chars)  # a training token is about six characters
+    n_class = growth * CLASS_ROWS
+    dealt = cut(deal(chunks, counted, buckets, vocab, parts))
+    weights = vocab.start._replace(by_class=np.zeros((n_class, CLASSES), np.float32), by_word=np.zeros((growth * WORD_ROWS, WIDTH), np.float32))
     for k in range(ROUNDS):
         part = _part_fitter(spark.sparkContext.broadcast(weights), k)
 
-        changes = sample.groupBy("part").applyInPandas(part, "part int, place long, change binary")
-        changes = changes.groupBy((F.col("place") % 64).alias("block")).applyInPandas(_average, "place long, change binary")
+        changes = dealt.groupBy("part").applyInPandas(part, "part int, place long, change binary")
+        blocks = 64 * growth * max(1, parts // 8)
+        changes = changes.groupBy((F.col("place") % blocks).alias("block")).applyInPandas(_averager(n_class), "place long, change binary")
         by_class, by_word = weights.by_class.copy(), weights.by_word.copy()
-        for r in changes.toLocalIterator():  # CLASS_ROWS + WORD_ROWS rows at most, whatever the corpus
+        for r in changes.toLocalIterator():  # a row for each row of the tables at most
             x = np.frombuffer(r["change"], np.float32)
-            if r["place"] < CLASS_ROWS:
+            if r["place"] < n_class:
                 by_class[r["place"]] += x
             else:
-                by_word[r["place"] - CLASS_ROWS] += x
+                by_word[r["place"] - n_class] += x
         weights = weights._replace(by_class=by_class, by_word=by_word)
     return weights
 
 
 def _scored(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary, weights: Weights) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast((vocab, weights))  # HEAD words and 14 MB
+    shared = chunks.sparkSession.sparkContext.broadcast((vocab, weights))  # HEAD words and 14 to 55 MB
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         known, w = shared.value
@@ -438,7 +489,7 @@ def lm_path(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/language-model-{uuid.uuid4().hex}"
 
 
-def score_documents(df: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", fit_chars: int = FIT_CHARS, path: str | None = None) -> DataFrame:
+def score_documents(df: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", part_chars: int = PART_CHARS, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``training`` says which ones are learned from."""
     require(df, id_col, text_col)
     spark = df.sparkSession
@@ -451,6 +502,5 @@ def score_documents(df: DataFrame, training: Column, *, id_col: str = "doc_id",
     vocab = vocabulary(counted)
     weights = vocab.start
     if vocab.tokens:
-        # A training token is about six characters.
-        weights = fit(chunks, counted, buckets, vocab, min(1.0, fit_chars / (6 * vocab.tokens)))
+        weights = fit(chunks, counted, buckets, vocab, part_chars)
     return _scored(chunks, counted, buckets, vocab, weights)
