@@ -1,8 +1,10 @@
 """The corpus operators against brute force, with awkward rows: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import heapq
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -111,6 +113,36 @@ def test_segmentations_are_the_best_of_all(text):
     assert [valid[x] for x in full] == pytest.approx(scores)
 
 
+def test_search_holds_a_long_part():
+    lat = pieces.lattice(pieces.MODEL)
+    text = "".join(np.random.default_rng(3).choice(list("abcdefghij0123456789"), 100_000))
+    tracemalloc.start()
+    try:
+        found = lat.search(pieces.BLANK + text, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1e9 and [s for s, _ in found] == sorted([s for s, _ in found], reverse=True)
+    assert len({ids for _, ids in found}) == 4 and all(lat.decode(ids) == text for _, ids in found)
+
+
+def test_ties_of_the_search():
+    """The tuples of starts that the order is defined by, on parts with many equal scores."""
+    lat = pieces.lattice(pieces.MODEL)
+    for part in ("aaaaaaaaaaaa", "ababababab", "\u4e2d\u6587\u4e2d\u6587", "00000000"):
+        best, _, edges = lat._lattice(pieces.BLANK + part)
+        heap, want = [(-best[-1], (), len(part) + 1, 0.0, b"")], []
+        while heap and len(want) < 6:
+            _, starts, pos, done, ids = heapq.heappop(heap)
+            if pos == 0:
+                want.append((done, ids))
+                continue
+            for i, j, s, packed in edges:
+                if j == pos:
+                    heapq.heappush(heap, (-(best[i] + s + done), (*starts, i), i, done + s, packed + ids))
+        assert lat.search(pieces.BLANK + part, 6) == want
+
+
 def test_sentencepiece(spark, awkward):
     rows = pieces.encode(awkward, best=True).collect()
     assert len(rows) == len(AWKWARD)

@@ -48,6 +48,32 @@ NEVER = float("-inf")
 _PART = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
+class _Path:
+    """The end of a segmentation: where it starts, its score, its first piece and, linked, the path behind it. Of constant size."""
+
+    __slots__ = ("cost", "pos", "done", "packed", "tail", "depth")
+
+    def __init__(self, cost: float, pos: int, done: float, packed: bytes, tail: _Path | None):
+        self.cost, self.pos, self.done, self.packed, self.tail = cost, pos, done, packed, tail
+        self.depth: int = tail.depth + 1 if tail else 0
+
+    def __lt__(self, other: _Path) -> bool:
+        """By cost; then by the starts of the pieces, from the last piece on, a path before those that continue it."""
+        if self.cost != other.cost:
+            return self.cost < other.cost
+        a, b, shorter = self, other, self.depth < other.depth
+        while a.depth > b.depth:
+            a = a.tail
+        while b.depth > a.depth:
+            b = b.tail
+        first = None
+        while a is not b:  # up to where both came from: the pieces compared last are the first that differ
+            if a.pos != b.pos:
+                first = a.pos < b.pos
+            a, b = a.tail, b.tail
+        return shorter if first is None else first
+
+
 class Lattice:
     """The pieces of a model, and the segmentations of texts by them."""
 
@@ -145,19 +171,19 @@ class Lattice:
         into: list[list] = [[] for _ in range(len(part) + 1)]
         for e in edges:
             into[e[1]].append(e)
-        heap: list[tuple[float, tuple[int, ...], int, float, tuple]] = [(-best[-1], (), len(part), 0.0, ())]
+        heap = [_Path(-best[-1], len(part), 0.0, b"", None)]
         out: list[tuple[float, bytes]] = []
         while heap and len(out) < n_best:
-            _, starts, pos, done, tail = heapq.heappop(heap)
-            if pos == 0:
-                ids = []
-                while tail:
-                    ids.append(tail[0])
-                    tail = tail[1]
-                out.append((done, b"".join(ids)))
+            path = heapq.heappop(heap)
+            if path.pos == 0:
+                ids, at = [], path
+                while at.tail:
+                    ids.append(at.packed)
+                    at = at.tail
+                out.append((path.done, b"".join(ids)))
                 continue
-            for i, _, s, packed in into[pos]:
-                heapq.heappush(heap, (-(best[i] + s + done), (*starts, i), i, done + s, (packed, tail)))
+            for i, _, s, packed in into[path.pos]:
+                heapq.heappush(heap, _Path(-(best[i] + s + path.done), i, path.done + s, packed, path))
         return out
 
     def _remember(self, parts: set[str]) -> None:
