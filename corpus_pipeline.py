@@ -40,9 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the scores of its best segmentations."""
-    out = pieces.encode(docs.select("doc_id", "source", "lang", "text"), ids=False, best=True)
-    return out.select("doc_id", "source", "lang", "n_tokens", "ids", "score", "nbest_scores", "ids_crc32", "round_trip")
+    """Token ids of each document, and its best segmentations with their scores."""
+    out = pieces.encode(docs.select("doc_id", "source", "lang", "text"), best=True)
+    return out.select("doc_id", "source", "lang", "n_tokens", "ids", "score", "nbest_scores", "nbest", "ids_crc32", "round_trip")
 
 
 STAGES = [

@@ -155,6 +155,19 @@ def test_sentencepiece(spark, awkward):
     assert pieces.encode(empty(spark)).count() == 0
 
 
+def test_query_and_stage_return_every_segmentation(spark, docs):
+    import corpus_pipeline
+
+    lat = pieces.lattice(pieces.MODEL)
+    some = docs.orderBy("doc_id").limit(20)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for out in (queries.op1_sentencepiece(spark, SMALL), corpus_pipeline.encode(spark, some, SMALL)):
+        for r in out.collect():
+            packed = [np.array(x, "<u4").tobytes() for x in r["nbest"]]
+            assert len(packed) == len(r["nbest_scores"]) == len(set(packed)) and zlib.crc32(packed[0]) == r["ids_crc32"]
+            assert all(lat.decode(x) == (texts[r["doc_id"]] or "").replace(pieces.BLANK, " ") for x in packed)
+
+
 # -- 2 ------------------------------------------------------------------------------------------------
 
 

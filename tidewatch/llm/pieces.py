@@ -243,6 +243,14 @@ def lattice(model: str) -> Lattice:
     return _LATTICES.get(model) or _LATTICES.setdefault(model, Lattice(model))
 
 
+def _offsets(lengths: list[int]) -> pa.Array:
+    return pa.array(np.cumsum([0, *lengths]), pa.int32())
+
+
+def _id_lists(packed: list[bytes]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(_offsets([len(w) // 4 for w in packed]), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, n_best: int = N_BEST, ids: bool = True, best: bool = False, memory_parts: int = MEMORY_PARTS) -> DataFrame:
     """The rows of ``df`` with
 
@@ -276,14 +284,14 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, n_best:
                     crc.append(zlib.crc32(packed))
                     same.append(lat.decode(packed) == (t or "").replace(BLANK, " "))
                     if ids:
-                        every.append([np.frombuffer(w, "<i4") for w in full])
+                        every.append(full)
                     if best:
-                        first.append(np.frombuffer(packed, "<i4"))
+                        first.append(packed)
                 cols = [pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
                 if ids:
-                    cols.append(pa.array(every, pa.list_(pa.list_(pa.int32()))))
+                    cols.append(pa.ListArray.from_arrays(_offsets([len(x) for x in every]), _id_lists([w for x in every for w in x])))
                 if best:
-                    cols.append(pa.array(first, pa.list_(pa.int32())))
+                    cols.append(_id_lists(first))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), *cols], names=[*b.schema.names, *(f.name for f in fields)])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))

@@ -15,8 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False, memory_parts=400_000)
-    return out.select("doc_id", "n_tokens", "score", "nbest_scores", "ids_crc32", "round_trip")
+    out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), memory_parts=400_000)
+    return out.select("doc_id", "n_tokens", "score", "nbest_scores", "nbest", "ids_crc32", "round_trip")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
