@@ -383,6 +383,16 @@ def test_simhash(spark, docs, awkward):
     assert simhash.simhash_groups(empty(spark)).count() == 0
 
 
+def test_simhash_takes_shingle_size_and_radius(spark):
+    a, b = "a b c d e f g h i j", "a b c d e f g h i k"
+    apart = (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count()
+    df = frame(spark, [(1, a, "en", "a"), (2, b, "en", "a")])
+    for radius in (apart - 1, apart):
+        got = {r["doc_id"]: r for r in simhash.simhash_groups(df, shingle=5, radius=radius).collect()}
+        assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == {1: simhash.fingerprint(a, 5), 2: simhash.fingerprint(b, 5)}
+        assert got[2]["component_id"] == (1 if radius == apart else 2)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, 5000 + k) for k in range(1, 50)]

@@ -7,6 +7,8 @@ compared, with numpy exclusive-or and bit counts. Inside a tile the same bound i
 of the high halves. A tile returns a spanning forest of its links, never all pairs, and the forests are
 joined by distributed connected components.
 
+Within 3 bits are about a third of the pairs of texts whose 5-word shingles are 0.8 or more alike (README).
+
 Defined results: a null or wordless text has fingerprint zero, which links like any other; a text of
 fewer than three words has one shingle, all its words; rows that repeat a doc_id get the same
 component; a null doc_id belongs to the group of its fingerprint but never names it; extra columns play
@@ -52,15 +54,15 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
     return out
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long): the fingerprint's 64 bits as a signed long."""
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id long, fp long): the fingerprint's 64 bits, of shingles of so many words, as a signed long."""
     require(df, id_col, text_col)
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
-            fp = np.fromiter((fingerprint(texts[i].as_py()) for i in range(len(texts))), np.uint64, len(texts))
+            fp = np.fromiter((fingerprint(texts[i].as_py(), shingle) for i in range(len(texts))), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -141,9 +143,9 @@ def near_edges(distinct: DataFrame, *, radius: int = RADIUS, block_min: int = BL
     return dealt.groupBy("a", "b").applyInPandas(compare, "u long, v long")
 
 
-def simhash_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block_min: int = BLOCK_MIN) -> DataFrame:
+def simhash_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block_min: int = BLOCK_MIN) -> DataFrame:
     """(doc_id, fp long, fingerprint hex, component_id): component_id is the smallest doc_id reachable by links."""
-    fps = cut(fingerprints(df, id_col=id_col, text_col=text_col))
+    fps = cut(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = connected_components(near_edges(distinct, radius=radius, block_min=block_min))
     named = cut(distinct.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
