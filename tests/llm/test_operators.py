@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -220,6 +221,40 @@ def test_tokens_of_whole_table(spark, docs):
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == [w[:4] for w in want]
 
 
+def test_tokens_are_those_of_the_plain_call(spark, tmp_path):
+    """Texts in which units are hard to find, special strings among them, against the library without any setting."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(4)
+    parts = [*"abXé'  \n\n\t.,3Ж中\u0085\u180e\u3000×ß", "'s", "'ll", "<|endoftext|>", "\r\n", "\x1c", "…", "“", "\u2028", "don't", "''s", "x" * 30]
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 40, 600)] + ["a <|endoftext|> b", None, ""]
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_store.read_documents(spark, token_store.write_store(df, f"{tmp_path}/store")).collect()
+    assert [r["ids"] for r in sorted(got)] == want and [64, 220, 50256, 275, 0] in want
+    for size in (3, 10_000):  # a memory that is too small for a slice
+        enc = token_store.Encoder(token_store.TOKENIZER, size)
+        for _ in range(2):
+            counts, ids = enc.encode(pa.array(texts, pa.string()))
+            assert [x.tolist() + [0] for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_a_store_of_four_byte_ids(spark, awkward, tmp_path, monkeypatch):
+    want = {(w[1], tuple(w[4])): w[3] for w in reference_ids(sub(AWKWARD))}
+    enc = token_store.Encoder(token_store.TOKENIZER)
+    enc.kind, enc.memory = np.dtype("<u4"), token_store.UnitMemory(50_000, np.dtype("<u4"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in AWKWARD]), "text": [r[1] for r in AWKWARD]})
+    monkeypatch.setitem(token_store._ENCODERS, "wide", enc)
+    staged = [x for b in token_store.encode_batches("wide", 0)(iter([batch])) for x in b.to_pylist()]
+    df = spark.createDataFrame([(r["doc_id"], r["n_tokens"], r["root"], r["chunks"]) for r in staged], token_store.STAGED)
+    path = token_store.store_staged(df, f"{tmp_path}/store")
+    assert all(len(r["ids"]) == 4 * r["n"] for r in spark.read.parquet(f"{path}/chunks").collect())
+    assert {(r["start"], tuple(r["ids"])) for r in token_store.read_documents(spark, path).collect()} == set(want)
+    assert all(r["verified"] for r in token_store.read_digests(spark, path).collect())
+    assert sorted(r["ids_crc32"] for r in token_store.read_digests(spark, path).collect()) == sorted(w[3] for w in reference_ids(sub(AWKWARD)))
+
+
 def test_a_damaged_chunk_is_found(spark, awkward, tmp_path):
     path = token_store.write_store(awkward, f"{tmp_path}/store")
     chunks = spark.read.parquet(f"{path}/chunks")

@@ -22,17 +22,21 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def slices(texts: list, max_bytes: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``max_bytes`` characters each, one row at least: bounds the scratch memory of a batch."""
+def spans(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``, one row at least: bounds the scratch memory of a batch."""
     lo, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > lo and size + n > max_bytes:
+    for i, n in enumerate(sizes):
+        if i > lo and size + n > most:
             yield lo, i
             lo, size = i, 0
         size += n
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def slices(texts: list, max_bytes: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``max_bytes`` characters each."""
+    return spans([len(t) if t else 0 for t in texts], max_bytes)
 
 
 class Memory:

@@ -5,7 +5,7 @@ chunks wherever its top bits are zero, so equal passages give equal chunks where
 store has two tables of Parquet files:
 
 ``chunks``   digest (sha256 of the packed ids), n, ids (little-endian, 2 bytes an id if the vocabulary
-             allows, else 4): each distinct chunk once.
+             allows, else 4, as their length tells): each distinct chunk once.
 ``recipes``  in ascending doc_id order over the files: kind 0 = a document (doc_id, part, row, start in
              the part, n_tokens, the digests of its chunks, their Merkle root); kind 1 = the manifest at
              the end of each part (documents, ids, Merkle root of the documents' roots).
@@ -15,8 +15,8 @@ every recipe against its Merkle root, and combines chunk checksums along the rec
 shuffled again for a checksum.
 
 Defined results: a null text is empty (one end id); rows that repeat a doc_id are documents of their own,
-next to each other; a null doc_id comes first; texts with the tokenizer's special strings are ordinary
-text; an empty table gives an empty store; extra columns are not stored.
+next to each other; a null doc_id comes first; the tokenizer's special strings in a text
+have their own ids, as in the library's plain call; an empty table gives an empty store; extra columns are not stored.
 """
 
 from __future__ import annotations
@@ -26,91 +26,242 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memory, mix64, require, slices
+from tidewatch.llm.common import mix64, require, spans
 from tidewatch.session import checkpoint_dir, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunk lengths in ids: at least, aimed at (a power of two) and at most.
 CHUNK_MIN, CHUNK_AIM, CHUNK_MAX = 64, 256, 1024
-#: Words and pieces of them that a worker remembers, in each of two generations: about 110 MB in all.
-MEMORY_WORDS, MEMORY_PIECES = 60_000, 150_000
-SLICE = 1_000_000
+#: Units of texts that a worker remembers before it starts anew: about 60 bytes each. Bytes of texts looked at together.
+MEMORY_UNITS, SLICE = 1_500_000, 1_000_000
+#: Longest units, in bytes, that are remembered; of a word that has more, the same.
+UNIT_BYTES = 24
 
 _GEAR = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
-#: A blank between two characters that are no white space. No token of a byte-level BPE with this
-#: pre-tokenizer's pattern spans it, since white space only leads a token.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_LETTER, _SIGN, _WHITE, _OTHER = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)  # control characters stay 0, as what may be white space does
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _SIGN
+_KIND[48:58] = _KIND[0x80:] = _OTHER
+_KIND[[32, *range(9, 14)]] = _WHITE
+#: Units that may stand on lines of their own in one call: no white space but a first blank, no character that may be some.
+_PLAIN = re.compile(rb" ?(?:[!-~]|[\xc3-\xc8][\x80-\xbf])+").fullmatch
+
+
+def unit_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the units of UTF-8 texts, which follow each other in ``raw`` from ``texts`` on, begin.
+
+    A unit has the same tokens alone as in its text. The pre-tokenizer's pattern takes a run of letters,
+    of digits or of signs with a blank before it, an apostrophe with the letters of a contraction, or white
+    space up to the last one before a word. So a token always ends where white space follows anything
+    else, after a single line feed, between a letter and an ASCII sign, and between an ASCII sign other
+    than the apostrophe and a letter. Letters here are those of ASCII and U+00C0 to U+023F; next to a
+    character that may be white space there are no units. So cuts may be missing, but none is wrong.
+    """
+    kind = _KIND[raw]
+    high = np.flatnonzero(raw >= 0xC2)  # first bytes of characters beyond ASCII
+    high = high[high + 1 < len(raw)]
+    lead, second = raw[high], raw[high + 1]
+    letters = high[(lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((second == 0x97) | (second == 0xB7)))]
+    kind[letters] = kind[letters + 1] = _LETTER
+    kind[high[(lead == 0xC2) & ((second == 0x85) | (second == 0xA0))] + 1] = 0
+    three = high[(lead >= 0xE1) & (lead <= 0xE3) & (high + 2 < len(raw))]
+    lead, second, third = raw[three], raw[three + 1], raw[three + 2]
+    spaces = (second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)) | (second == 0x81) & (third == 0x9F)
+    kind[three[(lead == 0xE1) & ((second == 0x9A) | (second == 0xA0)) | (lead == 0xE2) & spaces | (lead == 0xE3) & (second == 0x80)] + 2] = 0
+    cut = np.zeros(len(raw), bool)
+    cut[texts] = True
+    before, letter, sign = kind[:-1], kind == _LETTER, kind == _SIGN
+    cut[1:] |= (before != _WHITE) & (before != 0) & (kind[1:] == _WHITE)
+    cut[1:] |= (raw[:-1] == 10) & cut[:-1] & (letter | sign)[1:]
+    cut[1:] |= letter[:-1] & sign[1:] | sign[:-1] & (raw[:-1] != 39) & letter[1:]
+    return np.flatnonzero(cut)
+
+
+class UnitMemory:
+    """Ids of units by their bytes: a bounded hash table of arrays, with a whole slice looked up or entered at a time."""
+
+    def __init__(self, size: int, kind: np.dtype):
+        self.size, self.n, self.used = size, 0, 0
+        self.bits = max(10, (2 * size - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.empty((4, size), np.uint64)  # three words of eight bytes, and the length
+        self.at, self.count = np.empty(size, np.int64), np.empty(size, np.int32)
+        self.ids = np.empty(4 * size, kind)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = mix64(keys[0] + np.uint64(0x9E3779B97F4A7C15) * keys[3])
+        h = mix64(h ^ keys[1])
+        return (mix64(h + keys[2]) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each column of keys, -1 if there is none."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        left, slot, last = np.arange(keys.shape[1]), self._slot(keys), len(self.slots) - 1
+        while len(left):
+            e = self.slots[slot]
+            some = e >= 0
+            left, slot, e = left[some], slot[some], e[some]
+            same = self.keys[0, e] == keys[0, left]
+            for k in (1, 2, 3):
+                same &= self.keys[k, e] == keys[k, left]
+            out[left[same]] = e[same]
+            left, slot = left[~same], (slot[~same] + 1) & last
+        return out
+
+    def forget(self) -> None:
+        self.n = self.used = 0
+        self.slots.fill(-1)
+
+    def lay(self, ids: np.ndarray) -> None:
+        """Ids behind those in use."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(ids), len(self.ids)), self.ids.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+
+    def enter(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Units that are not there yet, with ``count`` ids each."""
+        m = len(count)
+        self.lay(ids)
+        new = np.arange(self.n, self.n + m)
+        self.keys[:, new], self.count[new] = keys, count
+        self.at[new] = self.used + np.cumsum(count) - count
+        self.n, self.used = self.n + m, self.used + len(ids)
+        slot, last = self._slot(keys), len(self.slots) - 1
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            left = self.slots[slot] != new
+            new, slot = new[left], (slot[left] + 1) & last
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``counts`` of them, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """Whole texts to packed ids. Texts are split into words, words not met lately into the pre-tokenizer's
-    pieces, and only pieces not met lately are encoded.
-    """
+    """Whole texts to ids. Texts are cut into units (see ``unit_starts``); only units not met lately go through the tokenizer."""
 
-    def __init__(self, tokenizer: str):
+    def __init__(self, tokenizer: str, size: int = MEMORY_UNITS):
         # Spark runs a worker for each core; the library's own threads would only wait for each other and hold memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
-        self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
-        # Words by whether a blank goes before them; None: white space at an end, so not to be cut here.
-        self.first, self.later, self.pieces = Memory(MEMORY_WORDS), Memory(MEMORY_WORDS), Memory(MEMORY_PIECES)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.kind.itemsize == 2 else "I"
-        out: list[bytes] = []
-        for i in range(0, len(texts), 4_000):
-            out += [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 4_000], add_special_tokens=False)]
-        return out
-
-    def _learn(self, memory: Memory, words: set[str], lead: str) -> None:
-        new = memory.missing(words)
-        good = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        memory.now.update(dict.fromkeys(new))
-        find = self.find
-        split = [find(lead + w) for w in good]
-        fresh = list(self.pieces.missing(set().union(*split)))
-        self.pieces.now.update(zip(fresh, self._ids(fresh), strict=True))
-        ids = self.pieces.now
-        memory.now.update([(w, ids[p[0]] if len(p) == 1 else b"".join([ids[x] for x in p])) for w, p in zip(good, split, strict=True)])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [t.split(" ") if t else [] for t in texts]
-        self._learn(self.first, {p[0] for p in parts if p}, "")
-        self._learn(self.later, set().union(*[p[1:] for p in parts]), " ")
-        out, first, get = [], self.first.now, self.later.now.__getitem__
-        for t, p in zip(texts, parts, strict=True):
-            try:
-                out.append(first[p[0]] + b"".join(map(get, p[1:])) if p else b"")
-            except TypeError:  # a None: runs of white space in this text
-                head, *rest = _CUT.split(t)
-                out.append(b"".join(self._ids([head, *(" " + w for w in rest)])))
-        return out
-
-
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream. Each end but the last depends on the ids near it and on the chunk's start only."""
+        self.memory = UnitMemory(size, self.kind)
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        # Only the pre-tokenizer that unit_starts knows may be cut; with any other, a text is one unit.
+        pre = self.tok.pre_tokenizer
+        self.known = self.tok.normalizer is None and str(pre) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(texts), 1_000) for e in self.tok.encode_batch_fast(texts[i : i + 1_000], add_special_tokens=False)]
+
+    def _tokens(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each unit and all ids. Plain units share calls, one on a line, whose line feeds part the ids."""
+        plain = [self.feed is not None and _PLAIN(u) is not None for u in units]
+        lines = [u for u, p in zip(units, plain, strict=True) if p]
+        calls = [b"\n".join(lines[i : i + 1_000]).decode() for i in range(0, len(lines), 1_000)]
+        count, found = np.zeros(len(units), np.int64), [np.empty(0, self.kind)] * len(units)
+        at = iter(np.flatnonzero(plain).tolist())
+        for ids in self._library(calls):
+            ids = np.array(ids, self.kind)
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
+            lo = 0
+            for hi in ends:
+                found[next(at)] = ids[lo:hi]
+                lo = hi + 1
+        rest = [i for i, p in enumerate(plain) if not p]
+        for i, ids in zip(rest, self._library([units[i].decode("utf-8", "replace") for i in rest]), strict=True):
+            found[i] = np.array(ids, self.kind)
+        count[:] = [len(x) for x in found]
+        return count, np.concatenate(found)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text and all ids; null is the empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)
+        offsets = offsets - offsets[0]
+        whole = raw.tobytes()
+        firsts = offsets[:-1][np.diff(offsets) > 0]
+        if not len(firsts):
+            return np.zeros(len(texts), np.int64), np.empty(0, self.kind)
+        starts = unit_starts(raw, firsts) if self.known else firsts
+        if any(t in whole for t in self.special):  # their texts are one unit: what they part is for the library to say
+            text_of = np.searchsorted(firsts, starts, "right") - 1
+            special = np.array([any(t in whole[a:b] for t in self.special) for a, b in zip(firsts, np.append(firsts[1:], len(raw)), strict=True)])
+            starts = starts[~special[text_of] | np.isin(starts, firsts)]
+        lengths = np.diff(np.append(starts, len(raw)))
+        padded = np.concatenate([raw, np.zeros(UNIT_BYTES, np.uint8)])
+        words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(raw) + UNIT_BYTES - 7,), (1,))
+        short = np.flatnonzero(lengths <= UNIT_BYTES)
+        keys = np.empty((4, len(short)), np.uint64)
+        for k in range(3):
+            keep = np.clip(lengths[short] - 8 * k, 0, 8).astype(np.uint64) * np.uint64(8)
+            mask = np.where(keep == 64, np.uint64(2**64 - 1), (np.uint64(1) << keep) - np.uint64(1))
+            keys[k] = words[starts[short] + 8 * k] & mask
+        keys[3] = lengths[short]
+        entry = np.full(len(starts), -1, np.int64)
+        entry[short] = found = self.memory.find(keys)
+        new = np.flatnonzero(found < 0)
+        if self.memory.n + len(new) > self.memory.size:
+            self.memory.forget()
+            new, found[:] = np.arange(len(short)), -1
+        if len(new):  # each distinct one once
+            order = new[np.lexsort(keys[:, new])]
+            first = np.ones(len(order), bool)
+            first[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+            distinct = order[first]
+            at = starts[short[distinct]].tolist()
+            count, ids = self._tokens([whole[a : a + n] for a, n in zip(at, lengths[short[distinct]].tolist(), strict=True)])
+            if len(distinct) > self.memory.size:
+                self.memory = UnitMemory(len(distinct), self.kind)
+            base = self.memory.n
+            self.memory.enter(keys[:, distinct], count, ids)
+            found[order] = base + np.cumsum(first) - 1
+            entry[short] = found
+        long = np.flatnonzero(entry < 0)
+        m = self.memory
+        counts, at = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        counts[short], at[short] = m.count[entry[short]], m.at[entry[short]]
+        if len(long):
+            n, ids = self._tokens([whole[a : a + k] for a, k in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
+            m.lay(ids)  # for this slice only
+            counts[long], at[long] = n, m.used + np.cumsum(n) - n
+        out = m.ids[_ranges(at, counts)]
+        ends = np.append(0, np.cumsum(counts))[np.searchsorted(starts, offsets)]
+        return np.diff(ends), out
+
+
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last 16 ids, each shifted by its age, allows a chunk to end."""
     h = _GEAR[ids.astype(np.int64) & 0xFFFF]
-    for s in (1, 2, 4, 8):  # the last 16 ids, each shifted by its age
+    for s in (1, 2, 4, 8):
         older = h[:-s] << np.uint64(s)
         h = h.copy()
         h[s:] += older
-    marks = np.flatnonzero((h >> np.uint64(64 - CHUNK_AIM.bit_length() + 1)) == 0) + 1
-    ends, start, n = [], 0, len(ids)
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero((h >> np.uint64(64 - CHUNK_AIM.bit_length() + 1)) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    ends, start = [], 0
+    for m in [*marks, n]:
         while m - start > CHUNK_MAX:
             start += CHUNK_MAX
             ends.append(start)
@@ -120,6 +271,14 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream. Each end but the last depends on the ids near it and on the chunk's start only.
+
+    As no chunk but the last is shorter than ``CHUNK_MIN``, marks of streams that follow each other serve each of them.
+    """
+    return _ends(_marks(ids).tolist(), len(ids))
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """sha256 tree: leaves and inner nodes have different prefixes, an odd node moves up. No leaves: sha256 of nothing."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
@@ -175,36 +334,43 @@ _CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binar
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = 0) -> DataFrame:
-    """(doc_id long, n_tokens long, root binary, chunks array<struct<digest, n, ids>>)."""
-    require(df, id_col, text_col)
-    ship(df.sparkSession)
+STAGED = "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n:int,ids:binary>>"
+
+
+def encode_batches(tokenizer: str, end_id: int):
+    """Batches of (doc_id, text) to batches of ``STAGED``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
-        end = np.array([end_id], enc.kind).tobytes()
+        width = enc.kind.itemsize
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in slices(texts, SLICE):
-                total, roots, offsets, digests, sizes, payload = [], [], [0], [], [], []
-                for raw in enc.encode(texts[lo:hi]):
-                    raw += end
-                    ids, at = np.frombuffer(raw, enc.kind), 0
-                    own = []
-                    for e in cut_points(ids):
-                        piece = raw[at * enc.kind.itemsize : e * enc.kind.itemsize]
-                        own.append(hashlib.sha256(piece).digest())
-                        sizes.append(e - at)
-                        payload.append(piece)
-                        at = e
-                    digests += own
-                    total.append(len(ids))
-                    roots.append(merkle_root(own))
+            for lo, hi in spans(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist(), SLICE):
+                counts, ids = enc.encode(b.column(1).slice(lo, hi - lo))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                total, raw, marks = counts + 1, ids.tobytes(), _marks(ids)
+                firsts = np.cumsum(total) - total
+                of = np.split(marks, np.searchsorted(marks, firsts[1:], "right"))  # a mark is the end of a chunk
+                roots, offsets, digests, sizes, payload = [], [0], [], [], []
+                for first, n, own in zip(firsts.tolist(), total.tolist(), of, strict=True):
+                    ends = _ends((own - first).tolist(), n)
+                    pieces = [raw[(first + a) * width : (first + e) * width] for a, e in zip([0, *ends], ends)]
+                    digested = [hashlib.sha256(x).digest() for x in pieces]
+                    digests += digested
+                    payload += pieces
+                    sizes += [e - a for a, e in zip([0, *ends], ends)]
+                    roots.append(merkle_root(digested))
                     offsets.append(len(digests))
                 items = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary())], fields=list(_CHUNK))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)], names=["doc_id", "n_tokens", "root", "chunks"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n:int,ids:binary>>")
+    return run
+
+
+def encode_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = 0) -> DataFrame:
+    """The columns of ``STAGED``: each document's chunks with their digests, and the digests' Merkle root."""
+    require(df, id_col, text_col)
+    ship(df.sparkSession)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode_batches(tokenizer, end_id), STAGED)
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +392,21 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names=names)
 
 
-def write_store(df: DataFrame, path: str, **kw) -> str:
-    """Write the documents of ``df`` as a store below ``path`` and return the path. The staged encoding is deleted again."""
-    spark = df.sparkSession
-    encode_documents(df, **kw).write.option("compression", "zstd").parquet(f"{path}/staged")
-    staged = spark.read.parquet(f"{path}/staged")
+def store_staged(staged: DataFrame, path: str) -> str:
+    """Write the tables of a store from encoded documents."""
     chunks = staged.select(F.explode("chunks").alias("c")).select("c.digest", "c.n", "c.ids")
     chunks.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.select("doc_id", "n_tokens", "root", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("sizes"))
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(_number, "kind int, part int, row long, start long, doc_id long, n_tokens long, root binary, digests array<binary>, sizes array<int>").write.parquet(f"{path}/recipes")
+    return path
+
+
+def write_store(df: DataFrame, path: str, **kw) -> str:
+    """Write the documents of ``df`` as a store below ``path`` and return the path. The staged encoding is deleted again."""
+    spark = df.sparkSession
+    encode_documents(df, **kw).write.option("compression", "zstd").parquet(f"{path}/staged")
+    store_staged(spark.read.parquet(f"{path}/staged"), path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return path
@@ -252,15 +423,17 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return recipes.where("kind = 0").join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("base")).drop("kind", "base")
 
 
-def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids array<int>): every document rebuilt from its recipe."""
     ship(spark)
     refs = _documents(spark, path).select("part", "row", "doc_id", "start", "n_tokens", F.posexplode("digests").alias("pos", "digest"))
-    kind = f"<u{width}"
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(b"".join(x["ids"] for x in pieces), kind).astype(np.int32) for pieces in b.column("pieces").to_pylist()]
+            ids = []
+            for pieces, n in zip(b.column("pieces").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
+                raw = b"".join(x["ids"] for x in pieces)
+                ids.append(np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "n_tokens", "ids"])
 
     met = refs.join(spark.read.parquet(f"{path}/chunks").select("digest", "ids"), "digest")
@@ -268,20 +441,19 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     return grouped.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(join, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
-def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks, verified) of every document, read back from the files.
 
     ids_crc32: crc32 of its ids as little-endian unsigned 32-bit integers. verified: all its chunks are
     there and match their digests, its lengths add up and its Merkle root is that of its recipe.
     """
     ship(spark)
-    kind = f"<u{width}"
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, digests = b.column("ids").to_pylist(), b.column("digest").to_pylist()
+            ids, digests, counts = b.column("ids").to_pylist(), b.column("digest").to_pylist(), b.column("n").to_pylist()
             good = [hashlib.sha256(x).digest() == d for x, d in zip(ids, digests, strict=True)]
-            crc = [zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in ids]
+            crc = [zlib.crc32(x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x, n in zip(ids, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crc, pa.int64()), pa.array(good)], names=["digest", "n", "crc", "good"])
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "digest binary, n int, crc long, good boolean")
@@ -292,14 +464,19 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces = b.column("pieces").to_pylist()
-            counts = np.array([len(p) for p in pieces], np.int64)
-            crc = np.zeros(len(pieces), np.uint32)
+            pieces = b.column("pieces")
+            at = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy()))
+            digest, n, of, good = (pieces.flatten().field(f) for f in ("digest", "n", "crc", "good"))
+            digest, n, of, good = digest.to_pylist(), *(np.asarray(pc.fill_null(x, v)) for x, v in ((n, 0), (of, 0), (good, False)))
+            counts, crc = np.diff(at), np.zeros(len(pieces), np.uint32)
             for k in range(int(counts.max(initial=0))):
                 rows = np.flatnonzero(counts > k)
-                crc[rows] = crc_combine(crc[rows], np.array([pieces[i][k]["crc"] or 0 for i in rows], np.uint32), np.array([4 * (pieces[i][k]["n"] or 0) for i in rows]))
-            sound = [all(x["good"] for x in p) and sum(x["n"] or 0 for x in p) == n and merkle_root([x["digest"] for x in p]) == root for p, n, root in zip(pieces, b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc.astype(np.int64)), pa.array(counts), pa.array(sound, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
+                crc[rows] = crc_combine(crc[rows], of[at[rows] + k].astype(np.uint32), 4 * n[at[rows] + k].astype(np.int64))
+            spans_of = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            roots = [merkle_root(digest[lo:hi]) == root for (lo, hi), root in zip(spans_of, b.column("root").to_pylist(), strict=True)]
+            bad, lengths = np.append(0, np.cumsum(~good)), np.append(0, np.cumsum(n))
+            sound = np.array(roots, bool) & (np.diff(bad[at]) == 0) & (np.diff(lengths[at]) == b.column("n_tokens").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc.astype(np.int64)), pa.array(counts, pa.int64()), pa.array(sound, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
     return grouped.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, verified boolean")
 
