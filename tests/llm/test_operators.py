@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from tidewatch.llm import embeddings, exact_dedup, langid, language_model, line_dedup, mixing, pieces, quality, queries, simhash, token_store
+from tidewatch.llm import embeddings, exact_dedup, langid, language_model, line_dedup, mixing, pieces, quality, queries, simhash, token_store, units
 from tidewatch.llm.components import connected_components
 from tidewatch.session import table
 
@@ -243,7 +243,7 @@ def test_tokens_are_those_of_the_plain_call(spark, tmp_path):
 def test_a_store_of_four_byte_ids(spark, awkward, tmp_path, monkeypatch):
     want = {(w[1], tuple(w[4])): w[3] for w in reference_ids(sub(AWKWARD))}
     enc = token_store.Encoder(token_store.TOKENIZER)
-    enc.kind, enc.memory = np.dtype("<u4"), token_store.UnitMemory(50_000, np.dtype("<u4"))
+    enc.kind, enc.ids = np.dtype("<u4"), units.Rows(ids=np.uint32)
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in AWKWARD]), "text": [r[1] for r in AWKWARD]})
     monkeypatch.setitem(token_store._ENCODERS, "wide", enc)
     staged = [x for b in token_store.encode_batches("wide", 0)(iter([batch])) for x in b.to_pylist()]

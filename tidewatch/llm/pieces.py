@@ -5,10 +5,12 @@ sum of its pieces' scores in the model file. Forward Viterbi gives the best scor
 scores are the exact cost to go of a search from the end of the text backwards, so A-star pops complete
 segmentations strictly in order of score and never visits a position that no result needs.
 
-No piece has a blank after another character, so the lattice falls apart before each run of blanks. A
-text's N best segmentations deviate from its best one only in the N - 1 parts whose second best costs
-least, so A-star runs for those parts; for the others Viterbi forwards and backwards gives the best and
-the second best score. Parts repeat (they are words), so workers remember a bounded number of them.
+The lattice falls apart between two characters that no piece has next to each other: before blanks,
+between letters and signs, around line feeds. A text's N best segmentations deviate from its best one only
+in the N - 1 parts whose second best costs least, so A-star runs for those parts, and no further than the
+cost of the last of them; for the others Viterbi forwards and backwards, over arrays of many parts at a
+time, gives the best and the second best score. Parts repeat (they are mostly words), so workers remember
+a bounded number of them.
 
 Ties: the segmentation whose last piece is longer comes first, then the piece before it, and so on.
 
@@ -24,28 +26,30 @@ cannot tell them apart; other columns are passed through, those named like the r
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Memory, require, slices
+from tidewatch.llm.common import Memory, mix64, require, spans
+from tidewatch.llm.units import UNIT_BYTES, Rows, UnitTable, ranges, text_bytes
 from tidewatch.session import ship
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 4
 UNKNOWN = 10.0
-#: Parts that a worker remembers, in each of two generations: about 80 MB in all.
-MEMORY_PARTS = 120_000
-SLICE = 1_000_000
+#: Parts that a worker remembers before it starts anew, about 80 bytes each, and parts of which it remembers
+#: the segmentations found by A-star, in each of two generations.
+MEMORY_PARTS, MEMORY_SEARCHED = 600_000, 50_000
+#: Bytes of texts looked at together; widths of the arrays of parts, and parts in one. Longer parts go one by one.
+SLICE, WIDTHS, PARTS_AT_ONCE = 1_000_000, (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64), 2_048
 
 BLANK = "▁"
 NEVER = float("-inf")
-_PART = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class _Path:
@@ -74,6 +78,57 @@ class _Path:
         return shorter if first is None else first
 
 
+class _Trie:
+    """The pieces' prefixes as numbered nodes, for many lookups at a time."""
+
+    def __init__(self, prefix: dict[str, tuple[float, bytes] | None]):
+        chars = sorted({c for p in prefix for c in p})
+        self.n = len(chars) + 1
+        self.code = np.zeros(0x110000, np.uint16)  # of a character; 0: in no piece
+        self.code[[ord(c) for c in chars]] = np.arange(1, self.n)
+        self.code[ord(" ")] = self.code[ord(BLANK)]
+        number = {p: k for k, p in enumerate(prefix)}
+        codes = {c: k for k, c in enumerate(chars, 1)}
+        self.score = np.array([v[0] if v else NEVER for v in prefix.values()])
+        self.id = np.array([int.from_bytes(v[1], "little") if v else -1 for v in prefix.values()], np.int32)
+        self.first = np.full(self.n, -1, np.int32)
+        self.joint = np.zeros(self.n * self.n, bool)  # whether a piece has two characters next to each other
+        self.more = np.zeros(len(prefix), bool)  # whether a longer prefix follows
+        pairs, children = [], []
+        for p, k in number.items():
+            if len(p) == 1:
+                self.first[codes[p]] = k
+            else:
+                self.joint[codes[p[-2]] * self.n + codes[p[-1]]] = True
+                self.more[number[p[:-1]]] = True
+                pairs.append(number[p[:-1]] * self.n + codes[p[-1]])
+                children.append(k)
+        self.bits = (4 * len(pairs)).bit_length()
+        self.pair, self.child = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        new, child = np.array(pairs, np.int64), np.array(children, np.int32)
+        slot = self._slot(new)
+        while len(new):
+            free = self.pair[slot] < 0
+            self.pair[slot[free]], self.child[slot[free]] = new[free], child[free]
+            left = self.pair[slot] != new
+            new, child, slot = new[left], child[left], (slot[left] + 1) & (len(self.pair) - 1)
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (mix64(pairs.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The nodes that follow, -1 where there is none."""
+        pairs = nodes.astype(np.int64) * self.n + codes
+        out, left, slot = np.full(len(pairs), -1, np.int32), np.arange(len(pairs)), self._slot(pairs)
+        while len(left):
+            there = self.pair[slot]
+            hit = there == pairs[left]
+            out[left[hit]] = self.child[slot[hit]]
+            on = ~hit & (there >= 0)
+            left, slot = left[on], (slot[on] + 1) & (len(self.pair) - 1)
+        return out
+
+
 class Lattice:
     """The pieces of a model, and the segmentations of texts by them."""
 
@@ -103,18 +158,17 @@ class Lattice:
                 lowest = min(lowest, score)
             self.prefix[piece] = (score, i.to_bytes(4, "little"))
         self.unknown = lowest - UNKNOWN
-        self.apart = all(BLANK not in p.lstrip(BLANK) for p, _, _ in whole)
-        self.memory = Memory(MEMORY_PARTS)  # (best score, loss of the second, packed ids) by the part without its first blank
-        self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """The parts of a text, each without its first blank."""
-        if self.apart and BLANK not in text:
-            words = text.split(" ")
-            if "" not in words:
-                return words
-        marked = BLANK + text.replace(" ", BLANK)
-        return [p[1:] for p in _PART.findall(marked)] if self.apart else [marked[1:]]
+        self.trie = _Trie(self.prefix)
+        self.longest = max(map(len, self.prefix))
+        self.id_bytes = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.id_start = np.cumsum(self.id_bytes) - self.id_bytes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.remember(MEMORY_PARTS)
+        self.searched = Memory(MEMORY_SEARCHED)
+
+    def remember(self, parts: int) -> None:
+        """Set how many parts are remembered."""
+        self.table, self.known, self.ids = UnitTable(parts), Rows(best=np.float64, loss=np.float64, at=np.int64, count=np.int32), Rows(ids=np.uint32)
 
     def _lattice(self, part: str) -> tuple[list[float], list, list]:
         """Forward Viterbi: the best score of each prefix, its last edge, and all edges (start, end, score, packed ids) by start.
@@ -165,9 +219,83 @@ class Lattice:
                 second = t
         return best[n], best[n] - second, b"".join([e[3] for e in path if e])
 
-    def search(self, part: str, n_best: int) -> list[tuple[float, bytes]]:
-        """The ``n_best`` best segmentations of a part, best first: A-star from the end backwards."""
+    def best_two_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``best_two`` gives for each part, over arrays: best scores, losses, numbers of ids, all ids."""
+        n = np.array([len(p) for p in parts], np.int64)
+        best, loss, ids = np.empty(len(parts)), np.empty(len(parts)), [b""] * len(parts)
+        alone = n > WIDTHS[-1]
+        for lo, hi in zip((0, *WIDTHS), WIDTHS):
+            rows = np.flatnonzero((n > lo) & (n <= hi))
+            for k in range(0, len(rows), PARTS_AT_ONCE):
+                at = rows[k : k + PARTS_AT_ONCE]
+                best[at], loss[at], count, found = self._viterbi([parts[i] for i in at.tolist()], n[at], hi)
+                raw, ends = found.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+                for i, a, b in zip(at.tolist(), [0, *ends], ends):
+                    ids[i] = raw[a:b]
+                alone[at[np.unique(np.repeat(np.arange(len(at)), count)[found < 0])]] = True  # a character without a piece
+        for i in np.flatnonzero(alone).tolist():
+            best[i], loss[i], ids[i] = self.best_two(parts[i])
+        return best, loss, np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4")
+
+    def _viterbi(self, parts: list[str], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forwards and backwards, over arrays with a column for each part; an id is -1 for a character without a piece."""
+        trie, w, deep = self.trie, len(parts), min(self.longest, width)
+        codes = np.zeros((width, w), np.int64)
+        column = np.repeat(np.arange(w), n)
+        codes[np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n), column] = trie.code[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        # score[l - 1, i] and node[l - 1, i]: of the piece of l characters that begins at i.
+        score, node = np.full((deep, width, w), NEVER), np.full((deep, width, w), -1, np.int32)
+        pos = np.arange(width)[:, None]
+        node[0] = trie.first[codes]
+        single = np.where(node[0] >= 0, trie.score[node[0]], NEVER)
+        score[0] = np.where(pos < n, np.where(single > NEVER, single, self.unknown), NEVER)
+        alive = np.flatnonzero((node[0] >= 0) & (pos + 1 < n) & trie.more[node[0]])
+        at, flat, top = node[0].ravel()[alive], codes.ravel(), 1
+        for k in range(2, deep + 1):
+            at = trie.step(at, flat[alive + (k - 1) * w])
+            alive, at = alive[at >= 0], at[at >= 0]
+            if not len(alive):
+                break
+            top = k
+            score[k - 1].ravel()[alive], node[k - 1].ravel()[alive] = trie.score[at], at
+            on = trie.more[at] & (alive // w + k < n[alive % w])
+            alive, at = alive[on], at[on]
+        best, by = np.full((width + 1, w), NEVER), np.zeros((width + 1, w), np.int8)
+        best[0] = 0
+        for j in range(1, width + 1):
+            for k in range(min(top, j), 0, -1):  # the longest first: it is kept where another is as good
+                t = best[j - k] + score[k - 1, j - k]
+                by[j][t > best[j]] = k
+                np.maximum(best[j], t, out=best[j])
+        path, rows, j = np.zeros((width, w), np.int8), np.arange(w), n.copy()  # the length of the best path's piece by its start
+        while len(rows):
+            k = by[j[rows], rows]
+            j[rows] -= k
+            path[j[rows], rows] = k
+            rows = rows[j[rows] > 0]
+        # Any other segmentation has an edge off the best path: the best one through such an edge is second.
+        back, second = np.full((width + 1, w), NEVER), np.full(w, NEVER)
+        back[n, np.arange(w)] = 0
+        for i in range(width - 1, -1, -1):
+            for k in range(1, min(top, width - i) + 1):
+                t = back[i + k] + score[k - 1, i]
+                np.maximum(back[i], t, out=back[i])
+                t += best[i]
+                t[path[i] == k] = NEVER
+                np.maximum(second, t, out=second)
+        row, i = np.nonzero(path.T)
+        k = path[i, row]
+        on = node[k - 1, i, row]
+        total = best[n, np.arange(w)]
+        return total, total - second, np.bincount(row, minlength=w), np.where(on >= 0, trie.id[on], -1)
+
+    def search(self, part: str, n_best: int, most: float = np.inf) -> list[tuple[float, bytes]]:
+        """The ``n_best`` best segmentations of a part, best first: A-star from the end backwards.
+
+        Of those that cost more than ``most`` above the best, none need be found.
+        """
         best, _, edges = self._lattice(part)
+        most += 1e-9 * (1 + abs(best[-1])) - best[-1]
         into: list[list] = [[] for _ in range(len(part) + 1)]
         for e in edges:
             into[e[1]].append(e)
@@ -183,56 +311,111 @@ class Lattice:
                 out.append((path.done, b"".join(ids)))
                 continue
             for i, _, s, packed in into[path.pos]:
-                heapq.heappush(heap, _Path(-(best[i] + s + path.done), i, path.done + s, packed, path))
+                cost = -(best[i] + s + path.done)
+                if cost <= most:
+                    heapq.heappush(heap, _Path(cost, i, path.done + s, packed, path))
         return out
 
-    def _remember(self, parts: set[str]) -> None:
-        new = self.memory.missing(parts)
-        best = self.best_two
-        self.memory.now.update([(p, best(BLANK + p)) for p in new])
-
-    def _searched(self, part: str, n_best: int) -> list[tuple[float, bytes]]:
-        found = self.searched.get((part, n_best))
-        if found is None:
-            if len(self.searched) > 50_000:
-                self.searched.clear()
-            found = self.searched[part, n_best] = self.search(BLANK + part, n_best)
+    def _searched(self, part: bytes, n_best: int, most: float) -> list[tuple[float, bytes]]:
+        key = (part, n_best)
+        self.searched.missing({key})
+        bound, found = self.searched.now.get(key, (NEVER, []))
+        if bound < most and len(found) < n_best:
+            text = part.decode().replace(" ", BLANK)
+            found = self.search(text, n_best, most)
+            if any(self.raw_bytes(ids) != part for _, ids in found):
+                raise ValueError(f"a segmentation does not give its part back: {text!r}")
+            self.searched.now[key] = (most, found)
         return found
 
-    def encode(self, texts: list[str | None], n_best: int, every: bool = True) -> Iterator[tuple[bytes, list[float], list[bytes]]]:
-        """For each text: the packed ids of the best segmentation, the scores best first, and with ``every`` the packed ids of each."""
-        for lo, hi in slices(texts, SLICE // 4):
-            split = [self.parts(t) if t else [] for t in texts[lo:hi]]
-            self._remember(set().union(*split))
-            for s in split:
-                known = list(map(self.memory.now.__getitem__, s))
-                ids = [k[2] for k in known]
-                packed, score = b"".join(ids), float(sum([k[0] for k in known]))
-                ways = self._ways(s, np.array([k[1] for k in known]), n_best)
-                full = [packed] if every else []
-                for _, picks in ways[1:] if every else ():
-                    own = ids.copy()
-                    for i, k in picks:
-                        own[i] = self._searched(s[i], n_best)[k][1]
-                    full.append(b"".join(own))
-                yield packed, [score - loss for loss, _ in ways], full
-
-    def _ways(self, parts: list[str], costs: np.ndarray, n_best: int) -> list[tuple[float, tuple]]:
-        """The cheapest deviations from the best segmentation: (loss, ((part, its segmentation), ...))."""
+    def _learn(self, units: list[bytes]) -> None:
+        best, loss, count, ids = self.best_two_of([u.decode().replace(" ", BLANK) for u in units])
+        self.known.add(best=best, loss=loss, at=self.ids.n + np.cumsum(count) - count, count=count)
+        self.ids.add(ids=ids)
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.ids.clear()
+
+    def encode(self, texts: list[str | None] | pa.Array, n_best: int, every: bool = True) -> Iterator[tuple[bytes, list[float], list[bytes]]]:
+        """For each text: the packed ids of the best segmentation, the scores best first, and with ``every`` the packed ids of each.
+
+        Raises if the ids of a text do not give it back.
+        """
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        for lo, hi in spans(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE):
+            yield from self._encode(texts.slice(lo, hi - lo), n_best, every)
+
+    def _encode(self, texts: pa.Array, n_best: int, every: bool) -> Iterator[tuple[bytes, list[float], list[bytes]]]:
+        blank = pa.scalar(" ", pa.large_string())
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), BLANK, " ")
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(blank, texts, pa.scalar("", pa.large_string())))
+        raw, offsets = text_bytes(texts)
+        whole, firsts = raw.tobytes(), offsets[:-1][np.diff(offsets) > 0]
+        char = np.flatnonzero((raw & 0xC0) != 0x80)  # where characters begin
+        codes = self.trie.code[np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)].astype(np.int64)
+        cut = np.zeros(len(raw), bool)
+        cut[firsts] = True
+        cut[char[1:][~self.trie.joint[codes[:-1] * self.trie.n + codes[1:]]]] = True
+        starts = np.flatnonzero(cut)
+        lengths = np.diff(np.append(starts, len(raw)))
+        short, long = np.flatnonzero(lengths <= UNIT_BYTES), np.flatnonzero(lengths > UNIT_BYTES)
+        entry = self.table.look_up(raw, starts[short], lengths[short], self._learn, self._forget)
+        best, loss, at, count = np.empty(len(starts)), np.empty(len(starts)), np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        for name, to in (("best", best), ("loss", loss), ("at", at), ("count", count)):
+            to[short] = self.known[name][entry]
+        if len(long):  # found again in each slice
+            parts = [whole[a : a + n] for a, n in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)]
+            place = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+            of = np.array([place[p] for p in parts])
+            b, d, n, ids = self.best_two_of([p.decode().replace(" ", BLANK) for p in place])
+            self.ids.lay(ids=ids)
+            best[long], loss[long], count[long], at[long] = b[of], d[of], n[of], (self.ids.n + np.cumsum(n) - n)[of]
+        ids = self.ids["ids"][ranges(at, count)]
+        id_at = np.append(0, np.cumsum(count))
+        back = self.all_bytes[ranges(self.id_start[ids], self.id_bytes[ids])]
+        lasts = np.append(0, np.cumsum(self.id_bytes[ids]))[id_at]  # bytes decoded up to each part
+        if not np.array_equal(lasts[:-1], starts) or not np.array_equal(back, raw):
+            raise ValueError("the ids of a text do not give it back")
+        packed, bounds = ids.astype("<u4").tobytes(), np.searchsorted(starts, offsets).tolist()
+        byte_at = 4 * id_at
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            own = packed[byte_at[lo] : byte_at[hi]]
+            if lo == hi:
+                yield own, [0.0], [own] if every else []
+                continue
+            score, ways = float(best[lo:hi].sum()), self._ways(whole, starts[lo:hi], lengths[lo:hi], loss[lo:hi], n_best)
+            full = [own] if every else []
+            for _, picks in ways[1:] if every else ():
+                out, done = [], byte_at[lo]
+                for i, ids_of in sorted(picks):
+                    out += [packed[done : byte_at[lo + i]], ids_of]
+                    done = byte_at[lo + i + 1]
+                full.append(b"".join([*out, packed[done : byte_at[hi]]]))
+            yield own, [score - cost for cost, _ in ways], full
+
+    def _ways(self, whole: bytes, starts: np.ndarray, lengths: np.ndarray, costs: np.ndarray, n_best: int) -> list[tuple[float, tuple]]:
+        """The cheapest deviations from the best segmentation: (loss, ((part, packed ids), ...))."""
         m = n_best - 1
         ways: list[tuple[float, tuple]] = [(0.0, ())]
-        if m < 1 or not len(costs):
+        if m < 1:
             return ways
         near = np.arange(len(costs)) if len(costs) <= m else np.flatnonzero(costs <= np.partition(costs, m - 1)[m - 1])
         near = near[np.argsort(costs[near], kind="stable")][:m]
-        for i in near[costs[near] < np.inf].tolist():
-            found = self._searched(parts[i], n_best)
-            ways = heapq.nsmallest(n_best, [(loss + found[0][0] - f[0], picks if k == 0 else (*picks, (i, k))) for loss, picks in ways for k, f in enumerate(found)])
+        near = near[costs[near] < np.inf].tolist()
+        most = float(costs[near[-1]]) if len(near) == m else np.inf  # the m ways with one deviation cost no more
+        for i in near:
+            found = self._searched(whole[starts[i] : starts[i] + lengths[i]], n_best, most)
+            ways = heapq.nsmallest(n_best, [(loss + found[0][0] - f[0], picks if k == 0 else (*picks, (i, f[1]))) for loss, picks in ways for k, f in enumerate(found)])
         return ways
 
-    def decode(self, packed: bytes) -> str:
+    def raw_bytes(self, packed: bytes) -> bytes:
         table = self.bytes_of
-        raw = b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()])
+
+    def decode(self, packed: bytes) -> str:
+        raw = self.raw_bytes(packed)
         return raw.decode("utf-8", "replace")[1:] if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
@@ -272,26 +455,17 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, n_best:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model)
-        lat.memory.size = memory_parts
+        if lat.table.size != memory_parts:
+            lat.remember(memory_parts)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for lo, hi in slices(texts, SLICE):
-                n, score, scores, crc, same, every, first = [], [], [], [], [], [], []
-                for t, (packed, of, full) in zip(texts[lo:hi], lat.encode(texts[lo:hi], n_best, ids), strict=True):
-                    n.append(len(packed) // 4)
-                    score.append(of[0])
-                    scores.append(of)
-                    crc.append(zlib.crc32(packed))
-                    same.append(lat.decode(packed) == (t or "").replace(BLANK, " "))
-                    if ids:
-                        every.append(full)
-                    if best:
-                        first.append(packed)
-                cols = [pa.array(n, pa.int64()), pa.array(score, pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            texts = b.column(at)
+            for lo, hi in spans(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE):
+                packed, scores, every = zip(*lat.encode(texts.slice(lo, hi - lo), n_best, ids), strict=True)
+                cols = [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array([True] * len(packed))]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(_offsets([len(x) for x in every]), _id_lists([w for x in every for w in x])))
                 if best:
-                    cols.append(_id_lists(first))
+                    cols.append(_id_lists(packed))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), *cols], names=[*b.schema.names, *(f.name for f in fields)])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import mix64, require, spans
+from tidewatch.llm.units import UNIT_BYTES, Rows, UnitTable, ranges, text_bytes
 from tidewatch.session import checkpoint_dir, ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,8 +43,6 @@ TOKENIZER = "byte_bpe_50k.json"
 CHUNK_MIN, CHUNK_AIM, CHUNK_MAX = 64, 256, 1024
 #: Units of texts that a worker remembers before it starts anew: about 60 bytes each. Bytes of texts looked at together.
 MEMORY_UNITS, SLICE = 1_500_000, 1_000_000
-#: Longest units, in bytes, that are remembered; of a word that has more, the same.
-UNIT_BYTES = 24
 
 _GEAR = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _LETTER, _SIGN, _WHITE, _OTHER = 1, 2, 3, 4
@@ -86,69 +85,6 @@ def unit_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class UnitMemory:
-    """Ids of units by their bytes: a bounded hash table of arrays, with a whole slice looked up or entered at a time."""
-
-    def __init__(self, size: int, kind: np.dtype):
-        self.size, self.n, self.used = size, 0, 0
-        self.bits = max(10, (2 * size - 1).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys = np.empty((4, size), np.uint64)  # three words of eight bytes, and the length
-        self.at, self.count = np.empty(size, np.int64), np.empty(size, np.int32)
-        self.ids = np.empty(4 * size, kind)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        h = mix64(keys[0] + np.uint64(0x9E3779B97F4A7C15) * keys[3])
-        h = mix64(h ^ keys[1])
-        return (mix64(h + keys[2]) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The entry of each column of keys, -1 if there is none."""
-        out = np.full(keys.shape[1], -1, np.int64)
-        left, slot, last = np.arange(keys.shape[1]), self._slot(keys), len(self.slots) - 1
-        while len(left):
-            e = self.slots[slot]
-            some = e >= 0
-            left, slot, e = left[some], slot[some], e[some]
-            same = self.keys[0, e] == keys[0, left]
-            for k in (1, 2, 3):
-                same &= self.keys[k, e] == keys[k, left]
-            out[left[same]] = e[same]
-            left, slot = left[~same], (slot[~same] + 1) & last
-        return out
-
-    def forget(self) -> None:
-        self.n = self.used = 0
-        self.slots.fill(-1)
-
-    def lay(self, ids: np.ndarray) -> None:
-        """Ids behind those in use."""
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(len(ids), len(self.ids)), self.ids.dtype)])
-        self.ids[self.used : self.used + len(ids)] = ids
-
-    def enter(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        """Units that are not there yet, with ``count`` ids each."""
-        m = len(count)
-        self.lay(ids)
-        new = np.arange(self.n, self.n + m)
-        self.keys[:, new], self.count[new] = keys, count
-        self.at[new] = self.used + np.cumsum(count) - count
-        self.n, self.used = self.n + m, self.used + len(ids)
-        slot, last = self._slot(keys), len(self.slots) - 1
-        while len(new):
-            free = self.slots[slot] < 0
-            self.slots[slot[free]] = new[free]
-            left = self.slots[slot] != new
-            new, slot = new[left], (slot[left] + 1) & last
-
-
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, ``counts`` of them, one range after the other."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Encoder:
     """Whole texts to ids. Texts are cut into units (see ``unit_starts``); only units not met lately go through the tokenizer."""
 
@@ -160,11 +96,12 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.memory = UnitMemory(size, self.kind)
+        self.table, self.known = UnitTable(size), Rows(at=np.int64, count=np.int32)
+        self.ids = Rows(ids=self.kind)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         # Only the pre-tokenizer that unit_starts knows may be cut; with any other, a text is one unit.
         pre = self.tok.pre_tokenizer
-        self.known = self.tok.normalizer is None and str(pre) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+        self.cuts = self.tok.normalizer is None and str(pre) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         feed = self.tok.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
 
@@ -191,60 +128,37 @@ class Encoder:
         count[:] = [len(x) for x in found]
         return count, np.concatenate(found)
 
+    def _learn(self, units: list[bytes]) -> None:
+        count, ids = self._tokens(units)
+        self.known.add(at=self.ids.n + np.cumsum(count) - count, count=count)
+        self.ids.add(ids=ids)
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.ids.clear()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text and all ids; null is the empty text."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.empty(0, np.uint8)
-        offsets = offsets - offsets[0]
-        whole = raw.tobytes()
-        firsts = offsets[:-1][np.diff(offsets) > 0]
+        raw, offsets = text_bytes(texts)
+        whole, firsts = raw.tobytes(), offsets[:-1][np.diff(offsets) > 0]
         if not len(firsts):
             return np.zeros(len(texts), np.int64), np.empty(0, self.kind)
-        starts = unit_starts(raw, firsts) if self.known else firsts
+        starts = unit_starts(raw, firsts) if self.cuts else firsts
         if any(t in whole for t in self.special):  # their texts are one unit: what they part is for the library to say
             text_of = np.searchsorted(firsts, starts, "right") - 1
             special = np.array([any(t in whole[a:b] for t in self.special) for a, b in zip(firsts, np.append(firsts[1:], len(raw)), strict=True)])
             starts = starts[~special[text_of] | np.isin(starts, firsts)]
         lengths = np.diff(np.append(starts, len(raw)))
-        padded = np.concatenate([raw, np.zeros(UNIT_BYTES, np.uint8)])
-        words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(raw) + UNIT_BYTES - 7,), (1,))
         short = np.flatnonzero(lengths <= UNIT_BYTES)
-        keys = np.empty((4, len(short)), np.uint64)
-        for k in range(3):
-            keep = np.clip(lengths[short] - 8 * k, 0, 8).astype(np.uint64) * np.uint64(8)
-            mask = np.where(keep == 64, np.uint64(2**64 - 1), (np.uint64(1) << keep) - np.uint64(1))
-            keys[k] = words[starts[short] + 8 * k] & mask
-        keys[3] = lengths[short]
-        entry = np.full(len(starts), -1, np.int64)
-        entry[short] = found = self.memory.find(keys)
-        new = np.flatnonzero(found < 0)
-        if self.memory.n + len(new) > self.memory.size:
-            self.memory.forget()
-            new, found[:] = np.arange(len(short)), -1
-        if len(new):  # each distinct one once
-            order = new[np.lexsort(keys[:, new])]
-            first = np.ones(len(order), bool)
-            first[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
-            distinct = order[first]
-            at = starts[short[distinct]].tolist()
-            count, ids = self._tokens([whole[a : a + n] for a, n in zip(at, lengths[short[distinct]].tolist(), strict=True)])
-            if len(distinct) > self.memory.size:
-                self.memory = UnitMemory(len(distinct), self.kind)
-            base = self.memory.n
-            self.memory.enter(keys[:, distinct], count, ids)
-            found[order] = base + np.cumsum(first) - 1
-            entry[short] = found
-        long = np.flatnonzero(entry < 0)
-        m = self.memory
+        entry = self.table.look_up(raw, starts[short], lengths[short], self._learn, self._forget)
         counts, at = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
-        counts[short], at[short] = m.count[entry[short]], m.at[entry[short]]
+        counts[short], at[short] = self.known["count"][entry], self.known["at"][entry]
+        long = np.flatnonzero(lengths > UNIT_BYTES)
         if len(long):
             n, ids = self._tokens([whole[a : a + k] for a, k in zip(starts[long].tolist(), lengths[long].tolist(), strict=True)])
-            m.lay(ids)  # for this slice only
-            counts[long], at[long] = n, m.used + np.cumsum(n) - n
-        out = m.ids[_ranges(at, counts)]
+            self.ids.lay(ids=ids)  # for this slice only
+            counts[long], at[long] = n, self.ids.n + np.cumsum(n) - n
+        out = self.ids["ids"][ranges(at, counts)]
         ends = np.append(0, np.cumsum(counts))[np.searchsorted(starts, offsets)]
         return np.diff(ends), out
 
