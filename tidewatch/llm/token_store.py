@@ -27,6 +27,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Chunk lengths in ids: at least, aimed at (a power of two) and at most.
 CHUNK_MIN, CHUNK_AIM, CHUNK_MAX = 64, 256, 1024
 #: Units of texts that a worker remembers before it starts anew: about 60 bytes each. Bytes of texts looked at together.
-MEMORY_UNITS, SLICE = 1_500_000, 1_000_000
+#: Units in one call of the tokenizer.
+MEMORY_UNITS, SLICE, LINES = 1_500_000, 1_000_000, 200
 
 _GEAR = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _LETTER, _SIGN, _WHITE, _OTHER = 1, 2, 3, 4
@@ -106,27 +108,23 @@ class Encoder:
         self.feed = feed[0] if len(feed) == 1 else None
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(texts), 1_000) for e in self.tok.encode_batch_fast(texts[i : i + 1_000], add_special_tokens=False)]
+        return [e.ids for i in range(0, len(texts), LINES) for e in self.tok.encode_batch_fast(texts[i : i + LINES], add_special_tokens=False)]
 
     def _tokens(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each unit and all ids. Plain units share calls, one on a line, whose line feeds part the ids."""
-        plain = [self.feed is not None and _PLAIN(u) is not None for u in units]
-        lines = [u for u, p in zip(units, plain, strict=True) if p]
-        calls = [b"\n".join(lines[i : i + 1_000]).decode() for i in range(0, len(lines), 1_000)]
-        count, found = np.zeros(len(units), np.int64), [np.empty(0, self.kind)] * len(units)
-        at = iter(np.flatnonzero(plain).tolist())
-        for ids in self._library(calls):
-            ids = np.array(ids, self.kind)
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
-            lo = 0
-            for hi in ends:
-                found[next(at)] = ids[lo:hi]
-                lo = hi + 1
-        rest = [i for i, p in enumerate(plain) if not p]
-        for i, ids in zip(rest, self._library([units[i].decode("utf-8", "replace") for i in rest]), strict=True):
-            found[i] = np.array(ids, self.kind)
-        count[:] = [len(x) for x in found]
-        return count, np.concatenate(found)
+        plain = np.fromiter((self.feed is not None and _PLAIN(u) is not None for u in units), bool, len(units))
+        lines = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
+        calls = [b"\n".join([*lines[i : i + LINES], b""]).decode() for i in range(0, len(lines), LINES)]
+        rest = np.flatnonzero(~plain)
+        ids = np.fromiter(chain.from_iterable(self._library(calls)), self.kind)
+        feeds = np.flatnonzero(ids == self.feed)
+        others = self._library([units[i].decode("utf-8", "replace") for i in rest.tolist()])
+        count, at = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        count[plain] = np.diff(feeds, prepend=-1) - 1
+        at[plain] = feeds - count[plain]
+        count[rest] = n = np.array([len(x) for x in others], np.int64)
+        at[rest] = len(ids) + np.cumsum(n) - n
+        return count, np.concatenate([ids, np.fromiter(chain.from_iterable(others), self.kind)])[ranges(at, count)]
 
     def _learn(self, units: list[bytes]) -> None:
         count, ids = self._tokens(units)
@@ -372,9 +370,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "digest binary, n int, crc long, good boolean")
     docs = _documents(spark, path)
-    refs = docs.select("part", "row", "doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
+    refs = docs.select("part", "row", F.posexplode("digests").alias("pos", "digest"))
     piece = F.struct("pos", "digest", "n", "crc", "good")
-    grouped = refs.join(chunks, "digest", "left").groupBy("part", "row", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    grouped = refs.join(chunks, "digest", "left").groupBy("part", "row").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    grouped = grouped.join(docs.select("part", "row", "doc_id", "start", "n_tokens", "root"), ["part", "row"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,12 +36,12 @@ def unit_keys(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     """What identifies each unit of at most UNIT_BYTES bytes: its bytes as three words, and its length."""
     padded = np.concatenate([raw, np.zeros(UNIT_BYTES, np.uint8)])
     words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(raw) + UNIT_BYTES - 7,), (1,))
-    keys = np.empty((4, len(starts)), np.uint64)
+    keys = np.empty((len(starts), 4), np.uint64)
     for k in range(3):
         keep = np.clip(lengths - 8 * k, 0, 8).astype(np.uint64) * np.uint64(8)
         mask = np.where(keep == 64, np.uint64(2**64 - 1), (np.uint64(1) << keep) - np.uint64(1))
-        keys[k] = words[starts + 8 * k] & mask
-    keys[3] = lengths
+        keys[:, k] = words[starts + 8 * k] & mask
+    keys[:, 3] = lengths
     return keys
 
 
@@ -52,31 +52,32 @@ class UnitTable:
         self.size, self.n = size, 0
         self.bits = max(10, (2 * size - 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.keys = np.empty((4, size), np.uint64)
+        self.keys = np.empty((size, 4), np.uint64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        h = mix64(keys[0] + np.uint64(0x9E3779B97F4A7C15) * keys[3])
-        h = mix64(h ^ keys[1])
-        return (mix64(h + keys[2]) >> np.uint64(64 - self.bits)).astype(np.int64)
+        h = mix64(keys[:, 0] + np.uint64(0x9E3779B97F4A7C15) * keys[:, 3])
+        h = mix64(h ^ keys[:, 1])
+        return (mix64(h + keys[:, 2]) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The entry of each column of keys, -1 if there is none."""
-        out = np.full(keys.shape[1], -1, np.int64)
-        left, slot, last = np.arange(keys.shape[1]), self._slot(keys), len(self.slots) - 1
+        """The entry of each row of keys, -1 if there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        left, slot, last = np.arange(len(keys)), self._slot(keys), len(self.slots) - 1
         while len(left):
             e = self.slots[slot]
             some = e >= 0
             left, slot, e = left[some], slot[some], e[some]
-            same = self.keys[0, e] == keys[0, left]
+            there, own = np.take(self.keys, e, axis=0), np.take(keys, left, axis=0)
+            same = there[:, 0] == own[:, 0]
             for k in (1, 2, 3):
-                same &= self.keys[k, e] == keys[k, left]
+                same &= there[:, k] == own[:, k]
             out[left[same]] = e[same]
             left, slot = left[~same], (slot[~same] + 1) & last
         return out
 
     def _enter(self, keys: np.ndarray) -> None:
-        new = np.arange(self.n, self.n + keys.shape[1])
-        self.keys[:, new] = keys
+        new = np.arange(self.n, self.n + len(keys))
+        self.keys[new] = keys
         self.n += len(new)
         slot, last = self._slot(keys), len(self.slots) - 1
         while len(new):
@@ -98,12 +99,12 @@ class UnitTable:
             self.slots.fill(-1)
             new = np.arange(len(starts))
         if len(new):  # each distinct one once
-            order = new[np.lexsort(keys[:, new])]
+            order = new[np.lexsort(keys[new].T)]
             first = np.ones(len(order), bool)
-            first[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)
+            first[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
             distinct, base, whole = order[first], self.n, raw.tobytes()
             learn([whole[a : a + n] for a, n in zip(starts[distinct].tolist(), lengths[distinct].tolist(), strict=True)])
-            self._enter(keys[:, distinct])
+            self._enter(keys[distinct])
             found[order] = base + np.cumsum(first) - 1
         return found
 
