@@ -17,9 +17,10 @@ The jobs, whose parts are each bounded:
    words, and this is written to the shared folder.
 2. Words are dealt to buckets; each chunk sends a bucket its words and counts, and gets the sums over
    all training documents back.
-3. The weights start at the counts' logarithms and are fitted on all training documents, dealt by hash
-   to parts of bounded size whose number grows with the text. In each round every part makes Adagrad
-   steps from the shared weights, and the rows that changed are averaged by place.
+3. The weights start at the counts' logarithms and are fitted on all training documents in one pass. They
+   are dealt by hash to parts of bounded size, whose number grows with the text, and to ``ROUNDS`` shares.
+   In each round every part makes gradient steps (Adagrad with one rate for each row of weights) from
+   the shared weights on its documents of that share, and the rows that changed are averaged by place.
 4. Chunks meet the sums of their words and score in numpy batches.
 
 Defined results: a null text is empty and has one token, its end; a null doc_id hashes as the empty
@@ -37,11 +38,13 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import require, words_of
+from tidewatch.llm.common import require, spans
+from tidewatch.llm.units import UNIT_BYTES, Rows, UnitTable, text_bytes
 from tidewatch.session import checkpoint_dir, cut, ship
 
 #: Commonest tokens with weights of their own, and tokens of a class of them.
@@ -60,11 +63,13 @@ CLASS_ROWS, WORD_ROWS, GROWTH = 1 << 14, 1 << 15, 4
 ALPHA = 0.1
 CHUNK = 6_000_000
 #: Characters of a part for the least tables (parts grow with the tables, as their changes do), and the least number of parts.
-PART_CHARS, PARTS, ROUNDS, BATCH, RATE = 16_000_000, 4, 2, 2_048, 0.15
+PART_CHARS, PARTS = 16_000_000, 4
+#: Shares of the documents between which the parts are averaged, tokens of a gradient step, and the rate.
+ROUNDS, BATCH, RATE = 2, 4_096, 0.3
 #: Entries that a bucket of words holds, about.
 BUCKET_WORDS = 500_000
-#: Tokens that are scored at a time.
-ROWS = 8_192
+#: Tokens that are scored at a time. Bytes of texts that are cut into words together.
+ROWS, SLICE = 4_096, 1_000_000
 NEVER = np.float32(-1e30)
 END = b""
 
@@ -133,65 +138,105 @@ def _softmax(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray]) -> np.
     return x
 
 
+class Softmax:
+    """One factor of the model over batches of tokens. Its arrays are kept, as new ones of this size cost more than the work.
+
+    table: weights (rows, width); bias: (1 or more, width). A token's row of probabilities is in proportion
+    to the product of the exponentials of its bias and its rows of weights.
+    """
+
+    def __init__(self, bias: np.ndarray, table: np.ndarray, batch: int):
+        self.bias, self.table = np.atleast_2d(bias), table
+        self.bias_exp, self.exp = np.exp(self.bias - self.bias.max(axis=1, keepdims=True)), np.exp(table)
+        self.x, self.y = (np.empty((batch, table.shape[1]), np.float32) for _ in range(2))
+        self.ones, self.line = np.ones(max(batch, table.shape[1]), np.float32), np.arange(batch)
+
+    def probabilities(self, rows: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+        """Of each token (a view of a kept array). own: the row of the bias for each token."""
+        x, y = self.x[: len(own)], self.y[: len(own)]
+        np.take(self.exp, rows[0], axis=0, out=x, mode="clip")
+        for table, r in [*((self.exp, r) for r in rows[1:]), (self.bias_exp, own)]:
+            np.take(table, r, axis=0, out=y, mode="clip")
+            np.multiply(x, y, out=x)
+        total = x @ self.ones[: x.shape[1]]
+        far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
+        if len(far):  # too large or small for products
+            x[far], total[far] = np.exp(_softmax(self.bias[own[far]], self.table, [r[far] for r in rows])), 1
+        np.divide(1, total, out=total)
+        return np.multiply(x, total[:, None], out=x)
+
+    def log_of(self, rows: list[np.ndarray], own: np.ndarray, true: np.ndarray) -> np.ndarray:
+        """ln of the probability of the true one for each token."""
+        p = self.probabilities(rows, own)[self.line[: len(own)], true]
+        low = np.flatnonzero(p < 1e-30)
+        with np.errstate(divide="ignore"):
+            out = np.log(p, dtype=np.float64)
+        if len(low):
+            out[low] = _softmax(self.bias[own[low]], self.table, [r[low] for r in rows])[np.arange(len(low)), true[low]]
+        return out
+
+
+class Learner(Softmax):
+    """A factor that learns: of each row of weights it has the sum of squared gradients, too."""
+
+    def __init__(self, bias: np.ndarray, table: np.ndarray, batch: int, features: int):
+        super().__init__(bias, table.copy(), batch)
+        self.seen = np.ones(len(table), np.float32)
+        self.sums, self.some = (np.empty((features * batch, table.shape[1]), np.float32) for _ in range(2))
+        self.many = np.ones(features * batch, np.float32)
+
+    def gradient(self, rows: list[np.ndarray], own: np.ndarray, true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of weights that the tokens have, once each, and the gradient of the loss by them (a view of a kept array)."""
+        error = self.probabilities(rows, own)
+        error[self.line[: len(own)], true] -= 1
+        at = np.concatenate(rows)
+        order = np.argsort(at.astype(np.uint16) if len(self.table) <= 1 << 16 else at, kind="stable")
+        at, line = at[order], order % len(own)
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
+        n, out = np.diff(starts, append=len(at)), self.sums[: len(starts)]
+        np.take(error, line[starts], axis=0, out=out, mode="clip")
+        few, k = np.flatnonzero((n > 1) & (n < 8)), 1
+        while len(few):
+            x = np.take(error, line[starts[few] + k], axis=0, out=self.some[: len(few)], mode="clip")
+            out[few] += x
+            k += 1
+            few = few[n[few] > k]
+        for i in np.flatnonzero(n >= 8).tolist():
+            lo, hi = int(starts[i]), int(starts[i] + n[i])
+            x = np.take(error, line[lo:hi], axis=0, out=self.some[: hi - lo], mode="clip")
+            np.dot(self.many[: hi - lo], x, out=out[i])
+        return at[starts], out
+
+    def step(self, rows: list[np.ndarray], own: np.ndarray, true: np.ndarray) -> None:
+        row, grad = self.gradient(rows, own, true)
+        size = np.einsum("ij,ij->i", grad, grad)
+        size *= 4 / grad.shape[1]
+        size += self.seen[row]
+        self.seen[row] = size
+        np.multiply(grad, (RATE / np.sqrt(size))[:, None], out=grad)
+        x = np.take(self.table, row, axis=0, out=self.some[: len(row)], mode="clip")
+        np.subtract(x, grad, out=x)
+        self.table[row] = x
+        self.exp[row] = np.exp(x, out=x)
+
+
 def log_probs(w: Weights, before: list[np.ndarray], cls: np.ndarray, sym: np.ndarray) -> np.ndarray:
     """ln P(class | context), and for head tokens ln P(token | context)."""
-    out = np.zeros(len(cls))
+    out, n_class, n_word = np.zeros(len(cls)), len(w.by_class), len(w.by_word)
+    batch = min(ROWS, max(1, len(cls)))
+    classes, words = Softmax(w.class_bias, w.by_class, batch), Softmax(w.word_bias, w.by_word, batch)
     for lo in range(0, len(cls), ROWS):
         c, s = cls[lo : lo + ROWS], sym[lo : lo + ROWS]
-        class_rows, word_rows = features([b[lo : lo + ROWS] for b in before], c, len(w.by_class), len(w.by_word))
-        out[lo : lo + ROWS] = _softmax(w.class_bias, w.by_class, class_rows)[np.arange(len(c)), c]
+        class_rows, word_rows = features([b[lo : lo + ROWS] for b in before], c, n_class, n_word)
+        out[lo : lo + ROWS] = classes.log_of(class_rows, np.zeros(len(c), np.int64), c)
         head = np.flatnonzero(c < HEAD_CLASSES)
-        inner = _softmax(w.word_bias[c[head]], w.by_word, [r[head] for r in word_rows])
-        out[lo + head] += inner[np.arange(len(head)), s[head] % WIDTH]
+        out[lo + head] += words.log_of([r[head] for r in word_rows], c[head], s[head] % WIDTH)
     return out
 
 
-def _errors(bias: np.ndarray, table: np.ndarray, rows: list[np.ndarray], true: np.ndarray) -> np.ndarray:
-    """The softmax's probabilities, less 1 at the true one of each line."""
-    x = np.take(table, rows[0], axis=0)
-    for r in rows[1:]:
-        x += np.take(table, r, axis=0)
-    x += bias
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    x[np.arange(len(x)), true] -= 1
-    return x
-
-
-def _sums(lines: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the runs of lines that begin at starts; as np.add.reduceat, which is slow along this axis."""
-    n = np.diff(np.append(starts, len(lines)))
-    out = np.take(lines, starts, axis=0)
-    some = np.flatnonzero((n > 1) & (n < 8))
-    for k in range(1, 7):
-        out[some] += np.take(lines, starts[some] + k, axis=0)
-        some = some[n[some] > k + 1]
-    for i in np.flatnonzero(n >= 8).tolist():
-        out[i] = lines[starts[i] : starts[i] + n[i]].sum(axis=0)
-    return out
-
-
-def _step(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], error: np.ndarray) -> None:
-    """One Adagrad step; rows: those that each line of error concerns, once for each feature."""
-    at = np.concatenate(rows)
-    order = np.argsort(at.astype(np.uint16) if len(table) <= 1 << 16 else at, kind="stable")
-    at = at[order]
-    starts = np.flatnonzero(np.diff(at, prepend=-1))
-    grad = _sums(np.take(error, order % len(error), axis=0), starts)
-    row = at[starts]
-    total = np.take(seen, row, axis=0)
-    total += grad * grad
-    seen[row] = total
-    grad *= RATE
-    grad /= np.sqrt(total, out=total)
-    table[row] = np.take(table, row, axis=0) - grad
-
-
 def fit_part(w: Weights, docs: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """docs: the symbols of each text -> the rows that changed and their changes, of both tables."""
-    by_class, by_word = w.by_class.copy(), w.by_word.copy()
-    seen_class, seen_word = np.full(by_class.shape, 1.0, np.float32), np.full(by_word.shape, 1.0, np.float32)
+    classes, words = Learner(w.class_bias, w.by_class, BATCH, 4), Learner(w.word_bias, w.by_word, BATCH, 3)
     gap = np.full(3, START, np.uint16)
     stream = np.concatenate([x for d in docs for x in (gap, d)])  # three STARTs before each text
     own = np.flatnonzero(stream != START)
@@ -200,14 +245,13 @@ def fit_part(w: Weights, docs: list[np.ndarray], seed: int) -> tuple[np.ndarray,
         at = own[k * BATCH : (k + 1) * BATCH]
         s = stream[at].astype(np.int64)
         c = np.where(s < HEAD, s // WIDTH, s - HEAD + HEAD_CLASSES)
-        class_rows, word_rows = features([stream[at - n] for n in (1, 2, 3)], c, len(by_class), len(by_word))
-        _step(by_class, seen_class, class_rows, _errors(w.class_bias, by_class, class_rows, c))
+        class_rows, word_rows = features([stream[at - n] for n in (1, 2, 3)], c, len(w.by_class), len(w.by_word))
+        classes.step(class_rows, np.zeros(len(c), np.int64), c)
         head = np.flatnonzero(c < HEAD_CLASSES)
         if len(head):
-            rows = [r[head] for r in word_rows]
-            _step(by_word, seen_word, rows, _errors(w.word_bias[c[head]], by_word, rows, s[head] % WIDTH))
-    a, b = np.flatnonzero((seen_class > 1).any(axis=1)), np.flatnonzero((seen_word > 1).any(axis=1))
-    return a, by_class[a] - w.by_class[a], b, by_word[b] - w.by_word[b]
+            words.step([r[head] for r in word_rows], c[head], s[head] % WIDTH)
+    a, b = np.flatnonzero(classes.seen > 1), np.flatnonzero(words.seen > 1)
+    return a, classes.table[a] - w.by_class[a], b, words.table[b] - w.by_word[b]
 
 
 class Vocabulary:
@@ -250,15 +294,64 @@ class Vocabulary:
 # -- jobs -------------------------------------------------------------------------------------------
 
 
-class _Ids(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        return k
+class _Chunk:
+    """Documents of about ``CHUNK`` bytes and their distinct words, in the order in which they were met; the end is the first."""
+
+    def __init__(self) -> None:
+        self.table, self.place, self.long = UnitTable(CHUNK // 8), Rows(at=np.int64), {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.doc_ids, self.training, self.lengths, self.ids, self.words, self.size = [], [], [], [], [END], 0
+        self.long.clear()
+        self._forget()
+        self.table.clear()
+
+    def _learn(self, words: list[bytes]) -> None:
+        self.place.add(at=np.arange(len(self.words), len(self.words) + len(words)))
+        self.words += words
+
+    def _forget(self) -> None:
+        self.place.clear()
+
+    def add(self, doc_ids: list, training: list, texts: pa.Array) -> None:
+        raw, offsets = text_bytes(texts)
+        whole = raw.tobytes().lower()
+        raw = np.frombuffer(whole, np.uint8)
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offsets] = True
+        starts = np.flatnonzero(solid & (edge[:-1] | np.append(True, ~solid[:-1])[: len(raw)]))
+        ends = np.flatnonzero(solid & (edge[1:] | np.append(~solid[1:], True)[: len(raw)])) + 1
+        sizes = ends - starts
+        short, long = np.flatnonzero(sizes <= UNIT_BYTES), np.flatnonzero(sizes > UNIT_BYTES)
+        ids = np.empty(len(starts), np.uint32)
+        entry = self.table.look_up(raw, starts[short], sizes[short], self._learn, self._forget)
+        ids[short] = self.place["at"][entry]
+        for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+            word = whole[a:b]
+            k = self.long.get(word)
+            if k is None:
+                k = self.long[word] = len(self.words)
+                self.words.append(word)
+            ids[i] = k
+        at = np.searchsorted(starts, offsets)
+        self.ids.append(np.insert(ids, at[1:], 0))
+        self.lengths.append(np.diff(at) + 1)
+        self.doc_ids += doc_ids
+        self.training += training
+        self.size += len(raw) + 8 * len(doc_ids)
+
+    def row(self, chunk: int) -> pa.RecordBatch:
+        lengths, ids = np.concatenate(self.lengths), np.concatenate(self.ids)
+        counts = np.bincount(ids[np.repeat(np.array(self.training, bool), lengths)], minlength=len(self.words)).astype(np.uint32)
+        return pa.RecordBatch.from_pylist([{"chunk": chunk, "doc_ids": self.doc_ids, "training": self.training, "lengths": lengths, "ids": _pack(ids), "words": b"\n".join(self.words), "counts": counts.tobytes()}], _CHUNK_ARROW)
 
 
 CHUNK_SCHEMA = "chunk long, doc_ids array<long>, training array<boolean>, lengths array<long>, ids binary, words binary, counts binary"
 COUNTED_SCHEMA = "bucket int, asking long, words binary, c binary"
 ASKED_SCHEMA = "bucket int, asking long, words binary, own binary"
+_CHUNK_ARROW = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,29 +362,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     from pyspark import TaskContext
 
-    base, k = TaskContext.get().partitionId() << 32, 0
-    schema = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
-
-    def row() -> pa.RecordBatch:
-        lengths, ids = np.array([len(x) for x in packed], np.int64), np.concatenate(packed)
-        counts = np.bincount(ids[np.repeat(np.array(training, bool), lengths)], minlength=len(known)).astype(np.uint32)
-        return pa.RecordBatch.from_pylist([{"chunk": base + k, "doc_ids": doc_ids, "training": training, "lengths": lengths, "ids": _pack(ids), "words": b"\n".join(known), "counts": counts.tobytes()}], schema)
-
-    doc_ids, training, packed, known, size = [], [], [], _Ids(), 0
+    number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
     for b in batches:
-        for doc_id, trains, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            words = words_of(raw.lower())
-            words.append(END)
-            packed.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-            doc_ids.append(doc_id)
-            training.append(trains)
-            size += len(raw) + 8
-            if size >= CHUNK:
-                yield row()
-                doc_ids, training, packed, known, size, k = [], [], [], _Ids(), 0, k + 1
-    if doc_ids:
-        yield row()
+        for lo, hi in spans(pc.fill_null(pc.binary_length(b.column(2)), 0).to_pylist(), SLICE):
+            chunk.add(b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), b.column(2).slice(lo, hi - lo))
+            if chunk.size >= CHUNK:
+                yield chunk.row(number)
+                chunk.clear()
+                number += 1
+    if chunk.doc_ids:
+        yield chunk.row(number)
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -421,7 +501,7 @@ def fit_sizes(chars: float, part_chars: int = PART_CHARS) -> tuple[int, int]:
 
 
 def deal(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary, parts: int) -> DataFrame:
-    """(part, keys, lengths, sym): the symbols of all training documents, those of a chunk and a part in one row."""
+    """(part, share, keys, lengths, sym): the symbols of all training documents, those of a chunk, a part and a share in one row."""
     known = chunks.sparkSession.sparkContext.broadcast(vocab)
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -432,16 +512,16 @@ def deal(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary,
                 if trains:
                     own = sym[x["ids"][end - n : end]]
                     key = zlib.crc32(own.tobytes(), zlib.crc32(f"{doc_id}fit".encode()))
-                    dealt.setdefault(key % parts, []).append((key, own))
-            for part, docs in dealt.items():
-                out.append({"part": part, "keys": np.array([k for k, _ in docs], np.uint32).tobytes(), "lengths": np.array([len(d) for _, d in docs], np.int64).tobytes(), "sym": _pack(np.concatenate([d for _, d in docs]))})
-        return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary()), ("sym", pa.binary())]))
+                    dealt.setdefault((key % parts, key // parts % ROUNDS), []).append((key, own))
+            for (part, share), docs in dealt.items():
+                out.append({"part": part, "share": share, "keys": np.array([k for k, _ in docs], np.uint32).tobytes(), "lengths": np.array([len(d) for _, d in docs], np.int64).tobytes(), "sym": _pack(np.concatenate([d for _, d in docs]))})
+        return pa.Table.from_pylist(out, pa.schema([("part", pa.int32()), ("share", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary()), ("sym", pa.binary())]))
 
-    return _with_counts(chunks, counted).applyInArrow(encode, "part int, keys binary, lengths binary, sym binary")
+    return _with_counts(chunks, counted).applyInArrow(encode, "part int, share int, keys binary, lengths binary, sym binary")
 
 
 def fit(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary, part_chars: int) -> Weights:
-    """Weights fitted on all training documents."""
+    """Weights fitted on all training documents, each in one round."""
     spark = chunks.sparkSession
     growth, parts = fit_sizes(6.0 * vocab.tokens, part_chars)  # a training token is about six characters
     n_class = growth * CLASS_ROWS
@@ -450,7 +530,7 @@ def fit(chunks: DataFrame, counted: DataFrame, buckets: int, vocab: Vocabulary,
     for k in range(ROUNDS):
         part = _part_fitter(spark.sparkContext.broadcast(weights), k)
 
-        changes = dealt.groupBy("part").applyInPandas(part, "part int, place long, change binary")
+        changes = dealt.where(F.col("share") == k).groupBy("part").applyInPandas(part, "part int, place long, change binary")
         blocks = 64 * growth * max(1, parts // 8)
         changes = changes.groupBy((F.col("place") % blocks).alias("block")).applyInPandas(_averager(n_class), "place long, change binary")
         by_class, by_word = weights.by_class.copy(), weights.by_word.copy()

@@ -54,6 +54,10 @@ class UnitTable:
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.keys = np.empty((size, 4), np.uint64)
 
+    def clear(self) -> None:
+        self.n = 0
+        self.slots.fill(-1)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = mix64(keys[:, 0] + np.uint64(0x9E3779B97F4A7C15) * keys[:, 3])
         h = mix64(h ^ keys[:, 1])
@@ -95,8 +99,7 @@ class UnitTable:
             forget()
             if len(starts) > self.size:
                 self.__init__(len(starts))
-            self.n = 0
-            self.slots.fill(-1)
+            self.clear()
             new = np.arange(len(starts))
         if len(new):  # each distinct one once
             order = new[np.lexsort(keys[new].T)]
