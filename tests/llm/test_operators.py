@@ -246,9 +246,8 @@ def test_a_store_of_four_byte_ids(spark, awkward, tmp_path, monkeypatch):
     enc.kind, enc.ids = np.dtype("<u4"), units.Rows(ids=np.uint32)
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in AWKWARD]), "text": [r[1] for r in AWKWARD]})
     monkeypatch.setitem(token_store._ENCODERS, "wide", enc)
-    staged = [x for b in token_store.encode_batches("wide", 0)(iter([batch])) for x in b.to_pylist()]
-    df = spark.createDataFrame([(r["doc_id"], r["n_tokens"], r["root"], r["chunks"]) for r in staged], token_store.STAGED)
-    path = token_store.store_staged(df, f"{tmp_path}/store")
+    rows = [tuple(x.values()) for b in token_store.encode_batches("wide", 0)(iter([batch])) for x in b.to_pylist()]
+    path = token_store.store_encoded(spark.createDataFrame(rows, token_store.STAGED), f"{tmp_path}/store")
     assert all(len(r["ids"]) == 4 * r["n"] for r in spark.read.parquet(f"{path}/chunks").collect())
     assert {(r["start"], tuple(r["ids"])) for r in token_store.read_documents(spark, path).collect()} == set(want)
     assert all(r["verified"] for r in token_store.read_digests(spark, path).collect())

@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -242,15 +243,33 @@ def crc_combine(first: np.ndarray, second: np.ndarray, second_len: np.ndarray) -
 
 # -- write -----------------------------------------------------------------------------------------
 
-_CHUNK = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
+#: Kinds of encoded rows: a chunk with its ids, and a document whose recipe is packed in the place of ids.
+CHUNK, DOCUMENT = 0, 1
 _ENCODERS: dict[str, Encoder] = {}
 
 
-STAGED = "doc_id long, n_tokens long, root binary, chunks array<struct<digest:binary,n:int,ids:binary>>"
+STAGED = "kind int, digest binary, n int, ids binary"
+
+
+_FIXED = struct.Struct("<?qq32s")
+
+
+def pack_recipe(doc_id: int | None, n_tokens: int, root: bytes, digests: list[bytes], sizes: list[int]) -> bytes:
+    return _FIXED.pack(doc_id is not None, doc_id or 0, n_tokens, root) + b"".join(digests) + np.array(sizes, "<i4").tobytes()
+
+
+def unpack_recipe(raw: bytes) -> tuple[int | None, int, bytes, list[bytes], list[int]]:
+    named, doc_id, n_tokens, root = _FIXED.unpack_from(raw)
+    k, at = (len(raw) - _FIXED.size) // 36, _FIXED.size
+    digests = [raw[i : i + 32] for i in range(at, at + 32 * k, 32)]
+    return doc_id if named else None, n_tokens, root, digests, np.frombuffer(raw, "<i4", k, at + 32 * k).tolist()
 
 
 def encode_batches(tokenizer: str, end_id: int):
-    """Batches of (doc_id, text) to batches of ``STAGED``."""
+    """Batches of (doc_id, text) to batches of ``STAGED``: the chunks of the texts, and a row for each text.
+
+    A text's digest is made of what its row holds, so texts with the same digest may count as repeats of one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
@@ -262,24 +281,25 @@ def encode_batches(tokenizer: str, end_id: int):
                 total, raw, marks = counts + 1, ids.tobytes(), _marks(ids)
                 firsts = np.cumsum(total) - total
                 of = np.split(marks, np.searchsorted(marks, firsts[1:], "right"))  # a mark is the end of a chunk
-                roots, offsets, digests, sizes, payload = [], [0], [], [], []
-                for first, n, own in zip(firsts.tolist(), total.tolist(), of, strict=True):
+                digests, sizes, payload, recipes = [], [], [], []
+                for doc_id, first, n, own in zip(b.column(0).slice(lo, hi - lo).to_pylist(), firsts.tolist(), total.tolist(), of, strict=True):
                     ends = _ends((own - first).tolist(), n)
+                    lengths = [e - a for a, e in zip([0, *ends], ends)]
                     pieces = [raw[(first + a) * width : (first + e) * width] for a, e in zip([0, *ends], ends)]
                     digested = [hashlib.sha256(x).digest() for x in pieces]
                     digests += digested
                     payload += pieces
-                    sizes += [e - a for a, e in zip([0, *ends], ends)]
-                    roots.append(merkle_root(digested))
-                    offsets.append(len(digests))
-                items = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary())], fields=list(_CHUNK))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(total, pa.int64()), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)], names=["doc_id", "n_tokens", "root", "chunks"])
+                    sizes += lengths
+                    recipes.append(pack_recipe(doc_id, n, merkle_root(digested), digested, lengths))
+                digests += [hashlib.sha256(b"document" + x).digest() for x in recipes]
+                kinds = np.repeat(np.array([CHUNK, DOCUMENT], np.int32), [len(payload), len(recipes)])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(digests, pa.binary()), pa.array([*sizes, *[1] * len(recipes)], pa.int32()), pa.array(payload + recipes, pa.binary())], names=["kind", "digest", "n", "ids"])
 
     return run
 
 
 def encode_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = 0) -> DataFrame:
-    """The columns of ``STAGED``: each document's chunks with their digests, and the digests' Merkle root."""
+    """The rows of ``STAGED``: the documents' chunks, and each document's recipe with its Merkle root."""
     require(df, id_col, text_col)
     ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode_batches(tokenizer, end_id), STAGED)
@@ -304,24 +324,45 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names=names)
 
 
-def store_staged(staged: DataFrame, path: str) -> str:
-    """Write the tables of a store from encoded documents."""
-    chunks = staged.select(F.explode("chunks").alias("c")).select("c.digest", "c.n", "c.ids")
-    chunks.groupBy("digest").agg(F.first("n").alias("n"), F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = staged.select("doc_id", "n_tokens", "root", F.col("chunks.digest").alias("digests"), F.col("chunks.n").alias("sizes"))
-    ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+RECIPE = "doc_id long, n_tokens long, root binary, digests array<binary>, sizes array<int>"
+
+
+def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed recipes, each as often as it was met."""
+    for b in batches:
+        rows = [unpack_recipe(x) for x, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True) for _ in range(n)]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_tokens", "root", "digests", "sizes"])
+
+
+def store_encoded(encoded: DataFrame, path: str) -> str:
+    """Write the tables of a store from encoded rows (``STAGED``).
+
+    Chunks and documents pass one shuffle, in which equal chunks become one; its output is the table of
+    chunks, and the documents' recipes, which are small, are then put in order.
+    """
+    spark = encoded.sparkSession
+    n = F.when(F.col("kind") == DOCUMENT, F.sum("n")).otherwise(F.first("n")).cast("int")
+    met = encoded.groupBy("kind", "digest").agg(n.alias("n"), F.first("ids").alias("ids"))
+    met.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/met")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(hadoop(f"{path}/met/kind={CHUNK}")):
+        files.rename(hadoop(f"{path}/met/kind={CHUNK}"), hadoop(f"{path}/chunks"))
+        packed = spark.read.schema("n int, ids binary").parquet(f"{path}/met/kind={DOCUMENT}")
+    else:
+        spark.createDataFrame([], "digest binary, n int, ids binary").write.parquet(f"{path}/chunks")
+        packed = spark.createDataFrame([], "n int, ids binary")
+    ordered = packed.mapInArrow(_recipes, RECIPE).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(_number, "kind int, part int, row long, start long, doc_id long, n_tokens long, root binary, digests array<binary>, sizes array<int>").write.parquet(f"{path}/recipes")
+    files.delete(hadoop(f"{path}/met"), True)
     return path
 
 
 def write_store(df: DataFrame, path: str, **kw) -> str:
-    """Write the documents of ``df`` as a store below ``path`` and return the path. The staged encoding is deleted again."""
-    spark = df.sparkSession
-    encode_documents(df, **kw).write.option("compression", "zstd").parquet(f"{path}/staged")
-    store_staged(spark.read.parquet(f"{path}/staged"), path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/staged")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return path
+    """Write the documents of ``df`` as a store below ``path``, a new folder, and return the path."""
+    return store_encoded(encode_documents(df, **kw), path)
 
 
 # -- read ------------------------------------------------------------------------------------------
