@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their source's boilerplate lines. A text of such lines alone stays: it is one of many copies, for the next stage."""
-    out = line_dedup.line_dedup(docs, spare_whole=True)
+    out = line_dedup.line_dedup(docs, spare_whole=True, counts=False)
     return out.select(*[F.length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 

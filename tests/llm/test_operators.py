@@ -185,6 +185,54 @@ def test_language_id(spark, docs, awkward):
     assert kept.columns == docs.columns and kept.count() > 0.9 * docs.count()
 
 
+def slow_ngrams(text, sizes=(3, 4)):
+    """The text's words in letters, lower case, each between blanks, cut into n-grams that have no blank inside."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return [g for w in words for n in sizes for k in range(len(w) + 3 - n) if (g := f" {w} "[k : k + n])]
+
+
+def test_language_filters_by_brute_force(spark):
+    """Plain sets of n-grams in place of the hashed filters: the same sets learned, and the same shares up to false positives."""
+    rng = np.random.default_rng(8)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "\u0436\u0434\u044f\u0438"}
+    rows = [(k, " ".join("".join(rng.choice(list(letters[lang]), rng.integers(1, 6))) for _ in range(60)), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    rows += [(900, None, "aa"), (901, "x1y 22", None), (902, "", "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_share=1e-3)
+    counts = {lang: Counter(g for _, t, x in rows if x == lang for g in slow_ngrams(t)) for lang in letters}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    learned = {lang: {g for g, p in share[lang].items() if p >= 1e-3 and counts[lang][g] >= langid.MIN_COUNT and p >= langid.REL * max(share[x].get(g, 0) for x in letters)} for lang in letters}
+    tests = [t for _, t, _ in rows[:30]] + ["abc \u0436\u0434", "efg, EFG!", None, "12", "a"]
+    est, n = model.estimates(tests)
+    assert model.langs == sorted(letters)
+    for t, row, total in zip(tests, est, n, strict=True):
+        grams = slow_ngrams(t)
+        assert total == len(grams)
+        for lang, got in zip(model.langs, row, strict=True):
+            true = sum(g in learned[lang] for g in grams) / max(1, len(grams))
+            assert true - 0.02 <= got <= true + 0.02, (t, lang)
+    assert model.predict([None, "12", ""])[0] == ["und"] * 3
+
+
+def test_false_positives_are_corrected(monkeypatch):
+    """With a table so small that a third of all lookups hit, the corrected shares are near the true ones."""
+    monkeypatch.setattr(langid, "POSITIONS", 1 << 12)
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrst"), 6)) for _ in range(1_500)]
+    inside = np.unique(np.concatenate([g for g, _ in langid.ngrams([" ".join(words[:300])])]))
+    model = langid.LanguageFilters({"xx": inside})
+    assert 0.1 < model.rates[0] < 0.9
+    held = {g for w in words[:300] for g in slow_ngrams(w)}
+    for some in (words[:300], words[300:], words[150:450]):
+        grams = slow_ngrams(" ".join(some))
+        assert model.estimates([" ".join(some)])[0][0, 0] == pytest.approx(sum(g in held for g in grams) / len(grams), abs=0.06)
+
+
+def test_language_filter_leaves_columns_alone(spark, docs):
+    named = docs.select("*", F.lit(77.0).alias("score"), F.lit("x").alias("lang_pred"), F.lit(1).alias("a.b"))
+    kept = langid.language_filter(named)
+    assert kept.columns == named.columns and {(r["score"], r["lang_pred"], r["a.b"]) for r in kept.collect()} == {(77.0, "x", 1)}
+
+
 # -- 3 ------------------------------------------------------------------------------------------------
 
 
@@ -314,6 +362,15 @@ def test_mixing(spark, awkward, docs):
     assert copies == Counter({k: v for (k, _), v in taken.items() if v})
 
 
+def test_mixing_with_clashing_names(spark, docs):
+    plain = {r["doc_id"]: r["times"] for r in mixing.mix(docs).collect()}
+    named = docs.select("*", *[F.lit(5).alias(c) for c in ("mix_hash", "mix_times", "mix_below", "__mix_h", "copy", "times", "size", "a.b")])
+    assert {r["doc_id"]: r["times"] for r in mixing.mix(named).collect()} == plain
+    out = mixing.mix_documents(named)
+    assert out.columns == named.columns and Counter(r["doc_id"] for r in out.collect()) == Counter({k: v for k, v in plain.items() if v})
+    assert {tuple(r[len(docs.columns) :]) for r in out.collect()} == {(5,) * 8}
+
+
 # -- 6 ------------------------------------------------------------------------------------------------
 
 
@@ -364,6 +421,34 @@ def test_embeddings(spark):
     assert embeddings.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_null_ids_that_link_others(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.45]), (2, [0.8, 0.8]), (None, [-1.0, 0.0]), (None, [-1.0, 0.1]), (None, None), (3, None)]
+    got = sorted(map(tuple, embeddings.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 2, 1, False), (None, 1, None, False), (None, 1, None, False), (None, 0, None, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_embeddings_of_many_lengths(spark, monkeypatch):
+    """More lengths than are broadcast: their table meets the vectors in a salted join."""
+    rows = [(2 * n + k, [1.0] * n) for n in range(1, 40) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for most in (5, 10_000):
+        monkeypatch.setattr(embeddings, "BROADCAST_DIMS", most)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.embedding_dedup(df).collect()}
+        assert got == {2 * n + k: (1, 2 * n) for n in range(1, 40) for k in (0, 1)}
+
+
+def test_a_cosine_at_the_threshold_does_not_depend_on_the_tile():
+    rng = np.random.default_rng(6)
+    a = embeddings.unit(rng.normal(size=(60, 24)))
+    b = a + 0.05 * rng.normal(size=a.shape)
+    at = float(np.einsum("ij,ij->i", a[:1], embeddings.unit(b)[:1])[0])  # exactly the threshold for one pair
+    both = np.concatenate([a, embeddings.unit(b)])
+    whole = embeddings.tile_links(both, None, np.ones(120, np.int64), at)[0]
+    split = embeddings.tile_links(both[:60], both[60:], np.ones(120, np.int64), at)[0]
+    assert whole[0] >= 1 and split[0] >= 1
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(0)
     u = embeddings.unit(rng.normal(size=(300, 24)))
@@ -390,6 +475,22 @@ def test_line_dedup(spark):
     assert spark.range(1).select(line_dedup.host_of(F.lit("https://u@Ex.org:80/a")).alias("h")).first()["h"] == "ex.org"
 
 
+def test_line_dedup_edges(spark):
+    long = "\n".join(f"line {k}" for k in range(60_000)) + "\nFooter"
+    rows = [(k, f"own {k}\nFooter", "en", "s") for k in range(40)] + [(50, long, "en", "s"), (51, "own 1\nFooter", "en", "s"), (51, "own 1\nFooter", "en", "s")]
+    rows += [(60 + k, "At the ratio\n" * (k < 5) + f"text {k}", "en", "even") for k in range(100)] + [(200 + k, "Above it\n" * (k < 6) + f"text {k}", "en", "odd") for k in range(100)]
+    df = frame(spark, rows).select("*", F.lit(7).alias("n_lines"), F.lit("k").alias("line_keys"), F.lit(1).alias("a.b"))
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()]
+    by = {g[0]: g for g in got}
+    assert len(got) == len(rows) and [g for g in got if g[0] == 51] == [(51, 2, 1, "own 1")] * 2
+    assert by[50][1:3] == (60_001, 1) and by[50][3] == long.removesuffix("\nFooter")
+    assert by[60][3].startswith("At the ratio") and by[200][3] == "text 0"
+    plain = line_dedup.line_dedup(df, counts=False)
+    assert plain.columns == df.columns and {r["n_lines"] for r in plain.collect()} == {7}
+
+
 # -- 9 ------------------------------------------------------------------------------------------------
 
 
@@ -417,6 +518,25 @@ def test_simhash(spark, docs, awkward):
     assert simhash.simhash_groups(empty(spark)).count() == 0
 
 
+def test_simhash_with_null_ids_that_link_others(spark):
+    """The text between the two others links them, though its id is null."""
+    rng = np.random.default_rng(0)
+    base = [f"w{k}" for k in range(400)]
+    texts, first = [" ".join(base)], simhash.fingerprint(" ".join(base))
+    while len(texts) < 3:  # words replaced until there are texts at 3 bits from the last and over 3 from the first
+        words = texts[-1].split()
+        for k in rng.integers(0, 400, 2):
+            words[k] = f"x{rng.integers(1_000_000)}"
+        fp = simhash.fingerprint(" ".join(words))
+        if (fp ^ simhash.fingerprint(texts[-1])).bit_count() <= 3 and (len(texts) == 1 and (fp ^ first).bit_count() >= 2 or len(texts) == 2 and (fp ^ first).bit_count() > 3):
+            texts.append(" ".join(words))
+    rows = [(7, texts[0]), (None, texts[1]), (8, texts[2]), (None, "alone and apart from all"), (9, "another one that is apart")]
+    got = simhash.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted([(7, 7), (None, 7), (8, 7), (None, None), (9, 9)], key=str)
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["7", "9", "None", "None"]
+
+
 def test_simhash_takes_shingle_size_and_radius(spark):
     a, b = "a b c d e f g h i j", "a b c d e f g h i k"
     apart = (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count()
@@ -457,6 +577,88 @@ def test_language_model(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(5)
+    table, bias = rng.normal(size=(40, 7)).astype(np.float32), rng.normal(size=(3, 7)).astype(np.float32)
+    rows, own, true = [rng.integers(0, 40, 200) for _ in range(3)], rng.integers(0, 3, 200), rng.integers(0, 7, 200)
+    learner = language_model.Learner(bias, table, 256, 3)
+    row, grad = learner.gradient(rows, own, true)
+    assert row.tolist() == sorted(set(np.concatenate(rows).tolist()))
+
+    def loss(t):
+        x = bias[own].astype(float) + sum(t[r] for r in rows)
+        return (np.log(np.exp(x).sum(axis=1)) - x[np.arange(200), true]).sum()
+
+    for i, r in enumerate(row.tolist()):
+        for k in range(7):
+            up, down = table.astype(float), table.astype(float)
+            up[r, k] += 1e-4
+            down[r, k] -= 1e-4
+            assert grad[i, k] == pytest.approx((loss(up) - loss(down)) / 2e-4, abs=2e-3)
+    before = loss(table.astype(float))
+    for _ in range(20):
+        learner.step(rows, own, true)
+    assert loss(learner.table.astype(float)) < 0.8 * before
+
+
+def test_products_far_from_one():
+    """Weights whose products leave the range of single precision, by logarithms."""
+    m = language_model
+    table = np.array([[0, 60, -60], [0, 60, -60], [80, 0, 0], [-90, -90, -90]], np.float32)
+    rows, own = [np.array([0, 2, 3, 3]), np.array([1, 0, 3, 2])], np.zeros(4, np.int64)
+    s = m.Softmax(np.zeros(3, np.float32), table, 4)
+    want = m._softmax(np.zeros((1, 3), np.float32), table, rows)
+    for k in range(3):
+        assert s.log_of(rows, own, np.full(4, k)) == pytest.approx(want[:, k], abs=1e-4)
+
+
+def test_scores_token_by_token(spark, docs, monkeypatch):
+    """score from the model's own vocabulary and weights, one token after the other in plain Python."""
+    m, kept = language_model, []
+    monkeypatch.setattr(m, "_scored", lambda *a, scored=m._scored: kept.append(a[3:]) or scored(*a))
+    rows = {r["doc_id"]: lower(r["text"]).split() + [b""] for r in docs.collect()}
+    training = {i for i in rows if i % 5}
+    c = Counter(w for i in training for w in rows[i])
+    got = {r["doc_id"]: r["score"] for r in m.score_documents(docs, F.col("doc_id") % 5 != 0).collect()}
+    vocab, w = kept[0]
+    tail = Counter()
+    for word, n in c.items():
+        if word not in vocab.head:
+            tail[int(m.tail_class(np.array([n]), np.array([m.spelling(word)]))[0])] += n + m.ALPHA
+
+    def place(word):
+        k = vocab.head.get(word)
+        if k is not None:
+            return k // m.WIDTH, k
+        cls = int(m.tail_class(np.array([c[word]]), np.array([m.spelling(word)]))[0])
+        return cls, m.HEAD + cls - m.HEAD_CLASSES
+
+    def share(x, k):
+        x = x.astype(float)
+        return x[k] - x.max() - math.log(np.exp(x - x.max()).sum())
+
+    for i in sorted(rows, key=lambda i: len(rows[i]))[:60:3]:
+        total, seen = 0.0, [m.START] * 3
+        for word in rows[i]:
+            cls, sym = place(word)
+            before = [np.array([x]) for x in seen[::-1]]
+            class_rows, word_rows = m.features(before, np.array([cls]), len(w.by_class), len(w.by_word))
+            total += share(w.class_bias + sum(w.by_class[r[0]] for r in class_rows), cls)
+            if cls < m.HEAD_CLASSES:
+                total += share(w.word_bias[cls] + sum(w.by_word[r[0]] for r in word_rows), sym % m.WIDTH)
+            elif cls < m.UNSEEN:
+                total += math.log((c[word] + m.ALPHA) / tail[cls])
+            seen = [*seen[1:], sym]
+        assert got[i] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
+def test_language_model_beats_its_counts_by_a_margin(spark):
+    """On held-out text of sf0.01: over 0.3 of a digit a token above the counts alone, and above the model before it is fitted."""
+    rows = [r for r in queries.op10_language_model(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] - r["base_score"] for r in rows) / tokens > 0.3
+
+
 def test_language_model_awkward_rows(spark, awkward):
     got = language_model.score_documents(awkward, F.col("doc_id") < 7).collect()
     assert len(got) == len(AWKWARD) and all(math.isfinite(r["score"]) for r in got)

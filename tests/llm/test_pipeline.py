@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tests.llm.test_operators import components, slow_fingerprint
@@ -54,6 +55,29 @@ def test_stages(spark, tmp_path):
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in again) == Counter((r["doc_id"], r["ids_crc32"]) for r in ids)
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeats, ties and clashing names go through all stages; so does an empty table."""
+    docs = table(spark, SMALL, "documents")
+    clash = ["n_lines", "n_dropped", "score", "lang_pred", "fp", "size", "times", "mix_hash", "copy", "line_keys", "group"]
+    some = docs.orderBy("doc_id").limit(60)
+    long = " ".join(r["text"] for r in docs.collect() if r["text"] and r["lang"] == "en")
+    extra = [(None, docs.first()["text"], "en", "s", 1), (900_001, None, None, None, None), (900_002, "", "en", "s", 0), (900_003, long, "en", "s", len(long)), (900_003, long, "en", "s", len(long)), (900_004, " \t\n", "en", None, 3)]
+    some = some.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
+    some = some.select("*", *[F.lit(7).alias(c) for c in clash])
+    for start in (some, some.limit(0)):
+        docs = start
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out, at = stage(spark, docs, SMALL), f"{tmp_path}/{start.isEmpty()}-{k}"
+            if name != "sentencepiece":
+                assert out.columns == some.columns
+            out.write.parquet(at)
+            docs = spark.read.parquet(at)
+            if name != "sentencepiece":
+                assert {tuple(r[5:]) for r in docs.collect()} <= {(7,) * len(clash)}
+        ids = {r["doc_id"] for r in docs.collect()}
+        assert not ids if start is not some else len(ids) > 20 and 900_003 in ids and not ids & {900_001, 900_002, 900_004}
+
+
 def test_registry():
     import __spark_entry__ as entry
 

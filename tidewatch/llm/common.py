@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The word pattern of the query contracts: maximal runs without ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -58,6 +60,45 @@ class Memory:
         return new
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: list[T.StructField]) -> DataFrame:
+    """mapInArrow over the columns of ``df``, which come first in what ``run`` yields, whatever their names."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    kinds = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, df.schema.fields, strict=True)]
+    extra = [T.StructField(f"x{k}", f.dataType, f.nullable) for k, f in enumerate(added)]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=[f.name for f in (*kinds, *extra)])
+
+    return df.toDF(*names).mapInArrow(renamed, T.StructType([*kinds, *extra])).toDF(*df.columns, *(f.name for f in added))
+
+
+#: Keys that may be joined apart from the others: those with over a 1 / HEAVY_KEYS share of all rows, so fewer than this.
+HEAVY_KEYS = 1_000
+
+
+def join_with_heavy(left: DataFrame, right: DataFrame, key: str, rows_col: str) -> DataFrame:
+    """The inner join on ``key``, for which ``right`` has one row with the number of ``left``'s rows in ``rows_col``.
+
+    Rows of a key that many rows have stay where they are and meet a broadcast table of fewer than ``HEAVY_KEYS`` rows.
+    """
+    total = right.agg(F.sum(rows_col)).first()[0] or 0
+    heavy = F.broadcast(right.where(F.col(rows_col) * HEAVY_KEYS > total))
+    light = left.join(heavy.select(key), key, "left_anti").join(right, key)
+    return left.join(heavy, key).unionByName(light)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, ignoring case: the given ones, with underscores added where needed."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), so that low bits depend on all bits."""
     x = x ^ (x >> np.uint64(33))

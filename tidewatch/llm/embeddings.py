@@ -12,7 +12,8 @@ distributed connected components.
 Defined results: a vector that is null, empty, zero or holds null or non-finite components links with
 nothing and is its own component; vectors of different lengths do not link; identical vectors link with
 each other; of rows that repeat a vec_id each counts as a vector; a null vec_id never names a component;
-labels and extra columns play no part; no rows give no rows.
+a component of null ids alone has none; labels and extra columns play no part; no rows give no rows.
+A cosine within rounding of the threshold is always summed in the same order.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import require
+from tidewatch.llm.common import join_with_heavy, require
 from tidewatch.llm.components import connected_components, merge
 from tidewatch.session import cut, ship
 
@@ -37,6 +38,8 @@ BLOCK_MIN, BLOCK_MAX, BLOCKS = 4_096, 16_384, 32
 ROWS = 512
 #: More than rounding can add to a cosine in double precision.
 SLACK = 1e-9
+#: Lengths of vectors up to which their table is broadcast (under 1 MB); beyond it the join is salted.
+BROADCAST_DIMS, SALTS = 10_000, 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -78,7 +81,12 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, weight: np.ndarray, threshol
         if not len(r):
             continue
         if len(r) * len(c) <= 8 * np.count_nonzero(may):
-            sure = (a[rows[r]] @ other[c].T >= threshold) & may[np.ix_(r, c)]
+            exactly = a[rows[r]] @ other[c].T
+            x, y = np.nonzero((np.abs(exactly - threshold) < SLACK) & may[np.ix_(r, c)])
+            for k in range(0, len(x), 100_000):
+                x_k, y_k = x[k : k + 100_000], y[k : k + 100_000]
+                exactly[x_k, y_k] = np.einsum("ij,ij->i", a[rows[r[x_k]]], other[c[y_k]])
+            sure = (exactly >= threshold) & may[np.ix_(r, c)]
         else:
             sure = np.zeros((len(r), len(c)), bool)
             x, y = np.nonzero(may[np.ix_(r, c)])
@@ -115,13 +123,18 @@ def _rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def near_links(distinct: DataFrame, *, threshold: float = THRESHOLD, block_min: int = BLOCK_MIN) -> DataFrame:
-    """distinct (key, dim, vec, rep, n) -> (u, v, links): for each tile in which rep u links, its links there and the tile's smallest connected rep v."""
-    sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).limit(10_000).collect()}  # lengths of vectors: a few
-    if not sizes:
-        return distinct.sparkSession.createDataFrame([], "u long, v long, links long")
-    parts = {d: max(1, -(-n // min(BLOCK_MAX, max(block_min, n // BLOCKS)))) for d, n in sizes.items()}
-    of = F.element_at(F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]), F.col("dim"))
-    packed = distinct.withColumn("parts", of).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    """distinct (key, dim, vec, rep, n) -> (u, v, links): for each tile in which rep u links, its links there and the tile's smallest connected rep v.
+
+    The reps are different longs.
+    """
+    size = F.least(F.lit(BLOCK_MAX), F.greatest(F.lit(block_min), F.floor(F.col("vectors") / BLOCKS)))
+    sizes = cut(distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("vectors")).select("dim", F.greatest(F.lit(1), F.ceil(F.col("vectors") / size)).cast("int").alias("parts")))
+    if sizes.count() <= BROADCAST_DIMS:
+        met = distinct.join(F.broadcast(sizes), "dim")
+    else:
+        salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = distinct.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["dim", "salt"]).drop("salt")
+    packed = met.withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     packed = packed.groupBy("dim", "block").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("rep", "n", "vec")).alias("of"))
     packed = packed.select("dim", "block", "parts", "of.rep", "of.n", "of.vec")
     dealt = packed.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("dim", F.least("block", "peer").alias("a"), F.greatest("block", "peer").alias("b"), "block", "rep", "n", "vec")
@@ -147,10 +160,15 @@ def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
     ship(df.sparkSession)
     rows = cut(_rows(df, id_col, vec_col))
     solid = rows.where("dim > 0")
-    distinct = cut(solid.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    tiles = cut(near_links(distinct.where("rep is not null"), threshold=threshold, block_min=block_min))
+    distinct = solid.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"))
+    # Vectors are compared by numbers of their own: ids may be null, and then link others all the same.
+    distinct = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
+    tiles = cut(near_links(distinct, threshold=threshold, block_min=block_min))
     links = tiles.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
     groups = connected_components(tiles.select("u", "v")).withColumnRenamed("node", "rep")
-    named = cut(distinct.join(links, "rep", "left").join(groups, "rep", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id")))
-    n_links, component = F.coalesce("links", F.lit(0)).cast("long"), F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", "key").join(named, "key", "left").select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    found = cut(distinct.select("key", "rep", "vec_id", "n").join(links, "rep", "left").join(groups, "rep", "left").withColumn("group", F.coalesce("component_id", "rep")).drop("component_id"))
+    names = found.groupBy("group").agg(F.min("vec_id").alias("component_id"))
+    named = cut(found.join(names, "group").select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"))
+    linked = join_with_heavy(rows.where("dim > 0").select("vec_id", "key"), named, "key", "n").select("vec_id", "n_links", "component_id")
+    alone = rows.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

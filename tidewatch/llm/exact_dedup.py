@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import crc_mod, mix64, require
+from tidewatch.llm.common import crc_mod, join_with_heavy, mix64, require
 from tidewatch.session import cut, ship
 
 #: Keys of a shard, on average: about 3 MB of slots.
@@ -105,7 +105,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def build_index(history: DataFrame, n_shards: int) -> DataFrame:
-    """history (doc_id, digest) -> one row for each shard that has keys."""
+    """history (digest, winner, size), distinct digests -> one row for each shard that has keys."""
     ship(history.sparkSession)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,8 +115,7 @@ def build_index(history: DataFrame, n_shards: int) -> DataFrame:
         winners = pdf["winner"].fillna(NO_ID).to_numpy(np.int64)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "levels": [levels], "digests": [np.frombuffer(raw, "V32")[order].tobytes()], "winners": [winners[order].tobytes()], "sizes": [pdf["size"].to_numpy(np.int64)[order].tobytes()]})
 
-    g = _grouped(history).withColumn("shard", shard_of(F.col("digest"), n_shards))
-    return g.groupBy("shard").applyInPandas(build, INDEX_SCHEMA)
+    return history.withColumn("shard", shard_of(F.col("digest"), n_shards)).groupBy("shard").applyInPandas(build, INDEX_SCHEMA)
 
 
 def lookup(index: DataFrame, incoming: DataFrame, n_shards: int) -> DataFrame:
@@ -152,16 +151,17 @@ def exact_dedup(df: DataFrame, *, historical: Column | None = None, id_col: str
     """
     historical = crc_mod(F.col(id_col), 2) == 0 if historical is None else historical
     rows = cut(digests(df, id_col=id_col, text_col=text_col, historical=historical))
-    history = _grouped(rows.where("old"))
-    n_shards = max(1, -(-history.count() // shard_keys))
-    index = cut(build_index(rows.where("old"), n_shards))
-    probed = lookup(index, _grouped(rows.where("not old")), n_shards)
+    history, incoming = cut(_grouped(rows.where("old"))), cut(_grouped(rows.where("not old")))
+    # Shards bound what one task holds of either side; there are as many as the cluster has cores at least.
+    n_shards = max(df.sparkSession.sparkContext.defaultParallelism, -(-max(history.count(), incoming.count()) // shard_keys))
+    index = cut(build_index(history, n_shards))
+    probed = lookup(index, incoming, n_shards)
     # A member joins the group of its slot, a nonmember is a group of its own. Of a digest's two rows
     # (history's and the member's, which includes it) the larger one is the whole group.
     h_winner = F.when(F.col("h_winner") > NO_ID, F.col("h_winner"))
     found = probed.select("digest", F.when(F.col("member"), F.greatest("winner", h_winner)).otherwise(F.col("winner")).alias("winner"), F.when(F.col("member"), F.col("size") + F.col("h_size")).otherwise(F.col("size")).alias("size"), "member")
     groups = cut(found.union(history.withColumn("member", F.lit(False))).groupBy("digest").agg(F.max("winner").alias("keep_id"), F.max("size").alias("group_size"), F.max("member").alias("member")))
-    return rows.join(groups, "digest").select(
+    return join_with_heavy(rows, groups, "digest", "group_size").select(
         "doc_id",
         "keep_id",
         "group_size",

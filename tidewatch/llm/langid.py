@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import mix64, require, slices
+from tidewatch.llm.common import map_batches, mix64, require, slices
 from tidewatch.session import ship
 
 #: Rows of a language to learn from, about.
@@ -180,11 +180,21 @@ def predict(df: DataFrame, model: LanguageFilters, *, text_col: str = "text") ->
                 cols = [pa.array([x for f in found for x in f[0]], pa.string()), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "score", "n_ngrams"])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_ngrams", T.LongType())])
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_ngrams", T.LongType())])
 
 
 def language_filter(df: DataFrame, *, train: Column | None = None, min_score: float = MIN_SCORE, **kw) -> DataFrame:
-    """The rows of ``df`` whose language is recognised: not ``und``, and a score of at least ``min_score``."""
+    """The rows of ``df`` whose language is recognised: not ``und``, and a score of at least ``min_score``. All columns stay as they are."""
+    text_col = kw.get("text_col", "text")
     model = fit(df.where(train) if train is not None else df, **kw)
-    return predict(df, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*df.columns)
+    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)  # POSITIONS * 8 bytes for each 64 languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = b.column(at).to_pylist(), []
+            for lo, hi in slices(texts, SLICE):
+                langs, score, _ = shared.value.predict(texts[lo:hi])
+                keep += [lang != "und" and s >= min_score for lang, s in zip(langs, score.tolist(), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(df, run, [])

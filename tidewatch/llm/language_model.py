@@ -151,23 +151,23 @@ class Softmax:
         self.x, self.y = (np.empty((batch, table.shape[1]), np.float32) for _ in range(2))
         self.ones, self.line = np.ones(max(batch, table.shape[1]), np.float32), np.arange(batch)
 
-    def probabilities(self, rows: list[np.ndarray], own: np.ndarray) -> np.ndarray:
-        """Of each token (a view of a kept array). own: the row of the bias for each token."""
+    def products(self, rows: list[np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each token's probabilities are in proportion to (a view of a kept array), and its sum. own: the row of the bias for each token."""
         x, y = self.x[: len(own)], self.y[: len(own)]
         np.take(self.exp, rows[0], axis=0, out=x, mode="clip")
-        for table, r in [*((self.exp, r) for r in rows[1:]), (self.bias_exp, own)]:
-            np.take(table, r, axis=0, out=y, mode="clip")
-            np.multiply(x, y, out=x)
+        for r in rows[1:]:
+            np.multiply(x, np.take(self.exp, r, axis=0, out=y, mode="clip"), out=x)
+        np.multiply(x, self.bias_exp if len(self.bias) == 1 else np.take(self.bias_exp, own, axis=0, out=y, mode="clip"), out=x)
         total = x @ self.ones[: x.shape[1]]
         far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
         if len(far):  # too large or small for products
             x[far], total[far] = np.exp(_softmax(self.bias[own[far]], self.table, [r[far] for r in rows])), 1
-        np.divide(1, total, out=total)
-        return np.multiply(x, total[:, None], out=x)
+        return x, total
 
     def log_of(self, rows: list[np.ndarray], own: np.ndarray, true: np.ndarray) -> np.ndarray:
         """ln of the probability of the true one for each token."""
-        p = self.probabilities(rows, own)[self.line[: len(own)], true]
+        x, total = self.products(rows, own)
+        p = x[self.line[: len(own)], true] / total
         low = np.flatnonzero(p < 1e-30)
         with np.errstate(divide="ignore"):
             out = np.log(p, dtype=np.float64)
@@ -187,7 +187,8 @@ class Learner(Softmax):
 
     def gradient(self, rows: list[np.ndarray], own: np.ndarray, true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of weights that the tokens have, once each, and the gradient of the loss by them (a view of a kept array)."""
-        error = self.probabilities(rows, own)
+        error, total = self.products(rows, own)
+        np.multiply(error, np.divide(1, total, out=total)[:, None], out=error)  # the probabilities
         error[self.line[: len(own)], true] -= 1
         at = np.concatenate(rows)
         order = np.argsort(at.astype(np.uint16) if len(self.table) <= 1 << 16 else at, kind="stable")

@@ -11,7 +11,8 @@ number is below ``broadcast_lines``; beyond it pages and lists meet in a join sa
 
 Defined results: a null text has no lines and stays null; an empty text stays empty; a null site is a
 site of its own; a page that loses every line becomes the empty text; repeated rows count as pages of
-their own; a line that repeats within a page counts once and all its repeats go.
+their own; a line that repeats within a page counts once and all its repeats go; a line on exactly ``ratio`` of the
+pages stays; extra columns are passed through, those named like the counts are replaced by them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import require
+from tidewatch.llm.common import fresh, require
 from tidewatch.session import cut
 
 RATIO = 0.05
@@ -46,7 +47,7 @@ def _key(line: Column) -> Column:
 def boilerplate(df: DataFrame, *, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(site, line_key binary, pages long, site_pages long): the lines that go."""
     require(df, site_col, text_col)
-    rows = df.select(F.col(site_col).alias("site"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(f"`{site_col}`").alias("site"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     per = rows.select("site", F.explode(keys).alias("line_key")).groupBy("site", "line_key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     totals = rows.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages"))
@@ -56,36 +57,40 @@ def boilerplate(df: DataFrame, *, site_col: str = "source", text_col: str = "tex
 
 def _salted(left: DataFrame, spread: Column, right: DataFrame, site_col: str) -> DataFrame:
     """left join right on the site, a large site dealt over ``SALTS`` parts. right: (site, ...), one row for each site."""
-    right = right.withColumn("__ld_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("site", "__ld_site")
-    left = left.withColumn("__ld_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    on = F.col(site_col).eqNullSafe(F.col("__ld_site")) & (F.col("__ld_salt") == F.col("__ld_salt_r"))
-    return left.join(right, on, "left").drop("__ld_salt", "__ld_salt_r", "__ld_site")
+    salt, own, site = fresh(left, "salt", "own_salt", "salted_site")
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("site", site)
+    left = left.withColumn(own, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    on = F.col(f"`{site_col}`").eqNullSafe(F.col(site)) & (F.col(own) == F.col(salt))
+    return left.join(right, on, "left").drop(salt, own, site)
 
 
-def line_dedup(df: DataFrame, *, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, spare_whole: bool = False) -> DataFrame:
-    """The rows of ``df`` with boilerplate lines gone from the text, and n_lines, n_dropped (both without blank lines) after its columns.
+def line_dedup(df: DataFrame, *, site_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, spare_whole: bool = False, counts: bool = True) -> DataFrame:
+    """The rows of ``df`` with boilerplate lines gone from the text, and with ``counts`` n_lines, n_dropped (both without blank lines) after its columns.
 
     With ``spare_whole``, a page that consists of such lines alone keeps them: it is a page with many
     copies, of which a later stage keeps one.
     """
     if min_pages < 2:
         raise ValueError("min_pages: 2 at least")
-    lists = cut(boilerplate(df, site_col=site_col, text_col=text_col, ratio=ratio, min_pages=min_pages).groupBy("site").agg(F.collect_list("line_key").alias("__ld_keys")))
-    listed = lists.agg(F.sum(F.size("__ld_keys"))).first()[0] or 0
+    if counts:
+        df = df.drop("n_lines", "n_dropped")
+    keys, left, site = fresh(df, "line_keys", "lines_left", "listed_site")
+    text = F.col(f"`{text_col}`")
+    lists = cut(boilerplate(df, site_col=site_col, text_col=text_col, ratio=ratio, min_pages=min_pages).groupBy("site").agg(F.collect_list("line_key").alias(keys)))
+    listed = lists.agg(F.sum(F.size(keys))).first()[0] or 0
     if listed <= broadcast_lines:
-        right = F.broadcast(lists.withColumnRenamed("site", "__ld_site"))
-        met = df.join(right, F.col(site_col).eqNullSafe(F.col("__ld_site")), "left").drop("__ld_site")
+        right = F.broadcast(lists.withColumnRenamed("site", site))
+        met = df.join(right, F.col(f"`{site_col}`").eqNullSafe(F.col(site)), "left").drop(site)
     else:
-        met = _salted(df, F.col(text_col), lists, site_col)
-    lines = _lines(F.col(text_col).cast("string"))
+        met = _salted(df, text, lists, site_col)
+    lines = _lines(text.cast("string"))
     solid = F.filter(lines, lambda x: F.trim(x) != "")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__ld_keys"), _key(x)))
-    has = F.col("__ld_keys").isNotNull()
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(keys), _key(x)))
+    has = F.col(keys).isNotNull()
     if spare_whole:
-        has = has & F.exists(solid, lambda x: ~F.array_contains(F.col("__ld_keys"), _key(x)))
-    out = met.withColumn("__ld_lines", F.when(has, kept).otherwise(lines))
-    return out.select(
-        *[F.array_join("__ld_lines", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns],
-        F.coalesce(F.size(solid), F.lit(0)).cast("long").alias("n_lines"),
-        (F.coalesce(F.size(lines), F.lit(0)) - F.coalesce(F.size("__ld_lines"), F.lit(0))).cast("long").alias("n_dropped"),
-    )
+        has = has & F.exists(solid, lambda x: ~F.array_contains(F.col(keys), _key(x)))
+    out = met.withColumn(left, F.when(has, kept).otherwise(lines))
+    columns = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    if counts:
+        columns += [F.coalesce(F.size(solid), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.size(lines), F.lit(0)) - F.coalesce(F.size(left), F.lit(0))).cast("long").alias("n_dropped")]
+    return out.select(*columns)

@@ -13,7 +13,7 @@ meets its documents in a join salted over the source.
 
 Defined results: a null or wordless text has size 0 and takes 0 words; a null source is a source, the
 last in order; rows that repeat a doc_id share its hash and are taken together; a null doc_id hashes as
-the empty text; an empty table gives no rows; extra columns play no part.
+the empty text; an empty table gives no rows; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, require
+from tidewatch.llm.common import WORD, fresh, require
 from tidewatch.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -91,28 +91,35 @@ def thresholds(sized: DataFrame, goals: DataFrame, levels: tuple[int, ...] = LEV
     return state.select("source", "source_size", "target", "times", below.alias("below"))
 
 
-def _with_times(df: DataFrame, id_col: str, text_col: str, source_col: str, **kw) -> DataFrame:
-    """``df`` with __mix_times, __mix_target, __mix_size, __mix_source_size."""
+def _with_times(df: DataFrame, id_col: str, text_col: str, source_col: str, **kw) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns for hash, source_size, target and times, and their names, which ``df`` does not have."""
     require(df, id_col, text_col, source_col)
-    sized = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), hash60(F.col(id_col)).alias("h")))
+    parts = ("hash", "named", "source_size", "target", "base", "below", "salt", "part", "times")
+    name = dict(zip(parts, fresh(df, *(f"mix_{p}" for p in parts)), strict=True))
+    doc_id, text, source = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), F.col(f"`{source_col}`").cast("string")
+    sized = cut(df.select(doc_id.alias("doc_id"), source.alias("source"), size_of(text).alias("size"), hash60(doc_id).alias("h")))
     goals = cut(targets(sized, **kw))
-    limits = thresholds(sized, goals).select(F.col("source").alias("__mix_s"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.col("times").alias("__mix_base"), F.col("below").alias("__mix_below"))
-    same = F.col(source_col).cast("string").eqNullSafe(F.col("__mix_s"))
-    df = df.withColumn("__mix_h", hash60(F.col(id_col))).withColumn("__mix_salt", (F.col("__mix_h") % SALTS).cast("int"))
+    limits = thresholds(sized, goals).select(F.col("source").alias(name["named"]), F.col("source_size").alias(name["source_size"]), F.col("target").alias(name["target"]), F.col("times").alias(name["base"]), F.col("below").alias(name["below"]))
+    same = source.eqNullSafe(F.col(name["named"]))
+    df = df.withColumn(name["hash"], hash60(doc_id)).withColumn(name["salt"], (F.col(name["hash"]) % SALTS).cast("int"))
     if goals.count() <= BROADCAST_SOURCES:
         met = df.join(F.broadcast(limits), same)
     else:
-        met = df.join(limits.withColumn("__mix_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("__mix_salt") == F.col("__mix_part")))
-    return met.withColumn("__mix_times", (F.col("__mix_base") + F.when(F.col("__mix_h") < F.col("__mix_below"), 1).otherwise(0)).cast("long"))
+        met = df.join(limits.withColumn(name["part"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col(name["salt"]) == F.col(name["part"])))
+    return met.withColumn(name["times"], (F.col(name["base"]) + F.when(F.col(name["hash"]) < F.col(name["below"]), 1).otherwise(0)).cast("long")), name
 
 
 def mix(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """(doc_id, source, size, source_size, target, times, taken): ``times`` is how often the mix takes the document."""
-    met = _with_times(df, id_col, text_col, source_col, **kw).withColumn("__mix_size", size_of(F.col(text_col).cast("string")))
-    return met.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_times").alias("times"), (F.col("__mix_times") * F.col("__mix_size")).alias("taken"))
+    met, name = _with_times(df, id_col, text_col, source_col, **kw)
+    size, times = F.col(fresh(met, "mix_size")[0]), F.col(name["times"])
+    met = met.withColumn(fresh(met, "mix_size")[0], size_of(F.col(f"`{text_col}`").cast("string")))
+    return met.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size"), F.col(name["source_size"]).alias("source_size"), F.col(name["target"]).alias("target"), times.alias("times"), (times * size).alias("taken"))
 
 
 def mix_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The rows of ``df`` that the mix takes, each as often as it takes it. Columns are unchanged."""
-    met = _with_times(df, id_col, text_col, source_col, **kw).where("__mix_times > 0")
-    return met.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_times")))).select(*[f"`{c}`" for c in df.columns])
+    met, name = _with_times(df, id_col, text_col, source_col, **kw)
+    copy = fresh(met, "copy")[0]
+    met = met.where(F.col(name["times"]) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name["times"]))))
+    return met.select(*[f"`{c}`" for c in df.columns])

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import Memory, mix64, require, spans
+from tidewatch.llm.common import Memory, map_batches, mix64, require, spans
 from tidewatch.llm.units import UNIT_BYTES, Rows, UnitTable, ranges, text_bytes
 from tidewatch.session import ship
 
@@ -53,29 +53,38 @@ NEVER = float("-inf")
 
 
 class _Path:
-    """The end of a segmentation: where it starts, its score, its first piece and, linked, the path behind it. Of constant size."""
+    """The end of a segmentation: where it starts, its score, its first piece and, linked, the path behind it. Of constant size.
 
-    __slots__ = ("cost", "pos", "done", "packed", "tail", "depth")
+    jump leads to a path further behind, at depths such that any path behind is few jumps away.
+    """
+
+    __slots__ = ("cost", "pos", "done", "packed", "tail", "depth", "jump")
 
     def __init__(self, cost: float, pos: int, done: float, packed: bytes, tail: _Path | None):
         self.cost, self.pos, self.done, self.packed, self.tail = cost, pos, done, packed, tail
-        self.depth: int = tail.depth + 1 if tail else 0
+        if tail is None:
+            self.depth, self.jump = 0, self
+        else:
+            self.depth, far = tail.depth + 1, tail.jump
+            self.jump = far.jump if tail.depth - far.depth == far.depth - far.jump.depth else tail
 
     def __lt__(self, other: _Path) -> bool:
         """By cost; then by the starts of the pieces, from the last piece on, a path before those that continue it."""
         if self.cost != other.cost:
             return self.cost < other.cost
-        a, b, shorter = self, other, self.depth < other.depth
+        a, b = self, other
         while a.depth > b.depth:
-            a = a.tail
+            a = a.jump if a.jump.depth >= b.depth else a.tail
         while b.depth > a.depth:
-            b = b.tail
-        first = None
-        while a is not b:  # up to where both came from: the pieces compared last are the first that differ
-            if a.pos != b.pos:
-                first = a.pos < b.pos
-            a, b = a.tail, b.tail
-        return shorter if first is None else first
+            b = b.jump if b.jump.depth >= a.depth else b.tail
+        if a is b:
+            return self.depth < other.depth
+        while a.tail is not b.tail:  # to the first pieces from the end that differ
+            if a.jump is not b.jump:
+                a, b = a.jump, b.jump
+            else:
+                a, b = a.tail, b.tail
+        return a.pos < b.pos
 
 
 class _Trie:
@@ -468,11 +477,11 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, n_best:
                     cols.append(_id_lists(packed))
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns), *cols], names=[*b.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return map_batches(df, run, fields)
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """The rows of ``df`` with ``decoded`` string: the text of the ids. Null ids: null; ids out of range raise."""
+    """The rows of ``df`` with ``decoded`` string: the text of the ids. Null ids: null; ids out of range, or null among the ids, raise."""
     require(df, ids_col)
     ship(df.sparkSession)
     df = df.drop("decoded")
@@ -484,4 +493,4 @@ def decode(df: DataFrame, *, ids_col: str = "ids", model: str = MODEL) -> DataFr
             out = [None if x is None else lat.decode(np.array(x, "<u4").tobytes()) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))
+    return map_batches(df, run, [T.StructField("decoded", T.StringType())])

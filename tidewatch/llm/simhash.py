@@ -11,8 +11,8 @@ Within 3 bits are about a third of the pairs of texts whose 5-word shingles are
 
 Defined results: a null or wordless text has fingerprint zero, which links like any other; a text of
 fewer than three words has one shingle, all its words; rows that repeat a doc_id get the same
-component; a null doc_id belongs to the group of its fingerprint but never names it; extra columns play
-no part; no rows give no rows.
+component; a null doc_id links like any other but never names a component, so one of null ids alone has
+none; extra columns play no part; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import require, words_of
+from tidewatch.llm.common import fresh, join_with_heavy, require, words_of
 from tidewatch.llm.components import connected_components, merge
 from tidewatch.session import cut, ship
 
@@ -103,10 +103,10 @@ def tile_forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> np
 
 
 def near_edges(distinct: DataFrame, *, radius: int = RADIUS, block_min: int = BLOCK_MIN) -> DataFrame:
-    """distinct (fp, rep), one row for each fingerprint -> (u, v): a spanning forest of the links, tile by tile, between reps."""
+    """distinct (fp, rep), one row for each fingerprint, reps different longs -> (u, v): a spanning forest of the links, tile by tile, between reps."""
     spark = distinct.sparkSession
     ship(spark)
-    counted = distinct.where("rep is not null").withColumn("ones", F.bit_count("fp").cast("int"))
+    counted = distinct.withColumn("ones", F.bit_count("fp").cast("int"))
     per = {r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count(F.lit(1)).alias("n")).collect()}  # 65 rows at most
     size = min(BLOCK_MAX, max(block_min, sum(per.values()) // BLOCKS))
     first, parts, ends = [], [], []
@@ -146,10 +146,13 @@ def near_edges(distinct: DataFrame, *, radius: int = RADIUS, block_min: int = BL
 def simhash_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, block_min: int = BLOCK_MIN) -> DataFrame:
     """(doc_id, fp long, fingerprint hex, component_id): component_id is the smallest doc_id reachable by links."""
     fps = cut(fingerprints(df, id_col=id_col, text_col=text_col, shingle=shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = connected_components(near_edges(distinct, radius=radius, block_min=block_min))
-    named = cut(distinct.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    # Fingerprints stand for themselves: ids may be null, and then link others all the same.
+    groups = connected_components(near_edges(distinct.select("fp", F.col("fp").alias("rep")), radius=radius, block_min=block_min)).select(F.col("node").alias("fp"), F.col("component_id").alias("group"))
+    found = cut(distinct.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")))
+    names = found.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = cut(found.join(names, "group").select("fp", "n", "component_id"))
+    return join_with_heavy(fps, named, "fp", "n").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -157,5 +160,6 @@ def simhash_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Of rows that repeat that id, all stay; rows with a null id stay.
     """
-    losers = simhash_groups(df, id_col=id_col, text_col=text_col, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias("__loser")).distinct()
-    return df.join(losers, F.col(id_col) == F.col("__loser"), "left_anti")
+    loser = fresh(df, "loser")[0]
+    losers = simhash_groups(df, id_col=id_col, text_col=text_col, **kw).where("doc_id <> component_id").select(F.col("doc_id").alias(loser)).distinct()
+    return df.join(losers, F.col(f"`{id_col}`") == F.col(loser), "left_anti")
