@@ -67,15 +67,17 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     for start in (some, some.limit(0)):
         docs = start
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-            out, at = stage(spark, docs, SMALL), f"{tmp_path}/{start.isEmpty()}-{k}"
+            out, at = stage(spark, docs, SMALL), f"{tmp_path}/{start is some}-{k}"
             if name != "sentencepiece":
                 assert out.columns == some.columns
             out.write.parquet(at)
             docs = spark.read.parquet(at)
             if name != "sentencepiece":
                 assert {tuple(r[5:]) for r in docs.collect()} <= {(7,) * len(clash)}
+            if name == "simhash":
+                single = {r["doc_id"] for r in docs.collect()}
         ids = {r["doc_id"] for r in docs.collect()}
-        assert not ids if start is not some else len(ids) > 20 and 900_003 in ids and not ids & {900_001, 900_002, 900_004}
+        assert ids <= single and not ids if start is not some else len(ids) > 5 and 900_003 in single and not single & {900_001, 900_002, 900_004}
 
 
 def test_registry():

@@ -65,7 +65,7 @@ CHUNK = 6_000_000
 #: Characters of a part for the least tables (parts grow with the tables, as their changes do), and the least number of parts.
 PART_CHARS, PARTS = 16_000_000, 4
 #: Shares of the documents between which the parts are averaged, tokens of a gradient step, and the rate.
-ROUNDS, BATCH, RATE = 2, 4_096, 0.3
+ROUNDS, BATCH, RATE = 2, 8_192, 0.3
 #: Entries that a bucket of words holds, about.
 BUCKET_WORDS = 500_000
 #: Tokens that are scored at a time. Bytes of texts that are cut into words together.
@@ -155,8 +155,9 @@ class Softmax:
         """What each token's probabilities are in proportion to (a view of a kept array), and its sum. own: the row of the bias for each token."""
         x, y = self.x[: len(own)], self.y[: len(own)]
         np.take(self.exp, rows[0], axis=0, out=x, mode="clip")
-        for r in rows[1:]:
-            np.multiply(x, np.take(self.exp, r, axis=0, out=y, mode="clip"), out=x)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for r in rows[1:]:
+                np.multiply(x, np.take(self.exp, r, axis=0, out=y, mode="clip"), out=x)
         np.multiply(x, self.bias_exp if len(self.bias) == 1 else np.take(self.bias_exp, own, axis=0, out=y, mode="clip"), out=x)
         total = x @ self.ones[: x.shape[1]]
         far = np.flatnonzero(~((total > 1e-30) & (total < 1e30)))
