@@ -221,6 +221,61 @@ def test_single_models(spark):
     assert set(staged.by_stage) == {"early"} and staged.predict(df).count() == 4
 
 
+@pytest.mark.parametrize("case", ["plain", "collinear", "constant", "both", "one row", "large"])
+def test_least_norm_of_moments(spark, case):
+    """Against least squares over the rows themselves, whose solution is of least norm, too."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 3)) + [1, 2, 3]
+    if case in ("collinear", "both"):
+        x[:, 1] = 2 * x[:, 0] - 1
+    if case in ("constant", "both"):
+        x[:, 2] = 5.0
+    if case == "large":
+        x = np.column_stack([x[:, 0] * 1e6, x[:, 0] * 2e6, x[:, 2] * 1e5])
+    if case == "one row":
+        x = x[:1]
+    y = x @ [0.5, 0.25, -1] + rng.normal(size=len(x)) + 4
+    names = ["x_a", "x_b", "x_c"]
+    df = spark.createDataFrame([(*map(float, row), float(v), "early") for row, v in zip(x, y, strict=True)], "x_a double, x_b double, x_c double, y double, distance_bucket string")
+    for design, constant in ((np.column_stack([np.ones(len(x)), x]), True), (x, False)):
+        want = np.linalg.lstsq(design, y, rcond=1e-9)[0]
+        got = linalg.least_norm_of_moments(df.agg(*linalg.moments(names, "y")).first().asDict(), 3, constant)
+        assert design @ (got if constant else got[1:]) == pytest.approx(design @ want, rel=1e-6, abs=1e-6)
+        assert (got if constant else got[1:]) == pytest.approx(want, rel=1e-5, abs=1e-7)
+    model = rolling.LinearModel().fit(df, names)
+    staged = rolling.StageModel(min_stage_rows=1).fit(df, names)
+    assert staged.by_stage["early"].coefficients == pytest.approx(model.coefficients)
+
+
+def test_autoregression_on_a_flat_history(spark):
+    quarters = [(d(f"{2000 + k // 4}-{3 * (k % 4) + 1:02d}-01"), d(f"{2000 + k // 4}-{3 * (k % 4) + 2:02d}-20"), 2.0) for k in range(24)]
+    targets = spark.createDataFrame(quarters, "ref_period date, release_date date, y double")
+    for p, constant in ((1, True), (2, True), (1, False)):
+        cfg = ARConfig(p=p, window_years=4, min_train_quarters=8, test_start="2004-01-01", constant=constant, true_horizon=True)
+        rows = autoregression.quarterly_forecasts(targets, cfg).collect()
+        assert rows and all(r["y_hat"] == pytest.approx(2.0) for r in rows)
+        fit = autoregression.ar_fits(targets, cfg).first()
+        model = autoregression.ARModel(p, constant).fit([2.0] * fit["n_train"])
+        assert [fit[f"b_{i}"] for i in range(0 if constant else 1, p + 1)] == pytest.approx(model.coefficients.tolist())
+
+
+def test_horizon_of_many_steps(spark):
+    """The last release lies three years back: the forecast is carried on over all quarters since."""
+    rng = np.random.default_rng(4)
+    y = [1.0]
+    for _ in range(39):
+        y.append(0.3 + 0.8 * y[-1] + 0.1 * rng.normal())
+    quarters = [(d(f"{1990 + k // 4}-{3 * (k % 4) + 1:02d}-01"), d("1999-06-01") if k < 40 else d("2010-01-01"), v) for k, v in enumerate([*y, *[0.0] * 14])]
+    targets = spark.createDataFrame(quarters, "ref_period date, release_date date, y double")
+    for p in (1, 2):
+        cfg = ARConfig(p=p, window_years=20, min_train_quarters=10, test_start="2003-01-01", true_horizon=True)
+        got = {str(r["target_ref_period"]): r["y_hat"] for r in autoregression.quarterly_forecasts(targets, cfg).collect()}
+        model, path = autoregression.ARModel(p).fit(y), list(y)
+        for _ in range(13):
+            path.append(model.predict_next(path))
+        assert got["2003-01-01"] == pytest.approx(path[-1], abs=1e-8)
+
+
 def test_refit_schedule_starts_in_mid_month(spark):
     ds = spark.createDataFrame([(d("1990-04-02"),)], "origin_date date")
     got = rolling.refit_schedule(ds, RollingConfig(test_start="1990-01-15")).orderBy("refit_date").collect()

@@ -12,6 +12,7 @@ from tidewatch.__main__ import main
 from tidewatch.config import SeriesMeta
 from tidewatch.operators import evaluation
 from tidewatch.plans.queries import _exported, nowcaster
+from tidewatch import session
 from tidewatch.sources import http, observations, results
 from tidewatch.sources.fixtures import CONFIG, TARGET
 
@@ -82,6 +83,30 @@ def test_scan_errors(spark, tmp_path):
         observations.load_raw_series(spark, "a", meta("final"), str(tmp_path)).collect()
 
 
+def test_all_series_are_one_scan_for_each_header(spark, tmp_path):
+    metas = {k: SeriesMeta(k, "v", f"C{k}", "M", "r", 1) for k in "abcd"} | {k: SeriesMeta(k, "v", f"V {k}", "M", "r", 1, vintage_source="alfred") for k in "ef"}
+    for k in "abc":
+        (tmp_path / f"C{k}.csv").write_text(f"ref_period,value\n2020-01-01,{ord(k)}\n")
+    (tmp_path / "Cd.csv").write_text("value,more,ref_period\n100,x,2020-01-01\n")
+    for k in "ef":
+        (tmp_path / f"V {k}_vintage.csv").write_text(f"ref_period,vintage_date,value\n2020-01-01,2020-02-01,{ord(k)}\n")
+    raw = observations.load_all_raw_series(spark, metas, str(tmp_path))
+    assert {(r["series"], r["value"], str(r["vintage_date"])) for r in raw.collect()} == {(k, float(ord(k)), "None" if k < "e" else "2020-02-01") for k in "abcdef"}
+    assert raw._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 3
+    (tmp_path / "Ca.csv").unlink()
+    with pytest.raises(FileNotFoundError):
+        observations.load_all_raw_series(spark, metas, str(tmp_path))
+    (tmp_path / "Ca.csv").write_text("ref_period,x\n")
+    with pytest.raises(ValueError, match="lacks columns"):
+        observations.load_all_raw_series(spark, metas, str(tmp_path))
+
+
+def test_work_folders_are_removed(spark):
+    path = _exported(spark, SMALL)
+    assert observations.path_exists(spark, path)
+    assert path.rsplit("/", 1)[1] in session.clean(spark) and not observations.path_exists(spark, path)
+
+
 def test_data_source(spark, monkeypatch):
     reader = http.ObservationReader(client()[0], ["A", "B"])
     assert len(reader.partitions()) == 2

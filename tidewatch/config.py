@@ -98,6 +98,8 @@ class ARConfig:
     model_name: str = "AR_p1_15y"
     #: False reports the forecast one quarter after the last released one, as published; True steps on to the target itself.
     true_horizon: bool = False
+    #: Whether the regression has an intercept.
+    constant: bool = True
 
 
 #: (name, least days, most days or None); days outside every bucket, or null, are "unknown".

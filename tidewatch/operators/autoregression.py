@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import ARConfig
 from tidewatch.functions.dates import day_spine, quarter_end
-from tidewatch.operators.linalg import fit_groups, linear, moments, solve
+from tidewatch.operators.linalg import linear, moment_names, moments, solve, solve_least_norm
 
 
 def quarterly_targets(cal: DataFrame) -> DataFrame:
@@ -39,15 +39,19 @@ def training_quarters(targets: DataFrame, cfg: ARConfig) -> DataFrame:
 
 
 def ar_fits(targets: DataFrame, cfg: ARConfig) -> DataFrame:
-    """t_eval, n_train, train_start, train_end, n, b_0..b_p, y_0..y_{p-1} (newest values first)."""
+    """t_eval, n_train, train_start, train_end, n, b_0..b_p, y_0..y_{p-1} (newest values first).
+
+    A history that does not vary, or whose lags are collinear, is fitted by least norm.
+    """
     rows, lags = training_quarters(targets, cfg), [f"lag_{i}" for i in range(1, cfg.p + 1)]
     newest = F.max_by(F.struct(F.col("y").alias("y_0"), *[F.col(lags[i]).alias(f"y_{i + 1}") for i in range(cfg.p - 1)]), "ref_period")
     stats = ["t_eval", "n_train", "train_start", "train_end", "newest"]
     per = rows.groupBy("t_eval").agg(F.count(F.lit(1)).alias("n_train"), F.min("ref_period").alias("train_start"), F.max("ref_period").alias("train_end"), newest.alias("newest"), *moments(lags, "y"))
     per = per.where((F.col("n_train") >= cfg.min_train_quarters) & (F.col("n_train") > cfg.p))
-    solved = solve(per, cfg.p, stats)
-    bad = solved.where("b_0 is null").select("t_eval")
-    again = fit_groups(rows.join(F.broadcast(bad), "t_eval", "left_semi"), ["t_eval"], lags, "y", "f")
+    solved = solve(per, cfg.p, [*stats, *[c for c in moment_names(cfg.p) if c != "n"]])
+    if not cfg.constant:
+        solved = solved.withColumns({f"b_{i}": F.lit(None).cast("double") for i in range(cfg.p + 1)})
+    again = solve_least_norm(solved.where("b_0 is null"), cfg.p, ["t_eval"], "f", cfg.constant)
     bs = [f"b_{i}" for i in range(cfg.p + 1)]
     return solved.join(again, "t_eval", "left").select(*stats[:-1], "n", *[F.coalesce(b, F.col(f"f{b[1:]}")).alias(b) for b in bs], "newest.*")
 
@@ -60,16 +64,16 @@ def quarterly_forecasts(targets: DataFrame, cfg: ARConfig | None = None) -> Data
     """
     cfg = cfg or ARConfig()
     fits = ar_fits(targets, cfg)
-    past = [F.col(f"y_{i}") for i in range(cfg.p)]
-    one = linear(past)
+    y_hat = linear([F.col(f"y_{i}") for i in range(cfg.p)])
     if cfg.true_horizon:
         steps = (F.months_between("t_eval", "train_end") / 3).cast("int")
-        y_hat, path = F.when(steps <= 1, one), past
-        for k in range(2, 9):
-            path = [linear(path), *path[:-1]]
-            y_hat = y_hat.when(steps == k, linear(path))
-    else:
-        y_hat = one
+        before = F.when(steps > 1, F.sequence(F.lit(2), steps)).otherwise(F.array().cast("array<int>"))
+        past = F.array(*[F.col(f"y_{i}") for i in range(cfg.p)]).cast("array<double>")
+
+        def ahead(values: Column) -> Column:
+            return linear([F.get(values, i) for i in range(cfg.p)])
+
+        y_hat = ahead(F.aggregate(before, past, lambda values, _: F.concat(F.array(ahead(values)), F.slice(values, 1, cfg.p - 1))))
     test = targets.where(F.col("ref_period") >= F.lit(cfg.test_start).cast("date"))
     if cfg.test_end is not None:
         test = test.where(F.col("ref_period") <= F.lit(cfg.test_end).cast("date"))

@@ -57,7 +57,7 @@ def evaluate_to_files(preds: DataFrame, out_dir: str, cfg: EvaluationConfig | No
     try:
         out = {"metrics_overall": metrics_by(preds, ["model_name"]), "metrics_by_distance": metrics_by_distance(preds, cfg), "metrics_by_time_slice": metrics_by_time_slice(preds, cfg)}
         for name, df in out.items():
-            write_csv(df, f"{out_dir}/{name}.csv")
+            write_csv(df, f"{out_dir}/{name}.csv", one_file=True)
     finally:
         preds.unpersist()
     return {name: f"{out_dir}/{name}.csv" for name in out}
@@ -129,5 +129,5 @@ def compare_files(spark: SparkSession, eval_dir: str, save: bool = True) -> Data
         raise RuntimeError(f"no evaluation files below {eval_dir}")
     out = compare(found)
     if save:
-        write_csv(out, f"{eval_dir}/model_compare.csv")
+        write_csv(out, f"{eval_dir}/model_compare.csv", one_file=True)
     return out

@@ -3,12 +3,13 @@
 With k features the sums n, s_i, s_ij of complete rows (a missing feature or target drops the row) are
 all that a fit needs. They add up over any partition of the rows, so windows of months are sums of
 monthly sums. Elimination runs on the centred moments; a pivot that is tiny against its variable's
-variance means collinear features, and gives null coefficients.
+variance means collinear features, and gives null coefficients; ``least_norm_of_moments`` still has the
+solution of least norm from the same sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -90,6 +91,48 @@ def least_norm(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
     return np.concatenate([[b[0] - (b[1:] * mu / sd).sum()], b[1:] / sd])
 
 
+def least_norm_of_moments(sums: dict[str, float], k: int, constant: bool = True) -> np.ndarray | None:
+    """Intercept and k coefficients of least squares, of least norm where features are collinear or do not vary.
+
+    sums: values by ``moment_names``. Without ``constant`` the intercept is 0. None without complete rows.
+    """
+    n = sums["n"]
+    if not n:
+        return None
+    raw = np.array([[sums[f"s_{min(i, j)}_{max(i, j)}"] for j in range(k + 1)] for i in range(k + 1)], float)
+    mean = np.array([sums[f"s_{i}"] for i in range(k + 1)], float) / n * constant
+    centred = raw - n * np.outer(mean, mean)
+    own = np.diag(centred)[:k]
+    scale = np.sqrt(np.where(own > NOISE * np.diag(raw)[:k], own, np.inf))  # a feature that does not vary has no part
+    values, vectors = np.linalg.eigh(centred[:k, :k] / np.outer(scale, scale))
+    good = values > TINY * max(1.0, k)
+    beta = (vectors[:, good] / values[good]) @ (vectors[:, good].T @ (centred[:k, k] / scale)) / scale
+    out = np.concatenate([[mean[k] - beta @ mean[:k]], beta])
+    if not good.all():  # directions in which the fit does not change, the intercept with them: what lies in them goes
+        free = vectors[:, ~good] / np.where(np.isfinite(scale), scale, 1.0)[:, None]
+        flat = np.vstack([-(mean[:k] @ free), free])
+        q = np.linalg.qr(flat / np.linalg.norm(flat, axis=0))[0]
+        out -= q @ (q.T @ out)
+    return out
+
+
+def solve_least_norm(df: DataFrame, k: int, keep: Sequence[str], coef: str = "b", constant: bool = True) -> DataFrame:
+    """Rows with moments -> ``keep``, {coef}_0..k by ``least_norm_of_moments``; null without complete rows. A row is a fit."""
+    ship(df.sparkSession)
+    names, kinds = moment_names(k), dict(df.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], *[f"{coef}_{i} double" for i in range(k + 1)]])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = [least_norm_of_moments(r, k, constant) for r in pdf[names].to_dict("records")]
+            out = pdf[list(keep)].copy()
+            for i in range(k + 1):
+                out[f"{coef}_{i}"] = pd.Series([None if b is None else b[i] for b in found], out.index, "float64")
+            yield out
+
+    return df.select(*keep, *names).mapInPandas(run, schema)
+
+
 def fit_groups(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, coef: str = "b") -> DataFrame:
     """keys, {coef}_0..k of each group's rows by ``least_norm``: the way for collinear features. A group is one training window."""
     ship(rows.sparkSession)

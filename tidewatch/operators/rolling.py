@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import RollingConfig
 from tidewatch.functions.labels import trainer_bucket
 from tidewatch.operators.dataset import feature_columns
-from tidewatch.operators.linalg import fit_groups, linear, moment_names, moments, solve
+from tidewatch.operators.linalg import fit_groups, least_norm_of_moments, linear, moment_names, moments, solve
 
 MONTH = "interval 1 month"
 
@@ -89,7 +89,7 @@ def coefficients(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig, keys: Seq
     if not collinear:
         return solved
     bad = solved.where("n > 0 and b_1 is null").select(*on)
-    rows = training_rows(ds.select(*keys, "origin_date", "y", *xs), cfg).join(F.broadcast(bad), on, "left_semi")  # refits x models
+    rows = training_rows(ds.select(*keys, "origin_date", "y", *xs), cfg).join(bad, on, "left_semi")
     again = fit_groups(rows, on, xs, "y", "f")
     bs = [f"b_{i}" for i in range(len(xs) + 1)]
     return solved.join(again, on, "left").select(*on, "n_rows", "n", *[F.coalesce(b, F.col(f"f{b[1:]}")).alias(b) for b in bs])
@@ -192,21 +192,23 @@ def clean_nowcast(preds: DataFrame) -> DataFrame:
 
 
 class LinearModel:
-    """One fit on all rows of a DataFrame; the fitted state is k + 1 numbers."""
+    """One fit on all rows of a DataFrame, which Spark adds up to moments; the fitted state is k + 1 numbers.
+
+    Where features are collinear or do not vary, it is the solution of least norm.
+    """
 
     def __init__(self):
         self.features: list[str] | None = None
         self.coefficients: list[float] | None = None
 
     def fit(self, df: DataFrame, xs: Sequence[str], y: str = "y") -> LinearModel:
-        row = solve(df.agg(*moments(xs, y)), len(xs), []).first()
-        if not row["n"]:
+        return self._take(df.agg(*moments(xs, y)).first().asDict(), xs)
+
+    def _take(self, sums: dict[str, float], xs: Sequence[str]) -> LinearModel:
+        b = least_norm_of_moments(sums, len(xs))
+        if b is None:
             raise ValueError("no complete rows")
-        if row["b_0"] is None:
-            row = fit_groups(df.select(F.lit(1).alias("g"), y, *xs), ["g"], xs, y).first()
-            if row is None:
-                raise ValueError("a feature does not vary")
-        self.features, self.coefficients = list(xs), [row[f"b_{i}"] for i in range(len(xs) + 1)]
+        self.features, self.coefficients = list(xs), b.tolist()
         return self
 
     def predict(self, df: DataFrame, out: str = "y_hat") -> DataFrame:
@@ -227,13 +229,8 @@ class StageModel:
 
     def fit(self, df: DataFrame, xs: Sequence[str], y: str = "y", stage: str = "distance_bucket") -> StageModel:
         self.overall.fit(df, xs, y)
-        rows = solve(df.where(F.col(stage).isin(list(self.stages))).groupBy(stage).agg(*moments(xs, y)), len(xs), [stage]).collect()  # one row a stage
-        self.by_stage = {}
-        for r in rows:
-            if r["n"] >= self.min_stage_rows and r["b_0"] is not None:
-                m = LinearModel()
-                m.features, m.coefficients = list(xs), [r[f"b_{i}"] for i in range(len(xs) + 1)]
-                self.by_stage[r[stage]] = m
+        rows = df.where(F.col(stage).isin(list(self.stages))).groupBy(stage).agg(*moments(xs, y)).collect()  # one row a stage
+        self.by_stage = {r[stage]: LinearModel()._take(r.asDict(), xs) for r in rows if r["n"] >= max(1, self.min_stage_rows)}
         return self
 
     def predict(self, df: DataFrame, stage: str = "distance_bucket", out: str = "y_hat") -> DataFrame:

@@ -68,8 +68,8 @@ class Nowcaster:
         """Predictions, evaluations of all models, their comparison and the clean nowcast as CSV; returns the paths."""
         paths = {}
 
-        def put(name: str, df: DataFrame, path: str) -> None:
-            write_csv(df, f"{out_dir}/{path}")
+        def put(name: str, df: DataFrame, path: str, one_file: bool = False) -> None:
+            write_csv(df, f"{out_dir}/{path}", one_file)
             paths[name] = f"{out_dir}/{path}"
 
         ds = self.cached_dataset(f"{out_dir}/dataset.parquet", rebuild=True)
@@ -88,7 +88,7 @@ class Nowcaster:
                 put(f"{short}_predictions", preds, f"results/{short}_bridge_predictions.csv")
                 slices = evaluation.slice_metrics(preds)
                 for kind in ("overall", "time_slice", "distance_bucket"):
-                    put(f"{short}_{kind}", slices.where(F.col("slice_type") == kind).orderBy("slice"), f"eval/bridge_{kind}_{short}.csv")
+                    put(f"{short}_{kind}", slices.where(F.col("slice_type") == kind).orderBy("slice"), f"eval/bridge_{kind}_{short}.csv", one_file=True)
                 if short == "simple":
                     put("nowcast", rolling.clean_nowcast(preds).orderBy("origin_date"), "nowcast/nowcast_daily.csv")
             finally:

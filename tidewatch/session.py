@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: First parts of the names of work folders below the shared one.
+WORK_PREFIXES = ("raw", "pipeline", "token-store", "language-model")
 
 
 def get_session(app: str = "tidewatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -45,17 +47,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the session names none, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``; a local one only where the session names none and all runs on one machine, as in tests.
+
+    What is written there stays until ``clean`` removes it, as results may be read later on.
+    """
     named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def clean(spark: SparkSession) -> list[str]:
+    """Remove what this library has written into the shared folder, of all sessions: call it when no result is needed any more."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    folder = fs.Path(checkpoint_dir(spark))
+    files, removed = folder.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for prefix in WORK_PREFIXES:
+        for found in files.globStatus(fs.Path(folder, f"{prefix}-*")) or []:
+            files.delete(found.getPath(), True)
+            removed.append(found.getPath().getName())
+    return removed
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)

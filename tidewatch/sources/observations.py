@@ -6,14 +6,19 @@ Files are one CSV for each series code: ``{code}_vintage.csv`` (ref_period, vint
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Mapping
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.config import SeriesMeta
 
 RAW_SCHEMA = "series string, ref_period date, vintage_date date, value double"
+#: Files of a series, at most.
+SALTS = 8
 VINTAGE_COLUMNS, FINAL_COLUMNS = ("ref_period", "vintage_date", "value"), ("ref_period", "value")
 
 
@@ -55,11 +60,45 @@ def load_raw_series(spark: SparkSession, series: str, meta: SeriesMeta, data_dir
     return rows.select(F.lit(series).alias("series"), F.col("ref_period").cast("date").alias("ref_period"), vintage.alias("vintage_date"), number(F.col("value")).alias("value"))
 
 
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a CSV file, or of the files of a folder; none if there is nothing."""
+    hadoop, lines = spark._jvm.org.apache.hadoop.fs, spark._jvm.java
+    at = hadoop.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        raise FileNotFoundError(f"{path} is missing: sync the series first")
+    for f in files.listStatus(at):
+        if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+            reader = lines.io.BufferedReader(lines.io.InputStreamReader(files.open(f.getPath()), "UTF-8"))
+            try:
+                return next(csv.reader([reader.readLine()]))
+            finally:
+                reader.close()
+    return []
+
+
 def load_all_raw_series(spark: SparkSession, metas: Mapping[str, SeriesMeta], data_dir: str) -> DataFrame:
-    """All configured series by union."""
-    out = spark.createDataFrame([], RAW_SCHEMA)
+    """All configured series: one scan for all files with the same columns, the series by the file's name.
+
+    The driver reads the files' first lines only; the plan has as many scans as there are different headers.
+    """
+    groups: dict[tuple[str, ...], dict[str, list[str]]] = {}
     for series, meta in metas.items():
-        out = out.unionByName(load_raw_series(spark, series, meta, data_dir))
+        path, columns = f"{data_dir}/{file_name(meta)}", VINTAGE_COLUMNS if has_vintages(meta) else FINAL_COLUMNS
+        found = header_of(spark, path)
+        missing = [c for c in columns if c not in found]
+        if missing:
+            raise ValueError(f"{path} lacks columns {missing}; it has {found}")
+        groups.setdefault((str(has_vintages(meta)), *found), {}).setdefault(file_name(meta), []).append(series)
+    out = spark.createDataFrame([], RAW_SCHEMA)
+    for (vintages, *names), files in groups.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = spark.read.schema(schema).option("header", True).csv([f"{data_dir}/{f}" for f in files])
+        known = spark.createDataFrame([(quote(f), s) for f, of in files.items() for s in of], "file string, series string")  # a row for each series
+        vintage = F.col("vintage_date").cast("date") if vintages == "True" else F.lit(None).cast("date")
+        file = F.regexp_extract(F.input_file_name(), r"([^/]+\.csv)(?:/[^/]*)?$", 1)
+        rows = rows.select(file.alias("file"), F.col("ref_period").cast("date").alias("ref_period"), vintage.alias("vintage_date"), number(F.col("value")).alias("value"))
+        out = out.unionByName(rows.join(F.broadcast(known), "file").drop("file"))
     return out
 
 
@@ -69,8 +108,11 @@ def select_series(raw: DataFrame, names: Iterable[str] | None) -> DataFrame:
 
 
 def write_raw(raw: DataFrame, path: str) -> None:
-    """The long table as Parquet, a folder for each series: later scans of some series read only those."""
-    raw.repartition("series").write.mode("overwrite").partitionBy("series").parquet(path)
+    """The long table as Parquet, a folder for each series: later scans of some series read only those.
+
+    A series is dealt to ``SALTS`` tasks, so one with most of the rows is not written by a single one.
+    """
+    raw.repartition("series", F.pmod(F.xxhash64("ref_period", "vintage_date"), F.lit(SALTS))).write.mode("overwrite").partitionBy("series").parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> DataFrame:

@@ -28,9 +28,9 @@ def read_csv_if_exists(spark: SparkSession, *paths: str) -> DataFrame | None:
     return None
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A result table as CSV with a header. Results are small (a row for each day or slice), so it is one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A result table as CSV with a header: a folder of files, or with ``one_file``, for tables of metrics, a single one."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
