@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import RollingConfig
 from tidewatch.functions.labels import trainer_bucket
 from tidewatch.operators.dataset import feature_columns
-from tidewatch.operators.linalg import fit_groups, least_norm_of_moments, linear, moment_names, moments, solve
+from tidewatch.operators.linalg import NOISE, fit_groups, least_norm_of_moments, linear, moment_names, moments, solve
 
 MONTH = "interval 1 month"
 
@@ -57,8 +57,12 @@ def training_rows(ds: DataFrame, cfg: RollingConfig) -> DataFrame:
 
 def window_moments(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig, keys: Sequence[str] = ()) -> DataFrame:
     """refit_date, keys, n_rows (with a y) and the moments of complete rows of each training window."""
-    names = ["n_rows", *moment_names(len(xs))]
-    sums = [F.count("y").alias("n_rows"), *moments(xs, "y")]
+    out = window_sums(ds, ["n_rows", *moment_names(len(xs))], [F.count("y").alias("n_rows"), *moments(xs, "y")], cfg, keys)
+    return out.withColumns({"n_rows": F.coalesce("n_rows", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+
+
+def window_sums(ds: DataFrame, names: Sequence[str], sums: Sequence[Column], cfg: RollingConfig, keys: Sequence[str] = ()) -> DataFrame:
+    """refit_date, keys and sums over each training window: rows are added up by month once, and a window runs over the months."""
     month = F.months_between(F.trunc("origin_date", "MONTH"), F.lit("1900-01-01").cast("date")).cast("int")
     monthly = ds.groupBy(*keys, month.alias("month")).agg(*sums)
     start = F.lit(cfg.test_start).cast("date")
@@ -72,7 +76,7 @@ def window_moments(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig, keys: S
     if _mid_month(cfg):
         rows = ds.where((F.col("origin_date") >= F.add_months(start, -12 * cfg.window_years)) & (F.col("origin_date") < start))
         out = out.unionByName(rows.groupBy(*keys).agg(*sums).withColumn("refit_date", start))
-    return out.withColumns({"n_rows": F.coalesce("n_rows", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+    return out
 
 
 def coefficients(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig, keys: Sequence[str] = (), collinear: bool = True) -> DataFrame:
@@ -104,10 +108,23 @@ def eligibility(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFra
 
 
 def zscore_params(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
-    """refit_date, n_rows, mu_{x}, sd_{x}: mean and population deviation of known values; sd null if it is zero."""
-    stats = [s for x in xs for s in (F.avg(x).alias(f"mu_{x}"), F.nullif(F.stddev_pop(x), F.lit(0.0)).alias(f"sd_{x}"))]
-    per = training_rows(ds.select("origin_date", "y", *xs), cfg).groupBy("refit_date").agg(F.count("y").alias("n_rows"), *stats)
-    return per.where(F.col("n_rows") >= cfg.min_train_rows)
+    """refit_date, n_rows, mu_{x}, sd_{x}: mean and population deviation of known values in rows with a y; sd null if it is zero.
+
+    They follow from each window's sums, so no row is copied for the refits that see it.
+    """
+    names, sums = ["n_rows"], [F.count("y").alias("n_rows")]
+    for i, x in enumerate(xs):
+        known = F.when(F.col("y").isNotNull(), F.col(x).cast("double"))
+        names += [f"n_{i}", f"s_{i}", f"q_{i}"]
+        sums += [F.count(known).alias(f"n_{i}"), F.sum(known).alias(f"s_{i}"), F.sum(known * known).alias(f"q_{i}")]
+    per = window_sums(ds, names, sums, cfg).where(F.col("n_rows") >= cfg.min_train_rows)
+    stats = []
+    for i, x in enumerate(xs):
+        n = F.nullif(F.col(f"n_{i}"), F.lit(0))
+        mean, square = F.col(f"s_{i}") / n, F.col(f"q_{i}") / n
+        spread = square - mean * mean
+        stats += [mean.alias(f"mu_{x}"), F.when(spread > NOISE * square, F.sqrt(spread)).alias(f"sd_{x}")]
+    return per.select("refit_date", "n_rows", *stats)
 
 
 def zscore_apply(ds: DataFrame, params: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
@@ -121,15 +138,29 @@ def out_of_sample(ds: DataFrame, cfg: RollingConfig) -> DataFrame:
 
 
 def stage_sigmas(ds: DataFrame, coefs: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
-    """(refit_date, distance_bucket, sigma): spread of in-sample residuals, by bucket and (null bucket) over all, in one pass."""
-    stage = trainer_bucket(F.col("model_target_release_date"), F.col("origin_date")) if "model_target_release_date" in ds.columns else F.lit("unknown")
-    rows = training_rows(ds.withColumn("distance_bucket", stage).select("origin_date", "y", "distance_bucket", *xs), cfg)
-    err = rows.join(F.broadcast(coefs), "refit_date").select("refit_date", "distance_bucket", (linear(xs) - F.col("y")).alias("err")).where("err is not null")
-    sets = err.groupingSets([["refit_date", "distance_bucket"], ["refit_date"]], "refit_date", "distance_bucket")
-    per = sets.agg(F.stddev_pop("err").alias("sigma"), F.grouping("distance_bucket").alias("overall"))
-    if "model_target_release_date" not in ds.columns:
-        per = per.where("overall = 1")
-    return per.where("overall = 1 or sigma > 0").select("refit_date", "distance_bucket", "overall", "sigma")
+    """(refit_date, distance_bucket, overall, sigma): spread of in-sample residuals, by bucket and (null bucket) over all.
+
+    The variance of b x - y is a quadratic form of the window's moments, so no row is copied for the refits that see it.
+    """
+    usable, k = coefs.where("b_0 is not null").drop("n_rows", "n"), len(xs)
+    weights = [*[F.col(f"b_{i + 1}") for i in range(k)], F.lit(-1.0)]
+
+    def spread(ds: DataFrame, keys: Sequence[str]) -> DataFrame:
+        n = F.col("n")
+        variance, size = F.lit(0.0), F.lit(0.0)
+        for i in range(k + 1):
+            size = size + weights[i] * weights[i] * F.col(f"s_{i}_{i}") / n
+            for j in range(i, k + 1):
+                variance = variance + (1 if i == j else 2) * weights[i] * weights[j] * (F.col(f"s_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / n) / n
+        met = window_moments(ds, xs, cfg, keys).where("n > 0").join(usable, "refit_date")
+        return met.select("refit_date", *keys, F.when(variance > NOISE * size, F.sqrt(variance)).otherwise(0.0).alias("sigma"))
+
+    out = spread(ds, []).select("refit_date", F.lit(None).cast("string").alias("distance_bucket"), F.lit(1).cast("tinyint").alias("overall"), "sigma")
+    if "model_target_release_date" in ds.columns:
+        stage = trainer_bucket(F.col("model_target_release_date"), F.col("origin_date"))
+        own = spread(ds.withColumn("distance_bucket", stage), ["distance_bucket"]).where("sigma > 0")
+        out = out.unionByName(own.withColumn("overall", F.lit(0).cast("tinyint")))
+    return out
 
 
 def with_intervals(preds: DataFrame, sigmas: DataFrame, z: float) -> DataFrame:
