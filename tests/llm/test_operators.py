@@ -475,6 +475,20 @@ def test_line_dedup(spark):
     assert spark.range(1).select(line_dedup.host_of(F.lit("https://u@Ex.org:80/a")).alias("h")).first()["h"] == "ex.org"
 
 
+@pytest.mark.parametrize("name", ["op8_line_dedup", "line_dedup_by_host"])
+def test_line_dedup_against_sql(spark, name):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    found = con.execute((queries.ORACLES | queries.MORE_ORACLES)[name])
+    columns = [c[0] for c in found.description]
+    got = (queries.QUERIES | queries.MORE_QUERIES)[name](spark, sf).select(*columns)
+    rows = sorted(map(str, map(tuple, got.collect())))
+    assert rows == sorted(map(str, found.fetchall())) and sum(r["n_dropped"] for r in got.collect()) > 0
+
+
 def test_line_dedup_edges(spark):
     long = "\n".join(f"line {k}" for k in range(60_000)) + "\nFooter"
     rows = [(k, f"own {k}\nFooter", "en", "s") for k in range(40)] + [(50, long, "en", "s"), (51, "own 51\nFooter", "en", "s"), (51, "own 51\nFooter", "en", "s")]

@@ -36,6 +36,13 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
+def text_of(html: Column) -> Column:
+    """What stands between the tags of a page, each on a line of its own; scripts, styles and comments go."""
+    for part in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->"):
+        html = F.regexp_replace(html, part, "")
+    return F.regexp_replace(html, r"<[^>]*>", "\n")
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 

@@ -113,25 +113,50 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-OP8_SQL = """
-with lines as (
-  select doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) pos, unnest(string_split(text, chr(10))) line from documents),
-totals as (select source, count(*) site_pages from documents group by source),
+def _lines_sql(rows: str, key: str) -> str:
+    """The query over ``rows``: SQL of (key, site, text)."""
+    return f"""
+with rows_ as ({rows}),
+lines as (
+  select {key}, site, generate_subscripts(string_split(text, chr(10)), 1) pos, unnest(string_split(text, chr(10))) line from rows_),
+totals as (select site, count(*) site_pages from rows_ group by site),
 pages as (
-  select source, line, count(distinct doc_id) pages from lines where trim(line, ' ') <> '' group by source, line),
+  select site, line, count(distinct {key}) pages from lines where trim(line, ' ') <> '' group by site, line),
 bad as (
-  select p.source, p.line from pages p join totals t on p.source is not distinct from t.source
+  select p.site, p.line from pages p join totals t on p.site is not distinct from t.site
   where p.pages >= 3 and p.pages > t.site_pages * cast(0.05 as double)),
 marked as (
   select l.*, b.line is not null bad from lines l
-  left join bad b on l.source is not distinct from b.source and l.line = b.line)
-select doc_id, cast(count(*) filter (where trim(line, ' ') <> '') as bigint) n_lines,
-       cast(count(*) filter (where bad) as bigint) n_dropped,
-       md5(coalesce(string_agg(line, chr(10) order by pos) filter (where not bad), '')) text_md5
-from marked group by doc_id
+  left join bad b on l.site is not distinct from b.site and l.line = b.line),
+found as (
+  select {key}, cast(count(*) filter (where trim(line, ' ') <> '') as bigint) n_lines,
+         cast(count(*) filter (where bad) as bigint) n_dropped,
+         md5(coalesce(string_agg(line, chr(10) order by pos) filter (where not bad), '')) text_md5
+  from marked group by {key})
+select r.{key}, coalesce(f.n_lines, 0) n_lines, coalesce(f.n_dropped, 0) n_dropped, f.text_md5
+from rows_ r left join found f on f.{key} = r.{key}
 """
 
 
+OP8_SQL = _lines_sql("select doc_id, source site, text from documents", "doc_id")
+
+
+def line_dedup_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages: a page's site is the host of its URL, its lines are the texts between its tags."""
+    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.text_of(F.col("html")).alias("text"))
+    out = line_dedup.line_dedup(pages, site_col="host")
+    return out.select("page_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+HOST_SQL = _lines_sql(
+    r"""select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') site,
+       regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'),
+         '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g') text
+  from pages""",
+    "page_id",
+)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -157,3 +182,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
+
+#: A dealt operator on another table of the tests.
+MORE_QUERIES: dict[str, Query] = {"line_dedup_by_host": line_dedup_by_host}
+MORE_ORACLES: dict[str, str] = {"line_dedup_by_host": HOST_SQL}
