@@ -61,7 +61,10 @@ def calendar_violations(cal: DataFrame) -> DataFrame:
 
 
 def raw_profile(raw: DataFrame) -> DataFrame:
-    """By series: rows, range of periods, and the values' count, mean, deviation, extremes and quartiles (exact)."""
+    """By series: rows, range of periods, and the values' count, mean, deviation, extremes and quartiles.
+
+    Quartiles are exact, so the distinct values of a series with their counts must fit into one task.
+    """
     quartile = [F.percentile("value", F.lit(p)).alias(name) for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
     return raw.groupBy("series").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ref_period").alias("first_ref"), F.max("ref_period").alias("last_ref"), F.count("value").alias("n_values"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lowest"), *quartile, F.max("value").alias("highest"))
 
