@@ -127,6 +127,40 @@ def test_search_holds_a_long_part():
     assert len({ids for _, ids in found}) == 4 and all(lat.decode(ids) == text for _, ids in found)
 
 
+def test_encoding_a_long_text_without_blanks():
+    lat = pieces.Lattice(pieces.MODEL)
+    text = "".join(np.random.default_rng(4).choice(list("abcdefghijklmnopqrst"), 200_000))
+    tracemalloc.start()
+    try:
+        packed, scores, full = next(lat.encode([text], 4))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 500e6 and scores == sorted(scores, reverse=True) and full[0] == packed
+    assert len(set(full)) == 4 and all(lat.decode(x) == text for x in full)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_arrays_of_parts_against_one_part_at_a_time(seed):
+    lat, rng = pieces.lattice(pieces.MODEL), np.random.default_rng(seed)
+    alphabet = list("abcdeothinsr") + ["\u2581", "é", "中", "\U0001f600", ".", "1", "\n"]
+    parts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(1, 80, 400)]
+    best, loss, count, ids = lat.best_two_of(parts)
+    ends = np.cumsum(count)
+    for k, p in enumerate(parts):
+        assert (best[k], loss[k], ids[ends[k] - count[k] : ends[k]].astype("<u4").tobytes()) == lat.best_two(p)
+
+
+def test_bounded_search_finds_all_that_cost_no_more():
+    lat, rng = pieces.lattice(pieces.MODEL), np.random.default_rng(9)
+    for _ in range(100):
+        part = pieces.BLANK + "".join(rng.choice(list("abcdeothinsr"), rng.integers(2, 12)))
+        every = lat.search(part, 6)
+        for most in (0.0, every[0][0] - every[min(2, len(every) - 1)][0], 1e9):
+            near = [x for x in every if every[0][0] - x[0] <= most]
+            assert lat.search(part, 6, most)[: len(near)] == near
+
+
 def test_ties_of_the_search():
     """The tuples of starts that the order is defined by, on parts with many equal scores."""
     lat = pieces.lattice(pieces.MODEL)

@@ -44,9 +44,9 @@ N_BEST = 4
 UNKNOWN = 10.0
 #: Parts that a worker remembers before it starts anew, about 80 bytes each, and parts of which it remembers
 #: the segmentations found by A-star, in each of two generations.
-MEMORY_PARTS, MEMORY_SEARCHED = 600_000, 50_000
-#: Bytes of texts looked at together; widths of the arrays of parts, and parts in one. Longer parts go one by one.
-SLICE, WIDTHS, PARTS_AT_ONCE = 1_000_000, (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64), 2_048
+MEMORY_PARTS, MEMORY_SEARCHED = 200_000, 20_000
+#: Bytes of texts looked at together; widths of the arrays of parts, and cells (parts x width) in one. Longer parts go one by one.
+SLICE, WIDTHS, CELLS = 400_000, (4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64), 24_576
 
 BLANK = "▁"
 NEVER = float("-inf")
@@ -235,8 +235,8 @@ class Lattice:
         alone = n > WIDTHS[-1]
         for lo, hi in zip((0, *WIDTHS), WIDTHS):
             rows = np.flatnonzero((n > lo) & (n <= hi))
-            for k in range(0, len(rows), PARTS_AT_ONCE):
-                at = rows[k : k + PARTS_AT_ONCE]
+            for k in range(0, len(rows), CELLS // hi):
+                at = rows[k : k + CELLS // hi]
                 best[at], loss[at], count, found = self._viterbi([parts[i] for i in at.tolist()], n[at], hi)
                 raw, ends = found.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
                 for i, a, b in zip(at.tolist(), [0, *ends], ends):
@@ -449,8 +449,8 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, n_best:
     n_tokens long, score double, nbest_scores array<double> (best first), ids_crc32 long (of the best ids
     as little-endian unsigned 32-bit integers), round_trip boolean (decoding the ids gives the text back),
     with ``ids`` nbest array<array<int>>: the ids of each segmentation, and with ``best`` ids array<int>:
-    those of the best one. memory_parts: parts that a worker remembers in each of two generations, about
-    320 bytes each; more save time where new words are frequent.
+    those of the best one. memory_parts: parts that a worker remembers, about 100 bytes each; more save
+    time where new words are frequent.
     """
     require(df, text_col)
     ship(df.sparkSession)
