@@ -453,7 +453,7 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
 
 def _with_counts(chunks: DataFrame, counted: DataFrame):
     """Chunks grouped with the answers of all buckets that they asked."""
-    return chunks.groupBy("chunk").cogroup(counted.where("asking is not null").select("asking", "bucket", "c").groupBy("asking"))
+    return chunks.drop("counts").groupBy("chunk").cogroup(counted.where("asking is not null").select("asking", "bucket", "c").groupBy("asking"))
 
 
 def _unpack(left: pa.Table, right: pa.Table, buckets: int) -> Iterator[tuple[dict, list[bytes], np.ndarray]]:
@@ -467,6 +467,20 @@ def _unpack(left: pa.Table, right: pa.Table, buckets: int) -> Iterator[tuple[dic
         yield {"doc_ids": x["doc_ids"], "training": x["training"], "lengths": np.array(x["lengths"], np.int64), "ids": _unpack_ids(x["ids"])}, words, c
 
 
+def pack_changes(x: np.ndarray) -> list[bytes]:
+    """Each row of changes as a scale and eight-bit steps, so within 1 / 254 of its largest change."""
+    out = np.zeros(len(x), [("scale", "<f4"), ("steps", "i1", (x.shape[1],))])
+    out["scale"] = np.abs(x).max(axis=1) / 127
+    out["steps"] = np.rint(x / np.maximum(out["scale"], np.float32(1e-30))[:, None])
+    raw, n = out.tobytes(), out.itemsize
+    return [raw[i : i + n] for i in range(0, len(raw), n)]
+
+
+def unpack_changes(rows: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(rows), [("scale", "<f4"), ("steps", "i1", (len(rows[0]) - 4,))])
+    return x["steps"] * x["scale"][:, None]
+
+
 def _part_fitter(shared, seed: int):
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         docs = []
@@ -475,7 +489,7 @@ def _part_fitter(shared, seed: int):
             docs += zip(np.frombuffer(keys, np.uint32).tolist(), np.split(_unpack_ids(sym).astype(np.uint16), ends[:-1]), strict=True)
         docs.sort(key=lambda d: (d[0], d[1].tobytes()))
         a, da, b, db = fit_part(shared.value, [d for _, d in docs], seed)
-        return pd.DataFrame({"part": int(pdf["part"].iloc[0]), "place": np.concatenate([a, len(shared.value.by_class) + b]), "change": [x.astype(np.float16).tobytes() for x in da] + [x.astype(np.float16).tobytes() for x in db]})
+        return pd.DataFrame({"part": int(pdf["part"].iloc[0]), "place": np.concatenate([a, len(shared.value.by_class) + b]), "change": pack_changes(da) + pack_changes(db)})
 
     return part
 
@@ -488,7 +502,7 @@ def _averager(n_class: int):
             if len(g):
                 place = g["place"].to_numpy()
                 starts = np.flatnonzero(np.diff(place, prepend=-1))
-                x = np.add.reduceat(np.frombuffer(b"".join(g["change"]), np.float16).astype(np.float32).reshape(len(g), -1), starts, axis=0)
+                x = np.add.reduceat(unpack_changes(list(g["change"])), starts, axis=0)
                 x /= np.diff(np.append(starts, len(g)))[:, None]
                 out.append(pd.DataFrame({"place": place[starts], "change": [r.tobytes() for r in x]}))
         return pd.concat(out)
