@@ -360,6 +360,26 @@ def test_quality(spark, awkward):
     assert {r["score"] for r in quality.score(awkward, nothing).collect()} == {0.5}
 
 
+def test_repeated_labels_and_documents_are_one_example(spark):
+    rows = [(k, f"good words number {k} of many" if k % 2 else f"BAD!!! x{k} x{k} x{k}", "en", "s") for k in range(40)]
+    labels = [(k, k % 2) for k in range(40)]
+    schema = "doc_id long, quality int"
+    once = quality.fit(frame(spark, rows), spark.createDataFrame(labels, schema))
+    more = quality.fit(frame(spark, rows * 3 + [(1, "zz a text that sorts last", "en", "s")]), spark.createDataFrame(labels * 2 + [(None, 1), (3, None)], schema))
+    assert len(once.labels) == len(more.labels) == 40 and np.array_equal(once.vectors, more.vectors) and once.prior == more.prior
+    both = quality.fit(frame(spark, rows), spark.createDataFrame([*labels, (0, 1)], schema))
+    assert len(both.labels) == 41
+
+
+def test_ties_between_neighbours():
+    """More equal neighbours than vote: the first by place, and so the same score for the same text in any block."""
+    rows = [quality.counts("same words here")] * 9 + [quality.counts("other things there")]
+    y = np.array([1, 1, 0, 0, 0, 0, 0, 0, 0, 1.0])
+    m = quality.Voters(rows, y, np.ones(10), 4, 3, 2.0)
+    scores = m.scores([quality.counts("same words here")] * 5)
+    assert scores == pytest.approx([2 / 3] * 5)
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(1)
     words = [f"v{i}" for i in range(300)]

@@ -15,7 +15,8 @@ the broadcast (2 * MAX_TRAIN * RANK * 4 bytes) and the driver's matrix; every do
 
 Defined results: a null text counts as empty; a text without words has the zero vector, to which all
 neighbours are equally near, and gets label 1's share of the labelled rows; rows with a null label or
-null text are not learned from; several labels of a document are examples each; nothing to learn from:
+null text are not learned from; both labels of a document are an example each, a repeated one is one
+example; of rows that repeat a doc_id the text that sorts first is learned from; nothing to learn from:
 0.5; one label only: that label's value; ties between neighbours: the first by id; other columns are
 passed through, those named like the results are replaced.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tidewatch.llm.common import require, slices, words_of
+from tidewatch.llm.common import map_batches, require, slices, words_of
 from tidewatch.session import ship
 
 #: Labelled rows of each label to learn from, about.
@@ -155,14 +156,16 @@ def fit(df: DataFrame, labels: DataFrame, *, train: Column | None = None, id_col
     require(labels, id_col, label_col)
     ship(df.sparkSession)
     marked = (labels.where(train) if train is not None else labels).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    marked = marked.distinct()
     per = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if not per:
         return Voters([], np.zeros(0), np.zeros(0), rank, neighbours, power)
     share = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(1 << 30)) / (1 << 30)
     limit = F.create_map(*[F.lit(v) for k, n in per.items() for v in (k, min(1.0, max_train / n))])
     chosen = marked.where(share < F.element_at(limit, F.col("label")))
-    # About 2 * max_train rows of two numbers: their ids may be broadcast.
+    # About 2 * max_train rows of two numbers: their ids may be broadcast. One row for each is left, whatever repeats.
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,4 +196,4 @@ def score(df: DataFrame, model: Voters, *, text_col: str = "text") -> DataFrame:
                 s = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return map_batches(df, run, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
