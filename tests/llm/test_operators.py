@@ -555,6 +555,8 @@ def test_line_dedup_edges(spark):
     assert len(got) == len(rows) and [g for g in got if g[0] == 51] == [(51, 2, 1, "own 51")] * 2
     assert by[50][1:3] == (60_001, 1) and by[50][3] == long.removesuffix("\nFooter")
     assert by[60][3].startswith("At the ratio") and by[200][3] == "text 0"
+    spared = line_dedup.line_dedup(frame(spark, [*rows, (70, "Footer\n\nFooter", "en", "s"), (71, "", "en", "s"), (72, None, "en", "s")]), spare_whole=True)
+    assert {r["doc_id"] for r in spared.collect() if r["spared"]} == {70} and {r["n_dropped"] for r in spared.where("spared").collect()} == {0}
     plain = line_dedup.line_dedup(df, counts=False)
     assert plain.columns == df.columns and {r["n_lines"] for r in plain.collect()} == {7}
 

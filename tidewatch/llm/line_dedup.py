@@ -75,17 +75,16 @@ def line_dedup(df: DataFrame, *, site_col: str = "source", text_col: str = "text
     """The rows of ``df`` with boilerplate lines gone from the text, and with ``counts`` n_lines, n_dropped (both without blank lines) after its columns.
 
     With ``spare_whole``, a page that consists of such lines alone keeps them: it is a page with many
-    copies, of which a later stage keeps one.
+    copies, of which a later stage keeps one. With counts, ``spared`` boolean then marks such pages.
     """
     if min_pages < 2:
         raise ValueError("min_pages: 2 at least")
     if counts:
-        df = df.drop("n_lines", "n_dropped")
+        df = df.drop("n_lines", "n_dropped", *(["spared"] if spare_whole else []))
     keys, left, site = fresh(df, "line_keys", "lines_left", "listed_site")
     text = F.col(f"`{text_col}`")
     lists = cut(boilerplate(df, site_col=site_col, text_col=text_col, ratio=ratio, min_pages=min_pages).groupBy("site").agg(F.collect_list("line_key").alias(keys)))
-    listed = lists.agg(F.sum(F.size(keys))).first()[0] or 0
-    if listed <= broadcast_lines:
+    if (lists.agg(F.sum(F.size(keys))).first()[0] or 0) <= broadcast_lines:
         right = F.broadcast(lists.withColumnRenamed("site", site))
         met = df.join(right, F.col(f"`{site_col}`").eqNullSafe(F.col(site)), "left").drop(site)
     else:
@@ -93,11 +92,13 @@ def line_dedup(df: DataFrame, *, site_col: str = "source", text_col: str = "text
     lines = _lines(text.cast("string"))
     solid = F.filter(lines, lambda x: F.trim(x) != "")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(keys), _key(x)))
-    has = F.col(keys).isNotNull()
+    listed = has = F.col(keys).isNotNull()
     if spare_whole:
         has = has & F.exists(solid, lambda x: ~F.array_contains(F.col(keys), _key(x)))
     out = met.withColumn(left, F.when(has, kept).otherwise(lines))
     columns = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
     if counts:
         columns += [F.coalesce(F.size(solid), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.size(lines), F.lit(0)) - F.coalesce(F.size(left), F.lit(0))).cast("long").alias("n_dropped")]
+        if spare_whole:
+            columns.append(F.coalesce(listed & (F.size(solid) > 0) & ~has, F.lit(False)).alias("spared"))
     return out.select(*columns)
