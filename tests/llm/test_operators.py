@@ -190,6 +190,16 @@ def test_sentencepiece(spark, awkward):
     assert pieces.encode(empty(spark)).count() == 0
 
 
+def test_decoding_awkward_ids(spark):
+    lat = pieces.lattice(pieces.MODEL)
+    ids = np.frombuffer(next(lat.encode(["a b"], 1))[0], "<u4").tolist()
+    df = spark.createDataFrame([(1, ids, 5), (2, None, 5), (3, [], 5)], "k int, ids array<int>, `a.b` int")
+    assert {r["k"]: (r["decoded"], r["a.b"]) for r in pieces.decode(df).collect()} == {1: ("a b", 5), 2: (None, 5), 3: ("", 5)}
+    for bad in ([10**6], [None]):
+        with pytest.raises(Exception):
+            pieces.decode(spark.createDataFrame([(1, bad)], "k int, ids array<int>")).collect()
+
+
 def test_query_and_stage_return_every_segmentation(spark, docs):
     import corpus_pipeline
 
