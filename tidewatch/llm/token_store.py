@@ -45,7 +45,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CHUNK_MIN, CHUNK_AIM, CHUNK_MAX = 64, 256, 1024
 #: Units of texts that a worker remembers before it starts anew: about 60 bytes each. Bytes of texts looked at together.
 #: Units in one call of the tokenizer.
-MEMORY_UNITS, SLICE, LINES = 1_500_000, 1_000_000, 200
+MEMORY_UNITS, SLICE, LINES = 1_500_000, 1_000_000, 100
 
 _GEAR = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _LETTER, _SIGN, _WHITE, _OTHER = 1, 2, 3, 4
@@ -54,7 +54,8 @@ _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _SIGN
 _KIND[48:58] = _KIND[0x80:] = _OTHER
 _KIND[[32, *range(9, 14)]] = _WHITE
-#: Units that may stand on lines of their own in one call: no white space but a first blank, no character that may be some.
+#: A word of letters; and units that may stand on lines of their own in one call: no white space but a first blank, no character that may be some.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+").fullmatch
 _PLAIN = re.compile(rb" ?(?:[!-~]|[\xc3-\xc8][\x80-\xbf])+").fullmatch
 
 
@@ -95,7 +96,7 @@ class Encoder:
         # Spark runs a worker for each core; the library's own threads would only wait for each other and hold memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer))
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
@@ -103,29 +104,49 @@ class Encoder:
         self.ids = Rows(ids=self.kind)
         self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         # Only the pre-tokenizer that unit_starts knows may be cut; with any other, a text is one unit.
-        pre = self.tok.pre_tokenizer
+        pre = self.pre = self.tok.pre_tokenizer
         self.cuts = self.tok.normalizer is None and str(pre) == "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
         feed = self.tok.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else None
+        self.feed = feed[0] if len(feed) == 1 and self.cuts else None
+        # A word of letters is one piece of the pattern, which then need not be matched.
+        self.by_line = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), LINES) for e in self.tok.encode_batch_fast(texts[i : i + LINES], add_special_tokens=False)]
 
-    def _tokens(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each unit and all ids. Plain units share calls, one on a line, whose line feeds part the ids."""
-        plain = np.fromiter((self.feed is not None and _PLAIN(u) is not None for u in units), bool, len(units))
-        lines = [u for u, p in zip(units, plain.tolist(), strict=True) if p]
-        calls = [b"\n".join([*lines[i : i + LINES], b""]).decode() for i in range(0, len(lines), LINES)]
-        rest = np.flatnonzero(~plain)
+    def _lines(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of ids of units that share calls, one on a line, and where in the ids theirs begin; and the ids."""
+        calls = [b"\n".join([*units[i : i + LINES], b""]).decode() for i in range(0, len(units), LINES)]
         ids = np.fromiter(chain.from_iterable(self._library(calls)), self.kind)
         feeds = np.flatnonzero(ids == self.feed)
-        others = self._library([units[i].decode("utf-8", "replace") for i in rest.tolist()])
-        count, at = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
-        count[plain] = np.diff(feeds, prepend=-1) - 1
-        at[plain] = feeds - count[plain]
-        count[rest] = n = np.array([len(x) for x in others], np.int64)
-        at[rest] = len(ids) + np.cumsum(n) - n
-        return count, np.concatenate([ids, np.fromiter(chain.from_iterable(others), self.kind)])[ranges(at, count)]
+        count = np.diff(feeds, prepend=-1) - 1
+        return count, feeds - count, ids
+
+    def _tokens(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each unit and all ids."""
+        how = np.zeros(len(units), np.int8)
+        if self.feed is not None:
+            how[:] = [2 if _WORD(u) else 1 if _PLAIN(u) else 0 for u in units]
+        count, at, found, size = np.empty(len(units), np.int64), np.empty(len(units), np.int64), [], 0
+        for k in (0, 1, 2):
+            rows = np.flatnonzero(how == k)
+            own = [units[i] for i in rows.tolist()]
+            if k == 0:
+                ids = self._library([u.decode("utf-8", "replace") for u in own])
+                n = np.array([len(x) for x in ids], np.int64)
+                starts, ids = np.cumsum(n) - n, np.fromiter(chain.from_iterable(ids), self.kind)
+            else:
+                if k == 2:
+                    self.tok.pre_tokenizer = self.by_line
+                try:
+                    n, starts, ids = self._lines(own)
+                finally:
+                    if k == 2:
+                        self.tok.pre_tokenizer = self.pre
+            count[rows], at[rows] = n, size + starts
+            found.append(ids)
+            size += len(ids)
+        return count, np.concatenate(found)[ranges(at, count)]
 
     def _learn(self, units: list[bytes]) -> None:
         count, ids = self._tokens(units)
