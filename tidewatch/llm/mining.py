@@ -35,8 +35,8 @@ from tidewatch.session import cut, ship
 
 #: Rows of a block: at least, at most, and the number of blocks aimed at between the two. Bytes of a block's vectors at most.
 BLOCK_MIN, BLOCK_MAX, BLOCKS, BLOCK_BYTES = 1_024, 16_384, 32, 64_000_000
-#: Rows of a leaf.
-LEAF = 64
+#: Rows of a leaf: few enough for rings to matter, enough for one product to pay.
+LEAF = 256
 
 
 class VantageTree:
@@ -73,68 +73,79 @@ class VantageTree:
             stack.append((lo + mid, hi, at, 1, away[mid], away[-1]))
         self.vantages = np.array([n[2] for n in self.nodes if n[2] >= 0], int)
         self.slot = {int(v): k for k, v in enumerate(self.vantages)}
-        self.opened = 0
+        self.labelled = labels[self.order]  # in the tree's order, as the vectors from here on: a leaf is a slice
+        self.at_vantages = self.f[self.vantages, :-1]
+        self.f, self.x = np.ascontiguousarray(self.f[self.order, :-1]), x[self.order]
 
     def _from(self, point: np.ndarray, rows: np.ndarray) -> np.ndarray:
         d = self.f[rows] - point
         return np.sqrt((d * d).sum(axis=1))
 
-    def scores(self, rows: np.ndarray, q: np.ndarray, qf: np.ndarray) -> np.ndarray:
-        if self.small:
-            return (self.f[rows, :-1] @ qf).astype(np.int64)
-        return self.x[rows] @ q
+    def ask(self, q: np.ndarray) -> Asked:
+        return Asked(self, q)
 
-    def search(self, q: np.ndarray, label: int, same: bool, low: int | None, high: int | None, k: int, own: bytes | None = None) -> list[tuple[int, int]]:
+
+class Asked:
+    """An anchor before a tree: its distances from the vantage points, and the scores of leaves opened so far."""
+
+    def __init__(self, tree: VantageTree, q: np.ndarray):
+        self.tree, self.q, self.qf = tree, q, q.astype(np.float64)
+        q2 = float(self.qf @ self.qf)
+        self.small = tree.small and q2 < 2**50
+        self.total = q2 + tree.m2
+        self.slack = 1e-12 * self.total + 1.0  # of scores: more than rounding can add
+        self.loose = math.sqrt(1e-12 * self.total)  # of distances
+        self.to = np.sqrt(np.maximum(self.total - 2 * (tree.at_vantages @ self.qf), 0.0)).tolist()
+        self.opened: dict[int, np.ndarray] = {}
+
+    def scores(self, leaf: int, lo: int, hi: int) -> np.ndarray:
+        """Exact inner products with a leaf's rows."""
+        found = self.opened.get(leaf)
+        if found is None:
+            found = self.opened[leaf] = self.tree.f[lo:hi] @ self.qf if self.small else self.tree.x[lo:hi] @ self.q
+        return found
+
+    def first(self, label: int, same: bool, low: int | None, high: int | None, k: int, own: bytes | None = None) -> list[tuple[int, int]]:
         """(score, row) of the k first rows of the label (``same``) or of others with low <= score <= high, the row ``own`` left out."""
-        if not len(self.x):
-            return []
-        qf = q.astype(np.float64)
-        q2 = float(qf @ qf)
-        if self.small and q2 >= 2**50:
-            self.small = False
-        total = q2 + self.m2
-        slack = 1e-12 * total + 1.0  # of scores: more than rounding can add
-        loose = np.sqrt(1e-12 * total)  # of distances
-        to = np.sqrt(np.maximum(total - 2 * (self.f[self.vantages, :-1] @ qf), 0.0)) if len(self.vantages) else np.zeros(0)
-        heap: list[tuple] = [(-np.inf, 0, 0, 0.0, np.inf)]
+        tree, total, slack, loose = self.tree, self.total, self.slack, self.loose
+        heap: list[tuple] = [(-math.inf, 0, 0, 0.0, math.inf)]
         out: list[tuple[int, int]] = []
         while heap and len(out) < k:
-            first = heapq.heappop(heap)
-            if first[1]:
-                out.append((-first[0], first[-1]))
+            top = heapq.heappop(heap)
+            if top[1]:
+                out.append((int(-top[0]), top[-1]))
                 continue
-            at, least, most = first[2], first[3], first[4]
-            lo, hi, vantage, left, right, _, _, a, b = self.nodes[at]
-            if (label < a or label > b) if same else (a == b == label):
+            at, least, most = top[2:]
+            lo, hi, vantage, left, right, _, _, a, b = tree.nodes[at]
+            if lo == hi or ((label < a or label > b) if same else (a == b == label)):
                 continue
             if vantage >= 0:
-                d = to[self.slot[vantage]]
+                d = self.to[tree.slot[vantage]]
                 for child in (left, right):
-                    near, far = self.nodes[child][5:7]
+                    near, far = tree.nodes[child][5:7]
                     c_least = max(least, d - far - loose, near - d - loose)
                     c_most = min(most, d + far + loose)
                     best = (total - c_least * c_least) / 2 + slack  # no score of the child is above
                     if low is not None and best < low:
                         continue
-                    if high is not None and np.isfinite(c_most) and (total - c_most * c_most) / 2 - slack > high:
+                    if high is not None and (total - c_most * c_most) / 2 - slack > high:
                         continue
                     heapq.heappush(heap, (-best, 0, child, c_least, c_most))
                 continue
-            self.opened += 1
-            rows = self.order[lo:hi]
-            s = self.scores(rows, q, qf)
-            ok = (self.labels[rows] == label) if same else (self.labels[rows] != label)
+            s = self.scores(at, lo, hi)
+            ok = (tree.labelled[lo:hi] == label) if same else (tree.labelled[lo:hi] != label)
             if low is not None:
                 ok &= s >= low
             if high is not None:
                 ok &= s <= high
-            rows, s = rows[ok], s[ok]
-            if len(rows) > 4 * k:  # rows below the k-th score of a leaf cannot be among the first k
-                keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                rows, s = rows[keep], s[keep]
-            for r, v in zip(rows.tolist(), s.tolist(), strict=True):
-                if own is None or self.keys[r] != own:
-                    heapq.heappush(heap, (-v, 1, self.ids[r] is None, self.ids[r] or 0, self.keys[r], r))
+            places = np.flatnonzero(ok)
+            if len(places) > 4 * k:  # rows below the k-th score of a leaf cannot be among the first k
+                found = s[places]
+                places = places[found >= np.partition(found, len(found) - k - 1)[len(found) - k - 1]]
+            for p in places.tolist():
+                r = int(tree.order[lo + p])
+                if own is None or tree.keys[r] != own:
+                    heapq.heappush(heap, (-s[p].item(), 1, tree.ids[r] is None, tree.ids[r] or 0, tree.keys[r], r))
         return out
 
 
@@ -201,22 +212,22 @@ def hard_negatives(df: DataFrame, is_anchor: Column, *, id_col: str = "vec_id",
 
     def find_positives(tree: VantageTree, q: np.ndarray, rest: dict) -> Iterator[tuple]:
         for i in range(len(q)):
-            for s, r in tree.search(q[i], rest["anchor_label"][i], True, None, None, positives, rest["anchor_key"][i]):
+            for s, r in tree.ask(q[i]).first(rest["anchor_label"][i], True, None, None, positives, rest["anchor_key"][i]):
                 yield rest["anchor_key"][i], rest["anchor_id"][i], s, tree.ids[r], tree.keys[r]
 
     found = _tiles(anchors, rows, "anchor_key binary, anchor_id long, score long, id long, key binary", find_positives)
     chosen = cut(_first(found, ["anchor_key"], positives).select("anchor_key", "anchor_id", F.col("score").alias("positive_score"), F.col("id").alias("positive_id"), F.col("rank").alias("position")))
 
     windows = chosen.where("positive_score >= 0").groupBy("anchor_key").agg(F.collect_set("positive_score").alias("wanted"))  # at most ``positives``
-    asked = anchors.join(windows, "anchor_key")
+    wanted = anchors.join(windows, "anchor_key")
     part, whole = ratio
 
     def find_negatives(tree: VantageTree, q: np.ndarray, rest: dict) -> Iterator[tuple]:
         for i in range(len(q)):
             for p in rest["wanted"][i]:
-                for s, r in tree.search(q[i], rest["anchor_label"][i], False, -((-part * p) // whole), p, negatives):
+                for s, r in tree.ask(q[i]).first(rest["anchor_label"][i], False, -((-part * p) // whole), p, negatives):
                     yield rest["anchor_key"][i], p, s, tree.ids[r], tree.keys[r]
 
-    found = _tiles(asked, rows, "anchor_key binary, positive_score long, score long, id long, key binary", find_negatives)
+    found = _tiles(wanted, rows, "anchor_key binary, positive_score long, score long, id long, key binary", find_negatives)
     best = _first(found, ["anchor_key", "positive_score"], negatives).select("anchor_key", "positive_score", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     return chosen.join(best, ["anchor_key", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
