@@ -11,6 +11,8 @@ from tidewatch.config import SeriesMeta
 from tidewatch.functions.dates import quarter_release, quarter_start, sticky_target
 from tidewatch.operators.features import features_daily
 
+#: The array column of a packed dataset.
+PACKED = "features"
 LABEL_MODES, TARGET_MODES = ("visible", "model_target"), ("sticky", "calendar")
 
 
@@ -18,14 +20,15 @@ def feature_columns(ds: DataFrame) -> list[str]:
     return [c for c in ds.columns if c.startswith("x_")]
 
 
-def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: str, features: Sequence[str] | None = None, *, label_mode: str = "visible", target_mode: str = "sticky", targets: DataFrame | None = None, exclude: Sequence[str] = (), min_features: int = 0, before_release: bool = False) -> DataFrame:
+def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: str, features: Sequence[str] | None = None, *, label_mode: str = "visible", target_mode: str = "sticky", targets: DataFrame | None = None, exclude: Sequence[str] = (), min_features: int = 0, before_release: bool = False, packed: bool = False) -> DataFrame:
     """target_ref_period, target_release_date, model_target_ref_period, model_target_release_date, y, origin_date, x_*.
 
     features: all series but the target if not given; ``exclude`` takes some out. label_mode: y is the
     target's value seen on the origin date, or the model target's own (from ``targets``: ref_period,
     y). target_mode: the previous quarter until it is released, or always the running one.
     min_features: least non-null features of a row. before_release: only rows with y before the model
-    target's release.
+    target's release. packed: the features are one array ``features``, in the order of the names, so that the plan
+    has one expression for all of them.
     """
     if target not in metas:
         raise KeyError(target)
@@ -41,7 +44,15 @@ def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: st
     def of(series: str, column: str):
         return F.max(F.when(F.col("series") == series, F.col(column)))
 
-    wide = daily.groupBy(F.col("as_of_date").alias("origin_date")).agg(of(target, "ref_period").alias("target_ref_period"), of(target, "value").alias("y"), *[of(k, "feature").alias(f"x_{k}") for k in names])
+    if packed:
+        own = F.map_from_entries(F.collect_list(F.when(F.col("series") != target, F.struct("series", "feature"))))  # a series has a row a day
+        found = [F.transform(F.lit(names) if names else F.array().cast("array<string>"), lambda k: F.try_element_at(F.col(PACKED), k)).alias(PACKED)]
+        gathered, xs = [own.alias(PACKED)], [PACKED]
+    else:
+        gathered, xs = [of(k, "feature").alias(f"x_{k}") for k in names], [f"x_{k}" for k in names]
+        found = xs
+    wide = daily.groupBy(F.col("as_of_date").alias("origin_date")).agg(of(target, "ref_period").alias("target_ref_period"), of(target, "value").alias("y"), *gathered)
+    wide = wide.select("origin_date", "target_ref_period", "y", *found)
     origin = F.col("origin_date")
     model_target = sticky_target(origin, lag) if target_mode == "sticky" else quarter_start(origin)
     out = wide.withColumn("model_target_ref_period", model_target)
@@ -51,9 +62,8 @@ def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: st
             raise ValueError("label_mode model_target needs targets")
         own = targets.select(F.col("ref_period").alias("model_target_ref_period"), F.col("y").alias("__own"))
         out = out.join(own, "model_target_ref_period", "left").withColumn("y", F.col("__own")).drop("__own")
-    xs = [f"x_{k}" for k in names]
     if min_features:
-        out = out.where(non_null_features(xs) >= min_features)
+        out = out.where((F.size(F.array_compact(PACKED)) if packed else non_null_features(xs)) >= min_features)
     if before_release:
         out = out.where("y is not null and origin_date < model_target_release_date")
     return out.select("target_ref_period", "target_release_date", "model_target_ref_period", "model_target_release_date", "y", "origin_date", *xs)

@@ -131,19 +131,3 @@ def solve_least_norm(df: DataFrame, k: int, keep: Sequence[str], coef: str = "b"
             yield out
 
     return df.select(*keep, *names).mapInPandas(run, schema)
-
-
-def fit_groups(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, coef: str = "b") -> DataFrame:
-    """keys, {coef}_0..k of each group's rows by ``least_norm``: the way for collinear features. A group is one training window."""
-    ship(rows.sparkSession)
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], *[f"{coef}_{i} double" for i in range(len(xs) + 1)]])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = least_norm(pdf[list(xs)].to_numpy(float), pdf[y].to_numpy(float))
-        out = pdf[list(keys)].head(1).reset_index(drop=True)
-        for i in range(len(xs) + 1):
-            out[f"{coef}_{i}"] = None if b is None else float(b[i])
-        return out if b is not None else out.head(0)
-
-    return rows.groupBy(*keys).applyInPandas(fit, schema)

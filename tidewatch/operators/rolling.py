@@ -1,10 +1,12 @@
 """Walk-forward regression: at each refit date a model is fitted on the years before it and predicts up to the next.
 
-No loop over refits: rows are added up to monthly moments once, a window over months gives every
-training window, and elimination solves all of them in projections. Refits are the month starts from
+No loop over refits, and no row is copied for the refits that see it: rows become mergeable least-squares states by
+month and stage (``factors``), each window is a merge of months, and one pass gives every refit's model, its residual
+spreads by stage, its z-score parameters and the stages' own models (``fits``). Refits are the month starts from
 test_start on, and test_start itself. Windows are half-open, [refit - years, refit).
 
-Several models at once: ``keys`` (for instance a stage, or an entity) fit a model for each value.
+Several models at once: ``keys`` (for instance an entity) fit a model for each value. Features are columns, or one
+array column (``xs`` is its name), with which plans do not grow with their number.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import RollingConfig
 from tidewatch.functions.labels import trainer_bucket
-from tidewatch.operators.dataset import feature_columns
-from tidewatch.operators.linalg import NOISE, fit_groups, least_norm_of_moments, linear, moment_names, moments, solve
+from tidewatch.operators import factors
+from tidewatch.operators.dataset import PACKED, feature_columns
+from tidewatch.operators.linalg import moment_names, moments
 
 MONTH = "interval 1 month"
 
@@ -43,16 +46,13 @@ def refit_of(origin: Column, cfg: RollingConfig) -> Column:
     return F.greatest(F.trunc(origin, "MONTH"), F.lit(cfg.test_start).cast("date"))
 
 
-def training_rows(ds: DataFrame, cfg: RollingConfig) -> DataFrame:
-    """Each row with a y, once for each refit whose window holds it (12 * window_years at most), with refit_date."""
-    month, start = F.trunc("origin_date", "MONTH"), F.lit(cfg.test_start).cast("date")
-    refits = F.sequence(F.add_months(month, 1), F.add_months(month, 12 * cfg.window_years), F.expr(MONTH))
-    none = F.array().cast("array<date>")
-    if _mid_month(cfg):
-        inside = (F.col("origin_date") >= F.add_months(start, -12 * cfg.window_years)) & (F.col("origin_date") < start)
-        refits = F.concat(refits, F.when(inside, F.array(start)).otherwise(none))
-    rows = ds.where("y is not null").withColumn("refit_date", F.explode(refits))
-    return rows.join(F.broadcast(refit_schedule(ds, cfg).select("refit_date")), "refit_date", "left_semi")  # one row a month
+def refit_dates(ds: DataFrame, cfg: RollingConfig) -> list[date]:
+    """The dates of ``refit_schedule`` on the driver, which reads one value of ``ds`` for them: its newest origin date."""
+    end, first = ds.agg(F.max("origin_date")).first()[0], date.fromisoformat(cfg.test_start)
+    if end is None or end < first:
+        return []
+    months = range(factors.month_of(first) + (first.day != 1), factors.month_of(end) + 1)
+    return [*([first] if first.day != 1 else []), *[date(1900 + m // 12, m % 12 + 1, 1) for m in months]]
 
 
 def window_moments(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig, keys: Sequence[str] = ()) -> DataFrame:
@@ -79,52 +79,58 @@ def window_sums(ds: DataFrame, names: Sequence[str], sums: Sequence[Column], cfg
     return out
 
 
-def coefficients(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig, keys: Sequence[str] = (), collinear: bool = True) -> DataFrame:
-    """refit_date, keys, n_rows, n, b_0..b_k. Windows with fewer rows with a y than min_train_rows are left out.
+def _stage(ds: DataFrame) -> Column:
+    return trainer_bucket(F.col("model_target_release_date"), F.col("origin_date")) if "model_target_release_date" in ds.columns else F.lit("unknown")
+
+
+def monthly_states(ds: DataFrame, xs: Sequence[str] | str, cfg: RollingConfig, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, month, stage, state) of the rows with a y. A window from inside a month has its rows once more, as a month of its own."""
+    month = factors.month_number(F.col("origin_date"))
+    own = [month]
+    if _mid_month(cfg):
+        start = F.lit(cfg.test_start).cast("date")
+        inside = (F.col("origin_date") >= F.add_months(start, -12 * cfg.window_years)) & (F.col("origin_date") < start)
+        own.append(F.when(inside, F.lit(factors.MID)))
+    rows = ds.where("y is not null").select(*keys, F.explode(F.array_compact(F.array(*own))).alias("month"), _stage(ds).alias("stage"), F.col("y").cast("double").alias("y"), factors.vector(xs).alias("x"))
+    return factors.states(rows, [*keys, "month", "stage"])
+
+
+def fits(ds: DataFrame, xs: Sequence[str] | str, cfg: RollingConfig, keys: Sequence[str] = ()) -> DataFrame:
+    """keys and ``factors.FIT``: everything that is known of each training window, in one pass.
 
-    A window in which features are collinear is fitted again from its rows (``collinear``), by least
-    norm; one without complete rows, or with a feature that does not vary, has null coefficients.
+    coef: intercept and coefficients on the features as they are, by least squares; of least norm among standardised
+    features where they are collinear; null without complete rows or if a feature does not vary.
     """
-    on = ["refit_date", *keys]
-    eligible = window_moments(ds, xs, cfg, keys)
+    return factors.window_fits(monthly_states(ds, xs, cfg, keys), keys, refit_dates(ds, cfg), 12 * cfg.window_years)
+
+
+def _count(ds: DataFrame, xs: Sequence[str] | str) -> int:
+    """The number of features; of an array column, that of one row."""
+    if not isinstance(xs, str):
+        return len(xs)
+    row = ds.where(F.col(xs).isNotNull()).select(F.size(xs)).first()
+    return 0 if row is None else row[0]
+
+
+def coefficients(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig, keys: Sequence[str] = ()) -> DataFrame:
+    """refit_date, keys, n_rows, n, b_0..b_k. Windows with fewer rows with a y than min_train_rows are left out, unless there are keys."""
+    found = fits(ds, xs, cfg, keys)
     if not keys:
-        eligible = eligible.where(F.col("n_rows") >= cfg.min_train_rows)
-    solved = solve(eligible, len(xs), [*on, "n_rows"])
-    if not collinear:
-        return solved
-    bad = solved.where("n > 0 and b_1 is null").select(*on)
-    rows = training_rows(ds.select(*keys, "origin_date", "y", *xs), cfg).join(bad, on, "left_semi")
-    again = fit_groups(rows, on, xs, "y", "f")
-    bs = [f"b_{i}" for i in range(len(xs) + 1)]
-    return solved.join(again, on, "left").select(*on, "n_rows", "n", *[F.coalesce(b, F.col(f"f{b[1:]}")).alias(b) for b in bs])
+        found = found.where(F.col("n_rows") >= cfg.min_train_rows)
+    return found.select("refit_date", *keys, "n_rows", "n", *[F.get("coef", i).alias(f"b_{i}") for i in range(_count(ds, xs) + 1)])
 
 
 def eligibility(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
     """(refit_date, next_refit, n_rows, n_complete, reason): why a refit gives no predictions, or "ok"."""
-    stats = window_moments(ds, xs, cfg)
-    fit = coefficients(ds, xs, cfg).select("refit_date", F.col("b_0").isNotNull().alias("solved"))
-    reason = F.when(F.col("n_rows") < cfg.min_train_rows, "too few rows").when(F.col("n") == 0, "no complete rows").when(~F.coalesce("solved", F.lit(False)), "a feature does not vary").otherwise("ok")
-    return refit_schedule(ds, cfg).join(stats, "refit_date").join(fit, "refit_date", "left").select("refit_date", "next_refit", "n_rows", F.col("n").alias("n_complete"), reason.alias("reason"))
+    met = refit_schedule(ds, cfg).join(fits(ds, xs, cfg), "refit_date", "left").withColumns({"n_rows": F.coalesce("n_rows", F.lit(0).cast("long")), "n": F.coalesce("n", F.lit(0).cast("long"))})
+    reason = F.when(F.col("n_rows") < cfg.min_train_rows, "too few rows").when(F.col("n") == 0, "no complete rows").when(F.col("coef").isNull(), "a feature does not vary").otherwise("ok")
+    return met.select("refit_date", "next_refit", "n_rows", F.col("n").alias("n_complete"), reason.alias("reason"))
 
 
 def zscore_params(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
-    """refit_date, n_rows, mu_{x}, sd_{x}: mean and population deviation of known values in rows with a y; sd null if it is zero.
-
-    They follow from each window's sums, so no row is copied for the refits that see it.
-    """
-    names, sums = ["n_rows"], [F.count("y").alias("n_rows")]
-    for i, x in enumerate(xs):
-        known = F.when(F.col("y").isNotNull(), F.col(x).cast("double"))
-        names += [f"n_{i}", f"s_{i}", f"q_{i}"]
-        sums += [F.count(known).alias(f"n_{i}"), F.sum(known).alias(f"s_{i}"), F.sum(known * known).alias(f"q_{i}")]
-    per = window_sums(ds, names, sums, cfg).where(F.col("n_rows") >= cfg.min_train_rows)
-    stats = []
-    for i, x in enumerate(xs):
-        n = F.nullif(F.col(f"n_{i}"), F.lit(0))
-        mean, square = F.col(f"s_{i}") / n, F.col(f"q_{i}") / n
-        spread = square - mean * mean
-        stats += [mean.alias(f"mu_{x}"), F.when(spread > NOISE * square, F.sqrt(spread)).alias(f"sd_{x}")]
-    return per.select("refit_date", "n_rows", *stats)
+    """refit_date, n_rows, mu_{x}, sd_{x}: mean and population deviation of known values in rows with a y; sd null if it is zero."""
+    found = fits(ds, xs, cfg).where(F.col("n_rows") >= cfg.min_train_rows)
+    return found.select("refit_date", "n_rows", *[F.get(c, i).alias(f"{c}_{x}") for i, x in enumerate(xs) for c in ("mu", "sd")])
 
 
 def zscore_apply(ds: DataFrame, params: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
@@ -137,80 +143,66 @@ def out_of_sample(ds: DataFrame, cfg: RollingConfig) -> DataFrame:
     return ds.where(F.col("origin_date") >= F.lit(cfg.test_start).cast("date")).withColumn("refit_date", refit_of(F.col("origin_date"), cfg))
 
 
-def stage_sigmas(ds: DataFrame, coefs: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
-    """(refit_date, distance_bucket, overall, sigma): spread of in-sample residuals, by bucket and (null bucket) over all.
-
-    The variance of b x - y is a quadratic form of the window's moments, so no row is copied for the refits that see it.
-    """
-    usable, k = coefs.where("b_0 is not null").drop("n_rows", "n"), len(xs)
-    weights = [*[F.col(f"b_{i + 1}") for i in range(k)], F.lit(-1.0)]
-
-    def spread(ds: DataFrame, keys: Sequence[str]) -> DataFrame:
-        n = F.col("n")
-        variance, size = F.lit(0.0), F.lit(0.0)
-        for i in range(k + 1):
-            size = size + weights[i] * weights[i] * F.col(f"s_{i}_{i}") / n
-            for j in range(i, k + 1):
-                variance = variance + (1 if i == j else 2) * weights[i] * weights[j] * (F.col(f"s_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") / n) / n
-        met = window_moments(ds, xs, cfg, keys).where("n > 0").join(usable, "refit_date")
-        return met.select("refit_date", *keys, F.when(variance > NOISE * size, F.sqrt(variance)).otherwise(0.0).alias("sigma"))
-
-    out = spread(ds, []).select("refit_date", F.lit(None).cast("string").alias("distance_bucket"), F.lit(1).cast("tinyint").alias("overall"), "sigma")
+def stage_sigmas(ds: DataFrame, xs: Sequence[str] | str, cfg: RollingConfig) -> DataFrame:
+    """(refit_date, distance_bucket, overall, sigma): spread of in-sample residuals, by bucket and (null bucket) over all."""
+    found = fits(ds, xs, cfg).where((F.col("n_rows") >= cfg.min_train_rows) & F.col("coef").isNotNull())
+    out = found.select("refit_date", F.lit(None).cast("string").alias("distance_bucket"), F.lit(1).cast("tinyint").alias("overall"), "sigma")
     if "model_target_release_date" in ds.columns:
-        stage = trainer_bucket(F.col("model_target_release_date"), F.col("origin_date"))
-        own = spread(ds.withColumn("distance_bucket", stage), ["distance_bucket"]).where("sigma > 0")
-        out = out.unionByName(own.withColumn("overall", F.lit(0).cast("tinyint")))
+        own = found.select("refit_date", F.explode("stages").alias("x")).where("x.sigma > 0")
+        out = out.unionByName(own.select("refit_date", F.col("x.stage").alias("distance_bucket"), F.lit(0).cast("tinyint").alias("overall"), "x.sigma"))
     return out
 
 
-def with_intervals(preds: DataFrame, sigmas: DataFrame, z: float) -> DataFrame:
-    """Adds nowcast_sigma (the bucket's, else the refit's) and the interval y_hat -+ z sigma."""
-    per = sigmas.groupBy("refit_date").agg(F.max(F.when(F.col("overall") == 1, F.col("sigma"))).alias("__all"), F.map_from_entries(F.collect_list(F.when(F.col("overall") == 0, F.struct("distance_bucket", "sigma")))).alias("__by"))
-    met = preds.join(F.broadcast(per), "refit_date", "left")  # one row a refit
-    sigma = F.coalesce(F.element_at("__by", F.col("distance_bucket")), F.col("__all"))
-    met = met.withColumn("nowcast_sigma", sigma).drop("__all", "__by")
-    return met.withColumns({"ci_low_95": F.col("y_hat") - z * F.col("nowcast_sigma"), "ci_high_95": F.col("y_hat") + z * F.col("nowcast_sigma")})
-
-
-def predict(ds: DataFrame, coefs: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
-    """Out-of-sample rows of refits that have a model, with y_hat, model_name and distance_bucket."""
-    usable = coefs.where("b_0 is not null").drop("n_rows", "n")
-    met = out_of_sample(ds, cfg).join(F.broadcast(usable), "refit_date")
-    stage = trainer_bucket(F.col("model_target_release_date"), F.col("origin_date")) if "model_target_release_date" in ds.columns else F.lit("unknown")
-    return met.select(*ds.columns, "refit_date", linear(xs).alias("y_hat"), F.lit(cfg.model_name).alias("model_name"), stage.alias("distance_bucket"))
+def predict(ds: DataFrame, found: DataFrame, xs: Sequence[str] | str, cfg: RollingConfig) -> DataFrame:
+    """Out-of-sample rows of refits that have a model (``fits``), with y_hat, model_name, distance_bucket, nowcast_sigma (the bucket's, else the refit's) and the interval y_hat -+ z sigma."""
+    usable = found.where((F.col("n_rows") >= cfg.min_train_rows) & F.col("coef").isNotNull())
+    by = F.map_from_entries(F.transform(F.filter("stages", lambda s: s["sigma"] > 0), lambda s: F.struct(s["stage"], s["sigma"])))
+    sigma = F.col("sigma") if "model_target_release_date" not in ds.columns else F.coalesce(F.element_at(by, _stage(ds)), F.col("sigma"))
+    usable = usable.select("refit_date", F.col("coef").alias("__coef"), F.col("stages").alias("__stages"), F.col("sigma").alias("__sigma"))
+    met = out_of_sample(ds, cfg).join(F.broadcast(usable), "refit_date")  # one row a refit
+    met = met.select(*ds.columns, "refit_date", factors.predicted(F.col("__coef"), factors.vector(xs)).alias("y_hat"), F.lit(cfg.model_name).alias("model_name"), _stage(ds).alias("distance_bucket"), F.col("__stages").alias("stages"), F.col("__sigma").alias("sigma"))
+    met = met.withColumn("nowcast_sigma", sigma).drop("stages", "sigma")
+    return met.withColumns({"ci_low_95": F.col("y_hat") - cfg.z * F.col("nowcast_sigma"), "ci_high_95": F.col("y_hat") + cfg.z * F.col("nowcast_sigma")})
 
 
-def run_rolling(ds: DataFrame, cfg: RollingConfig | None = None, xs: Sequence[str] | None = None) -> DataFrame:
+def run_rolling(ds: DataFrame, cfg: RollingConfig | None = None, xs: Sequence[str] | str | None = None) -> DataFrame:
     """The dataset's out-of-sample rows with y_hat, model_name, distance_bucket, nowcast_sigma, ci_low_95, ci_high_95."""
-    cfg = cfg or RollingConfig()
-    xs = feature_columns(ds) if xs is None else list(xs)
+    cfg, xs = cfg or RollingConfig(), features_of(ds) if xs is None else xs
     if not xs:
         raise ValueError("the dataset has no x_ columns")
-    coefs = coefficients(ds, xs, cfg)
-    return with_intervals(predict(ds, coefs, xs, cfg), stage_sigmas(ds, coefs, xs, cfg), cfg.z).drop("refit_date")
+    return predict(ds, fits(ds, xs, cfg), xs, cfg).drop("refit_date")
+
+
+def features_of(ds: DataFrame) -> list[str] | str:
+    """The array column of a packed dataset, else the x_ columns."""
+    return PACKED if PACKED in ds.columns else feature_columns(ds)
 
 
 # -- stage-aware ------------------------------------------------------------------------------------
 
 
-def stage_coefficients(ds: DataFrame, xs: Sequence[str], cfg: RollingConfig) -> DataFrame:
+def _stage_models(found: DataFrame, cfg: RollingConfig) -> DataFrame:
+    """(refit_date, stage, n, coef): the model over all rows (stage null), and one for each stage with enough complete rows."""
+    found = found.where(F.col("n_rows") >= cfg.min_train_rows)
+    own = found.select("refit_date", F.explode("stages").alias("x")).select("refit_date", "x.stage", "x.n", "x.coef")
+    own = own.where((F.col("n") >= cfg.min_stage_rows) & F.col("stage").isin(list(cfg.stages)) & F.col("coef").isNotNull())
+    return found.select("refit_date", F.lit(None).cast("string").alias("stage"), "n", "coef").unionByName(own)
+
+
+def stage_coefficients(ds: DataFrame, xs: Sequence[str] | str, cfg: RollingConfig) -> DataFrame:
     """refit_date, stage, n, b_0..b_k: the model over all rows (stage null), and one for each stage with enough complete rows."""
-    staged = ds.withColumn("stage", trainer_bucket(F.col("model_target_release_date"), F.col("origin_date")))
-    overall = coefficients(ds, xs, cfg)
-    own = coefficients(staged, xs, cfg, keys=["stage"]).where((F.col("n") >= cfg.min_stage_rows) & F.col("stage").isin(list(cfg.stages)) & F.col("b_0").isNotNull())
-    own = own.join(overall.select("refit_date"), "refit_date", "left_semi")
-    return overall.withColumn("stage", F.lit(None).cast("string")).unionByName(own).drop("n_rows")
+    return _stage_models(fits(ds, xs, cfg), cfg).select("refit_date", "stage", "n", *[F.get("coef", i).alias(f"b_{i}") for i in range(_count(ds, xs) + 1)])
 
 
-def stage_predict(ds: DataFrame, coefs: DataFrame, xs: Sequence[str], cfg: RollingConfig, model_name: str = "Bridge_stage_aware_15y") -> DataFrame:
+def stage_predict(ds: DataFrame, xs: Sequence[str] | str, cfg: RollingConfig, model_name: str = "Bridge_stage_aware_15y") -> DataFrame:
     """Out-of-sample rows predicted by their stage's model where there is one, else by the overall one."""
-    bs = [f"b_{i}" for i in range(len(xs) + 1)]
-    overall = coefs.where("stage is null and b_0 is not null").select("refit_date", *bs)
-    own = coefs.where("stage is not null").select("refit_date", F.col("stage").alias("distance_bucket"), *[F.col(b).alias(f"o{b}") for b in bs])
-    rows = out_of_sample(ds, cfg).withColumn("distance_bucket", trainer_bucket(F.col("model_target_release_date"), F.col("origin_date")))
-    met = rows.join(F.broadcast(overall), "refit_date").join(F.broadcast(own), ["refit_date", "distance_bucket"], "left")
-    y_hat = F.when(F.col("ob_0").isNotNull(), linear(xs, "ob")).otherwise(linear(xs))
-    return met.select(*ds.columns, "refit_date", y_hat.alias("y_hat"), F.lit(model_name).alias("model_name"), "distance_bucket", F.col("ob_0").isNotNull().alias("stage_model"))
+    found = fits(ds, xs, cfg).where((F.col("n_rows") >= cfg.min_train_rows) & F.col("coef").isNotNull())
+    own = F.filter("stages", lambda s: (s["n"] >= cfg.min_stage_rows) & s["stage"].isin(list(cfg.stages)) & s["coef"].isNotNull())
+    models = found.select("refit_date", F.col("coef").alias("__all"), F.map_from_entries(F.transform(own, lambda s: F.struct(s["stage"], s["coef"]))).alias("__by"))
+    rows = out_of_sample(ds, cfg).withColumn("distance_bucket", _stage(ds))
+    met = rows.join(F.broadcast(models), "refit_date").withColumn("__own", F.element_at("__by", F.col("distance_bucket")))  # one row a refit
+    y_hat = factors.predicted(F.coalesce("__own", "__all"), factors.vector(xs))
+    return met.select(*ds.columns, "refit_date", y_hat.alias("y_hat"), F.lit(model_name).alias("model_name"), "distance_bucket", F.col("__own").isNotNull().alias("stage_model"))
 
 
 def clean_nowcast(preds: DataFrame) -> DataFrame:
@@ -222,8 +214,12 @@ def clean_nowcast(preds: DataFrame) -> DataFrame:
 # -- single models ----------------------------------------------------------------------------------
 
 
+def _rows(df: DataFrame, xs: Sequence[str], y: str, *keys: str) -> DataFrame:
+    return df.where(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("y"), factors.vector(xs).alias("x"))
+
+
 class LinearModel:
-    """One fit on all rows of a DataFrame, which Spark adds up to moments; the fitted state is k + 1 numbers.
+    """One fit on all rows of a DataFrame, which Spark merges to one state; the fitted state is k + 1 numbers.
 
     Where features are collinear or do not vary, it is the solution of least norm.
     """
@@ -233,10 +229,11 @@ class LinearModel:
         self.coefficients: list[float] | None = None
 
     def fit(self, df: DataFrame, xs: Sequence[str], y: str = "y") -> LinearModel:
-        return self._take(df.agg(*moments(xs, y)).first().asDict(), xs)
+        row = factors.states(_rows(df, xs, y), []).first()
+        return self._take(None if row is None else row["state"], xs)
 
-    def _take(self, sums: dict[str, float], xs: Sequence[str]) -> LinearModel:
-        b = least_norm_of_moments(sums, len(xs))
+    def _take(self, state: bytes | None, xs: Sequence[str]) -> LinearModel:
+        b = None if state is None else factors.State.unpack(state).solve(standardised=False)
         if b is None:
             raise ValueError("no complete rows")
         self.features, self.coefficients = list(xs), b.tolist()
@@ -260,8 +257,8 @@ class StageModel:
 
     def fit(self, df: DataFrame, xs: Sequence[str], y: str = "y", stage: str = "distance_bucket") -> StageModel:
         self.overall.fit(df, xs, y)
-        rows = df.where(F.col(stage).isin(list(self.stages))).groupBy(stage).agg(*moments(xs, y)).collect()  # one row a stage
-        self.by_stage = {r[stage]: LinearModel()._take(r.asDict(), xs) for r in rows if r["n"] >= max(1, self.min_stage_rows)}
+        rows = factors.states(_rows(df.where(F.col(stage).isin(list(self.stages))), xs, y, stage), [stage]).collect()  # one row a stage
+        self.by_stage = {r[stage]: LinearModel()._take(r["state"], xs) for r in rows if factors.State.unpack(r["state"]).n >= max(1, self.min_stage_rows)}
         return self
 
     def predict(self, df: DataFrame, stage: str = "distance_bucket", out: str = "y_hat") -> DataFrame:

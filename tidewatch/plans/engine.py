@@ -49,8 +49,7 @@ class Nowcaster:
 
     def stage_predictions(self, ds: DataFrame | None = None) -> DataFrame:
         ds = self.dataset() if ds is None else ds
-        xs = feature_columns(ds)
-        return rolling.stage_predict(ds, rolling.stage_coefficients(ds, xs, self.rolling), xs, self.rolling)
+        return rolling.stage_predict(ds, rolling.features_of(ds), self.rolling)
 
     def ar_predictions(self) -> DataFrame:
         return autoregression.expand_to_daily(autoregression.quarterly_forecasts(self.targets(), self.ar))

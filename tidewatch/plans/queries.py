@@ -347,15 +347,9 @@ def distance_bucket_trainer(spark, sf_dir):
     return _dataset(spark, sf_dir).select("origin_date", labels.trainer_bucket(F.col("model_target_release_date"), F.col("origin_date")).alias("distance_bucket"))
 
 
-def _single(spark, sf_dir):
-    ds = _dataset(spark, sf_dir)
-    return ds, rolling.coefficients(ds, XS[:1], ROLLING)
-
-
 @query
 def stage_sigmas(spark, sf_dir):
-    ds, coefs = _single(spark, sf_dir)
-    return _rounded(rolling.stage_sigmas(ds, coefs, XS[:1], ROLLING).select("refit_date", "distance_bucket", F.col("overall").cast("int").alias("overall"), "sigma"))
+    return _rounded(rolling.stage_sigmas(_dataset(spark, sf_dir), XS[:1], ROLLING).select("refit_date", "distance_bucket", F.col("overall").cast("int").alias("overall"), "sigma"))
 
 
 def _predictions(spark, sf_dir, xs):
@@ -391,7 +385,7 @@ def stage_ols_coeffs(spark, sf_dir):
 @query
 def stage_ols_predict(spark, sf_dir):
     ds = _dataset(spark, sf_dir)
-    return _rounded(rolling.stage_predict(ds, rolling.stage_coefficients(ds, XS[:1], ROLLING), XS[:1], ROLLING).select("origin_date", "distance_bucket", "stage_model", "y_hat"), 5)
+    return _rounded(rolling.stage_predict(ds, XS[:1], ROLLING).select("origin_date", "distance_bucket", "stage_model", "y_hat"), 5)
 
 
 # -- autoregression -------------------------------------------------------------------------------------
@@ -489,7 +483,7 @@ def model_compare(spark, sf_dir):
     found = [evaluation.to_long(t, kind, None if kind == "overall" else kind, "AR_p1_15y") for kind, t in _ar_tables(spark, sf_dir).items()]
     ds = _dataset(spark, sf_dir)
     simple = rolling.run_rolling(ds, ROLLING, XS[:1])
-    stage = rolling.stage_predict(ds, rolling.stage_coefficients(ds, XS[:1], ROLLING), XS[:1], ROLLING)
+    stage = rolling.stage_predict(ds, XS[:1], ROLLING)
     return _rounded(evaluation.compare([*found, evaluation.slice_metrics(simple), evaluation.slice_metrics(stage)]), 5)
 
 
