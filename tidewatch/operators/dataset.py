@@ -20,7 +20,7 @@ def feature_columns(ds: DataFrame) -> list[str]:
     return [c for c in ds.columns if c.startswith("x_")]
 
 
-def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: str, features: Sequence[str] | None = None, *, label_mode: str = "visible", target_mode: str = "sticky", targets: DataFrame | None = None, exclude: Sequence[str] = (), min_features: int = 0, before_release: bool = False, packed: bool = False) -> DataFrame:
+def bridge_dataset(panel: DataFrame | None, metas: Mapping[str, SeriesMeta], target: str, features: Sequence[str] | None = None, *, label_mode: str = "visible", target_mode: str = "sticky", targets: DataFrame | None = None, exclude: Sequence[str] = (), min_features: int = 0, before_release: bool = False, packed: bool = False, daily: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """target_ref_period, target_release_date, model_target_ref_period, model_target_release_date, y, origin_date, x_*.
 
     features: all series but the target if not given; ``exclude`` takes some out. label_mode: y is the
@@ -28,7 +28,8 @@ def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: st
     y). target_mode: the previous quarter until it is released, or always the running one.
     min_features: least non-null features of a row. before_release: only rows with y before the model
     target's release. packed: the features are one array ``features``, in the order of the names, so that the plan
-    has one expression for all of them.
+    has one expression for all of them. daily: rows as ``features_daily`` gives them, in place of a panel. by:
+    columns of ``daily`` that tell datasets apart, as "as_of".
     """
     if target not in metas:
         raise KeyError(target)
@@ -39,7 +40,10 @@ def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: st
     if missing:
         raise KeyError(f"features without configuration: {missing}")
     lag = metas[target].release_lag_days
-    daily = features_daily(panel.where(F.col("series").isin([target, *names])), metas)
+    if daily is None:
+        daily = features_daily(panel.where(F.col("series").isin([target, *names])), metas)
+    else:
+        daily = daily.where(F.col("series").isin([target, *names]))
 
     def of(series: str, column: str):
         return F.max(F.when(F.col("series") == series, F.col(column)))
@@ -51,8 +55,8 @@ def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: st
     else:
         gathered, xs = [of(k, "feature").alias(f"x_{k}") for k in names], [f"x_{k}" for k in names]
         found = xs
-    wide = daily.groupBy(F.col("as_of_date").alias("origin_date")).agg(of(target, "ref_period").alias("target_ref_period"), of(target, "value").alias("y"), *gathered)
-    wide = wide.select("origin_date", "target_ref_period", "y", *found)
+    wide = daily.groupBy(*by, F.col("as_of_date").alias("origin_date")).agg(of(target, "ref_period").alias("target_ref_period"), of(target, "value").alias("y"), *gathered)
+    wide = wide.select(*by, "origin_date", "target_ref_period", "y", *found)
     origin = F.col("origin_date")
     model_target = sticky_target(origin, lag) if target_mode == "sticky" else quarter_start(origin)
     out = wide.withColumn("model_target_ref_period", model_target)
@@ -66,7 +70,7 @@ def bridge_dataset(panel: DataFrame, metas: Mapping[str, SeriesMeta], target: st
         out = out.where((F.size(F.array_compact(PACKED)) if packed else non_null_features(xs)) >= min_features)
     if before_release:
         out = out.where("y is not null and origin_date < model_target_release_date")
-    return out.select("target_ref_period", "target_release_date", "model_target_ref_period", "model_target_release_date", "y", "origin_date", *xs)
+    return out.select(*by, "target_ref_period", "target_release_date", "model_target_ref_period", "model_target_release_date", "y", "origin_date", *xs)
 
 
 def non_null_features(xs: Sequence[str]):

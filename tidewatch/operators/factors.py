@@ -253,6 +253,36 @@ def states(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 FIT = "refit_date date, n_rows long, n long, coef array<double>, sigma double, mu array<double>, sd array<double>, stages array<struct<stage: string, n_rows: long, n: long, coef: array<double>, sigma: double>>"
 
 
+def _fit_types() -> dict[str, pa.DataType]:
+    stage = pa.struct([("stage", pa.string()), ("n_rows", pa.int64()), ("n", pa.int64()), ("coef", pa.list_(pa.float64())), ("sigma", pa.float64())])
+    return {"refit_date": pa.date32(), "n_rows": pa.int64(), "n": pa.int64(), "coef": pa.list_(pa.float64()), "sigma": pa.float64(), "mu": pa.list_(pa.float64()), "sd": pa.list_(pa.float64()), "stages": pa.list_(stage)}
+
+
+def _plain(v: np.ndarray | None) -> list | None:
+    return None if v is None else [None if np.isnan(x) else float(x) for x in v]
+
+
+def _fit(own: dict[str, State]) -> dict:
+    """What is known of a window from the states of its stages."""
+    total = None
+    for s in sorted(own, key=str):
+        total = own[s] if total is None else total.merge(own[s])
+    b = total.solve()
+    stages = [{"stage": s, "n_rows": w.n_rows, "n": w.n, "coef": _plain(b if len(own) == 1 else w.solve()), "sigma": None if b is None else w.residual_spread(b)} for s, w in own.items()]
+    return {"n_rows": total.n_rows, "n": total.n, "coef": _plain(b), "sigma": None if b is None else total.residual_spread(b), "mu": _plain(np.where(total.known > 0, total.mu, np.nan)), "sd": _plain(total.spread()), "stages": stages}
+
+
+def single_fits(found: DataFrame) -> DataFrame:
+    """A ``FIT`` for each refit date of (refit_date, stage, state): windows that share no rows, as each has its own."""
+    ship(found.sparkSession)
+
+    def fit(table: pa.Table) -> pa.Table:
+        row = {"refit_date": table["refit_date"][0].as_py(), **_fit({s: State.unpack(b) for s, b in zip(table["stage"].to_pylist(), table["state"].to_pylist(), strict=True)})}
+        return pa.table([pa.array([row[c]], t) for c, t in _fit_types().items()], names=list(_fit_types()))
+
+    return found.groupBy("refit_date").applyInArrow(fit, FIT)
+
+
 def window_fits(monthly: DataFrame, keys: Sequence[str], refits: Sequence[date], window_months: int) -> DataFrame:
     """(keys, a ``FIT``) for each refit date and key with a row in its window. monthly: (keys, month, stage, state).
 
@@ -268,9 +298,6 @@ def window_fits(monthly: DataFrame, keys: Sequence[str], refits: Sequence[date],
     whole = [r for r in refits if r.day == 1]
     mid = [r for r in refits if r.day != 1]
 
-    def plain(v: np.ndarray | None) -> list | None:
-        return None if v is None else [None if np.isnan(x) else float(x) for x in v]
-
     def fits(table: pa.Table) -> pa.Table:
         by: dict[str, dict[int, State]] = {}
         for month, stage, packed in zip(*(table[c].to_pylist() for c in ("month", "stage", "state")), strict=True):
@@ -283,19 +310,9 @@ def window_fits(monthly: DataFrame, keys: Sequence[str], refits: Sequence[date],
             own = {s: w for s, w in own.items() if w is not None and w.n_rows}
             if not own:
                 continue
-            total = None
-            for s in sorted(own, key=str):
-                total = own[s] if total is None else total.merge(own[s])
-            b = total.solve()
-            stages = []
-            for s, w in own.items():
-                one = w.solve() if len(own) > 1 or s != "unknown" else b
-                stages.append({"stage": s, "n_rows": w.n_rows, "n": w.n, "coef": plain(one), "sigma": None if b is None else w.residual_spread(b)})
-            out.append({"refit_date": r, "n_rows": total.n_rows, "n": total.n, "coef": plain(b), "sigma": None if b is None else total.residual_spread(b), "mu": plain(np.where(total.known > 0, total.mu, np.nan)), "sd": plain(total.spread()), "stages": stages})
-        stage = pa.struct([("stage", pa.string()), ("n_rows", pa.int64()), ("n", pa.int64()), ("coef", pa.list_(pa.float64())), ("sigma", pa.float64())])
-        types = {"refit_date": pa.date32(), "n_rows": pa.int64(), "n": pa.int64(), "coef": pa.list_(pa.float64()), "sigma": pa.float64(), "mu": pa.list_(pa.float64()), "sd": pa.list_(pa.float64()), "stages": pa.list_(stage)}
+            out.append({"refit_date": r, **_fit(own)})
         first = [pa.array([table[c][0].as_py()] * len(out), table.schema.field(c).type) for c in grouped]
-        return pa.table([*first, *[pa.array([o[c] for o in out], t) for c, t in types.items()]], names=[*grouped, *types])
+        return pa.table([*first, *[pa.array([o[c] for o in out], t) for c, t in _fit_types().items()]], names=[*grouped, *_fit_types()])
 
     found = monthly.groupBy(*grouped).applyInArrow(fits, schema)
     return found if keys else found.drop("__all")

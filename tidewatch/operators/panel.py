@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import SeriesMeta
@@ -25,6 +25,20 @@ from tidewatch.sources.observations import load_all_raw_series
 MEASURES = ("value", "ref_period", "age_days", "is_new_release")
 
 
+def by_vintage_mode(cal: DataFrame, metas: Mapping[str, SeriesMeta], keep_superseded: bool = False) -> DataFrame:
+    """Each series by its own configured ``vintage_mode``, in one pass over release numbers within a period; adds release_number.
+
+    first_release and latest keep one release of a period; all_releases keeps every one, each to be seen from its own
+    vintage date on; reference keeps every one from the period's release on, so that the newest is shown.
+    """
+    modes = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, m in metas.items() for x in (k, m.vintage_mode)]), F.col("series")), F.lit("reference"))
+    order = Window.partitionBy("series", "ref_period").orderBy(F.asc_nulls_first("vintage_date"), "available_date")
+    numbered = cal.withColumns({"release_number": F.row_number().over(order), "__later": F.lead(F.lit(1)).over(order), "__mode": modes})
+    kept = numbered.where(F.when(F.col("__mode") == "first_release", F.col("release_number") == 1).when((F.col("__mode") == "latest") & F.lit(not keep_superseded), F.col("__later").isNull()).otherwise(True))
+    at = F.when(F.col("__mode") == "all_releases", F.greatest("available_date", "vintage_date")).otherwise(F.col("available_date"))
+    return kept.withColumn("available_date", at).drop("__mode", "__later")
+
+
 def pick_vintages(cal: DataFrame, mode: str = "reference") -> DataFrame:
     """Rows by vintage policy: each period's first or latest vintage, or all of them ("reference", "all_releases")."""
     if mode in ("reference", "all_releases"):
@@ -43,42 +57,63 @@ def headline_events(cal: DataFrame) -> DataFrame:
     return cal.where("available_date is not null").groupBy("series", "available_date").agg(best.alias("x")).select("series", "available_date", "x.value", "x.ref_period")
 
 
-def daily_panel(cal: DataFrame, start: str, end: str, *, carry_in: bool = False, as_of: str | None = None) -> DataFrame:
-    """The long panel of every series in ``cal`` for each day from start to end.
+def panel_events(cal: DataFrame, start: str, end: str, *, carry_in: bool = False, as_of: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """What the panel shows from one event to the next: (by, series, at, value, ref_period, seen, begin, last, days).
 
-    ``carry_in`` lets the newest event before the start fill the first days. ``as_of`` ignores events
-    that become available later, and days after it.
+    The days from begin to last show value and ref_period, each carried forward on its own; before ``at`` (the first
+    days of a series) nothing is known. ``by``: columns that tell apart calendars of the same series; with "as_of"
+    among them each calendar ends on its own date.
     """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    if "as_of" in by:
+        hi = F.least(hi, F.col("as_of"))
     if as_of is not None:
         hi = F.least(hi, F.lit(as_of).cast("date"))
-    at = F.col("available_date")
+    at, group = F.col("available_date"), [*by, "series"]
     inside = F.coalesce((at <= hi) if carry_in else at.between(lo, hi), F.lit(False))
+    if as_of is not None:
+        inside = inside & (F.col("vintage_date").isNull() | (F.col("vintage_date") <= F.lit(as_of).cast("date")))
     # What lies outside becomes an empty event on the first day, so that its series still has rows.
-    keyed = cal.select("series", F.when(inside, at).otherwise(lo).alias("at"), inside.alias("real"), "value", "ref_period", "vintage_date")
+    keyed = cal.select(*group, F.when(inside, at).otherwise(lo).alias("at"), inside.alias("real"), "value", "ref_period", "vintage_date")
     best = F.max_by(F.struct("value", "ref_period", "real"), F.struct("real", "ref_period", "vintage_date"))
-    events = keyed.groupBy("series", "at").agg(best.alias("x"))
+    events = keyed.groupBy(*group, "at").agg(best.alias("x"))
     blank = ~F.col("x.real")
-    events = events.select("series", "at", F.when(~blank, F.col("x.value")).alias("value"), F.when(~blank, F.col("x.ref_period")).alias("ref_period"), F.when(~blank, F.col("at")).alias("seen"))
-    upto = Window.partitionBy("series").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    nearby = Window.partitionBy("series").orderBy("at")
-    filled = events.select("series", "at", *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("value", "ref_period", "seen")], F.lag("at").over(nearby).isNull().alias("first"), F.lead("at").over(nearby).alias("next"))
+    events = events.select(*group, "at", F.when(~blank, F.col("x.value")).alias("value"), F.when(~blank, F.col("x.ref_period")).alias("ref_period"), F.when(~blank, F.col("at")).alias("seen"))
+    nearby = Window.partitionBy(*group).orderBy("at")
+    upto = nearby.rowsBetween(Window.unboundedPreceding, 0)
+    filled = events.select(*group, "at", *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("value", "ref_period", "seen")], F.lag("at").over(nearby).isNull().alias("first"), F.lead("at").over(nearby).alias("next"))
     begin = F.when(F.col("first"), lo).otherwise(F.greatest("at", lo))
     last = F.least(F.coalesce(F.date_sub("next", 1), hi), hi)
-    days = F.when(begin <= last, F.sequence(begin, last, F.expr("interval 1 day")))
-    daily = filled.withColumn("as_of_date", F.explode(days))
+    filled = filled.withColumns({"begin": begin, "last": last}).where("begin <= last").drop("first", "next")
+    return filled
+
+
+def expand_days(events: DataFrame, *extra: str, by: Sequence[str] = ()) -> DataFrame:
+    """``panel_events`` to a row for each day, with the columns of the long panel and ``extra`` ones of the event."""
+    daily = events.withColumn("as_of_date", F.explode(F.sequence("begin", "last", F.expr("interval 1 day"))))
     known = F.col("as_of_date") >= F.col("at")
     seen = F.when(known, F.col("seen"))
     return daily.select(
+        *by,
         "series",
         "as_of_date",
         F.when(known, F.col("value")).alias("value"),
         F.when(known, F.col("ref_period")).alias("ref_period"),
         F.datediff("as_of_date", seen).cast("double").alias("age_days"),
         F.coalesce(seen == F.col("as_of_date"), F.lit(False)).cast("tinyint").alias("is_new_release"),
+        *[F.when(known, F.col(c)).alias(c) for c in extra],
     )
 
 
+def daily_panel(cal: DataFrame, start: str, end: str, *, carry_in: bool = False, as_of: str | None = None) -> DataFrame:
+    """The long panel of every series in ``cal`` for each day from start to end.
+
+    ``carry_in`` lets the newest event before the start fill the first days. ``as_of`` shows what was known on that
+    date: no vintage dated later, no event that becomes available later, no day after it.
+    """
+    return expand_days(panel_events(cal, start, end, carry_in=carry_in, as_of=as_of))
+
+
 def vintage_panel(cal: DataFrame, start: str, end: str) -> DataFrame:
     """The panel with a jagged edge: each vintage is seen from its own date, no revision earlier."""
     strict = F.greatest("release_date", "vintage_date")
@@ -107,17 +142,20 @@ def panel_range(panel: DataFrame) -> DataFrame:
     return panel.agg(F.min("as_of_date").alias("start_date"), F.max("as_of_date").alias("end_date"))
 
 
-def apply_missing_policy(panel: DataFrame, metas: Mapping[str, SeriesMeta], stale_days: int = 0) -> DataFrame:
-    """Values by the series' missing policy, and is_missing.
+def apply_missing_policy(panel: DataFrame, metas: Mapping[str, SeriesMeta], stale_days: int = 0, columns: Sequence[str] = ("value",)) -> DataFrame:
+    """Values (``columns``) by the series' missing policy, and is_missing, of the first of them.
 
     carry_forward keeps the carried value; skip keeps it only up to ``stale_days`` after its release;
     zero puts 0 and flag_only null where a value is missing or stale. is_missing marks those days.
     """
     by = {k: m.missing_policy for k, m in metas.items()}
     policy = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in by.items() for x in kv]), F.col("series")), F.lit("skip"))
-    missing = F.col("value").isNull() | (F.col("age_days") > stale_days)
-    value = F.when(~missing | (policy == "carry_forward"), F.col("value")).when(policy == "zero", F.lit(0.0))
-    return panel.withColumns({"value": value, "is_missing": F.coalesce(missing, F.lit(True)).cast("tinyint")})
+
+    def missing(c: str) -> Column:
+        return F.coalesce(F.col(c).isNull() | (F.col("age_days") > stale_days), F.lit(True))
+
+    kept = {c: F.when(~missing(c) | (policy == "carry_forward"), F.col(c)).when(policy == "zero", F.lit(0.0)) for c in columns}
+    return panel.withColumns({**kept, "is_missing": missing(columns[0]).cast("tinyint")})
 
 
 def derived_features(panel: DataFrame, half_life_days: float = 30.0) -> DataFrame:

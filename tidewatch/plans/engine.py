@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import ARConfig, RollingConfig, SeriesMeta
-from tidewatch.operators import autoregression, evaluation, rolling, signals
+from tidewatch.operators import autoregression, bitemporal, evaluation, rolling, signals
 from tidewatch.operators.calendar import build_calendar
 from tidewatch.operators.dataset import bridge_dataset, feature_columns
-from tidewatch.operators.panel import daily_panel
+from tidewatch.operators.features import event_features
+from tidewatch.operators.panel import apply_missing_policy, by_vintage_mode, daily_panel, expand_days, panel_events
+from tidewatch.session import cut
 from tidewatch.sources.results import parquet_or_build, write_csv
 
 
@@ -28,15 +31,39 @@ class Nowcaster:
     rolling: RollingConfig = field(default_factory=RollingConfig)
     ar: ARConfig = field(default_factory=ARConfig)
     strict: bool = False
+    #: Whether each series' configured vintage_mode and missing_policy count; days after a release up to which "skip" keeps a value.
+    policies: bool = False
+    stale_days: int = 0
 
-    def calendar(self) -> DataFrame:
-        return build_calendar(self.raw, self.metas, self.strict)
+    def calendar(self, superseded: bool = False) -> DataFrame:
+        """superseded: with releases that are the latest as of an earlier date only."""
+        cal = build_calendar(self.raw, self.metas, self.strict)
+        return by_vintage_mode(cal, self.metas, superseded).drop("release_number") if self.policies else cal
 
     def panel(self, as_of: str | None = None) -> DataFrame:
-        return daily_panel(self.calendar(), self.start, self.end, as_of=as_of)
+        return self._held(daily_panel(self.calendar(as_of is not None), self.start, self.end, as_of=as_of))
+
+    def _held(self, daily: DataFrame, *more: str) -> DataFrame:
+        return apply_missing_policy(daily, self.metas, self.stale_days, ("value", *more)).drop("is_missing") if self.policies else daily
+
+    def daily_features(self, as_of: str | None = None) -> DataFrame:
+        """(series, as_of_date, ref_period, value, feature, age_days), as of a date if one is given."""
+        events = event_features(panel_events(self.calendar(as_of is not None), self.start, self.end, as_of=as_of), self.metas)
+        return self._held(expand_days(events, "feature"), "feature")
 
     def dataset(self, as_of: str | None = None, **kw) -> DataFrame:
-        return bridge_dataset(self.panel(as_of), self.metas, self.target, **kw)
+        """The regression rows; with ``as_of`` from no vintage dated later."""
+        return bridge_dataset(None, self.metas, self.target, daily=self.daily_features(as_of), **kw)
+
+    def datasets_as_of(self, as_ofs: Sequence[str | date], **kw) -> DataFrame:
+        """The datasets of many dates in one plan, told apart by ``as_of``."""
+        daily = bitemporal.features_as_of(self.calendar(True), self.metas, as_ofs, self.start, self.end)
+        return bridge_dataset(None, self.metas, self.target, daily=self._held(daily, "feature"), by=bitemporal.BY, **kw)
+
+    def real_time_dataset(self, end: str | None = None, **kw) -> DataFrame:
+        """The regression rows, each from what was known on its own origin date."""
+        daily = bitemporal.knowledge_features(self.calendar(True), self.metas, self.start, min(end or self.end, self.end))
+        return bridge_dataset(None, self.metas, self.target, daily=self._held(daily, "feature"), **kw)
 
     def cached_dataset(self, path: str, rebuild: bool = False) -> DataFrame:
         return parquet_or_build(self.raw.sparkSession, path, self.dataset, rebuild)
@@ -55,13 +82,28 @@ class Nowcaster:
         return autoregression.expand_to_daily(autoregression.quarterly_forecasts(self.targets(), self.ar))
 
     def fit_history(self, as_of: str) -> DataFrame:
-        """Nowcast results of all origin dates up to ``as_of``, from what was known then."""
-        ds = self.dataset(as_of)
-        return signals.nowcast_results(rolling.run_rolling(ds, self.rolling), feature_columns(ds))
+        """Nowcast results of all origin dates up to ``as_of``, from what was known then.
+
+        Every refit learns from the dataset as of its own date, and every prediction is made from features as known on
+        its origin date. All refits' datasets are one plan.
+        """
+        origins = cut(self.real_time_dataset(as_of))
+        refits = rolling.refit_dates(origins, self.rolling)
+        xs = rolling.features_of(origins)
+        found = bitemporal.fits_as_of(self.datasets_as_of(refits), xs, self.rolling)
+        return signals.nowcast_results(rolling.predict(origins, found, xs, self.rolling), feature_columns(origins))
 
     def run_daily(self, day: str, cfg: signals.SignalConfig | None = None) -> DataFrame:
-        """The day's nowcast with its signal and confidence: one row, or none if there is no model for the day."""
-        return signals.to_signals(self.fit_history(day).where(F.col("origin_date") == F.lit(day).cast("date")), cfg)
+        """The day's nowcast with its signal and confidence: one row, or none if there is no model for the day.
+
+        The model is that of the day's refit, as of the refit's date; the features are as known on the day.
+        """
+        refit = max(date.fromisoformat(self.rolling.test_start), date.fromisoformat(day).replace(day=1))
+        both = cut(self.datasets_as_of([refit, day]))
+        today = both.where((F.col("as_of") == F.lit(day).cast("date")) & (F.col("origin_date") == F.col("as_of"))).drop("as_of")
+        xs = rolling.features_of(today)
+        found = bitemporal.fits_as_of(both.where(F.col("as_of") == F.lit(refit)), xs, self.rolling)
+        return signals.to_signals(signals.nowcast_results(rolling.predict(today, found, xs, self.rolling), feature_columns(today)), cfg)
 
     def save(self, out_dir: str) -> dict[str, str]:
         """Predictions, evaluations of all models, their comparison and the clean nowcast as CSV; returns the paths."""

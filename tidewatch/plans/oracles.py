@@ -166,7 +166,40 @@ for key, column in (("panel_value_wide", "value"), ("panel_ref_wide", "ref_perio
     picks = ", ".join(f"max(case when series = '{s}' then {column} end) {s}" for s in ALL)
     ORACLES[key] = f"{PANEL} select as_of_date, {picks} from panel group by as_of_date"
 ORACLES["panel_carry_in"] = f"{BASE}, {panel_from('cal', '1997-03-05', '1997-12-31', '1990-01-01')} select * from panel"
-ORACLES["panel_as_of"] = f"{BASE}, {panel_from('cal', '1995-01-01', '1999-06-30')} select * from panel"
+
+
+def known_by(day: str, name: str = "known") -> str:
+    """The vintages dated up to a day."""
+    return f"{name} as (select * from cal where vintage_date is null or vintage_date <= date '{day}')"
+
+
+ORACLES["panel_as_of"] = f"{BASE}, {known_by('1999-06-30')}, {panel_from('known', '1995-01-01', '1999-06-30')} select * from panel"
+AS_OFS = ("1996-01-15", "1997-02-14", "1998-07-31", "1999-06-30", "2000-12-24", "2002-03-01")
+ORACLES["panels_as_of"] = " union all ".join(f"select date '{a}' as_of, * from ({BASE}, {known_by(a)}, {panel_from('known', '1995-01-01', min(a, '2001-12-31'))} select * from panel)" for a in AS_OFS)
+ORACLES["real_time_features"] = f"""{BASE},
+days as (select cast(x as date) d from generate_series(timestamp '1995-01-01', timestamp '2001-12-31', interval 1 day) t(x)),
+seen as (
+  select d, series, ref_period, available_date, value from (
+    select d, c.*, row_number() over (partition by d, series, ref_period order by vintage_date desc nulls last) rn
+    from days join cal c on c.available_date <= d and c.available_date >= date '1995-01-01' and (c.vintage_date is null or c.vintage_date <= d)) where rn = 1),
+moved as (
+  select s.*, row_number() over (partition by d, s.series order by available_date desc, ref_period desc) newest,
+         case meta.transform
+           when 'level' then value when '' then value
+           when 'diff' then value - lag(value) over w
+           when 'mom' then value / nullif(lag(value) over w, 0) - 1
+           when 'log_diff' then ln(case when value > 0 then value end) - lag(ln(case when value > 0 then value end)) over w end feature
+  from seen s join meta on meta.series = s.series window w as (partition by d, s.series order by ref_period))
+select g.series, g.d as_of_date, m.ref_period, round(m.value, 6) + 0.0 as value, round(m.feature, 6) + 0.0 feature
+from (select d, series from days cross join (select distinct series from cal)) g
+left join moved m on m.d = g.d and m.series = g.series and m.newest = 1"""
+MODES = """moded as (
+  select * exclude (available_date, lo, hi),
+         case when series = 'order_value' and vintage_date > available_date then vintage_date else available_date end available_date
+  from (select *, row_number() over (partition by series, ref_period order by vintage_date nulls first) lo,
+               row_number() over (partition by series, ref_period order by vintage_date desc nulls last) hi from cal)
+  where case series when 'revenue_growth' then lo = 1 when 'order_count' then hi = 1 else true end)"""
+ORACLES["panel_vintage_modes"] = f"{BASE}, {MODES}, {panel_from('moded', '1995-01-01', '2001-12-31')} select * from panel"
 STRICT = "late as (select * exclude (available_date), case when vintage_date > release_date then vintage_date else release_date end available_date from cal)"
 ORACLES["panel_strict"] = f"{BASE}, {STRICT}, {panel_from('late', '1995-01-01', '2001-12-31')} select * from panel"
 ORACLES["panel_jagged_edge"] = ORACLES["panel_strict"]
@@ -323,6 +356,26 @@ staged as (
 ORACLES["stage_ols_coeffs"] = f"{STAGED} select refit_date, cast(null as varchar) stage, n, {rounded('b_0 b_1', 5)} from one union all select refit_date, stage, n, {rounded('b_0 b_1', 5)} from own"
 ORACLES["stage_ols_predict"] = f"{STAGED} select origin_date, distance_bucket, stage_model, {rounded('y_hat', 5)} from staged"
 
+FULL_STAGED = f"""{MONTHLY}, {TRAIN}, {FULL}"""
+ORACLES["stage_sigmas_full"] = f"{FULL_STAGED}, {predicted('full_fit', ALL_X)} select refit_date, b distance_bucket, cast(0 as int) \"overall\", {rounded('sigma', 4)} from by_stage union all select refit_date, null, 1, {rounded('sigma', 4)} from by_refit"
+
+
+def _per_stage() -> str:
+    """The same elimination for each refit and stage, by a key made of both."""
+    keyed = f"strain as (select * exclude (refit_date), refit_date || {STAGE.format('(t.model_target_release_date - t.origin_date)')} refit_date from train t)"
+    own = FULL.replace("from train)", "from strain)").replace("having count(*) >= 200", "having count(*) >= 80")
+    for name in ("rows_full", "mean_full", "centred", "full_fit", *(f"e{p}" for p in range(K))):
+        own = own.replace(f"{name} as", f"s_{name} as").replace(f"from {name}", f"from s_{name}").replace(f"join {name}", f"join s_{name}")
+    return f"{keyed}, {own}"
+
+
+ORACLES["stage_ols_full"] = f"""{FULL_STAGED}, {_per_stage()},
+own as (select * from s_full_fit where n >= 80 and refit_date not like '%unknown')
+select d.origin_date, {STAGE.format(GAP)} distance_bucket, o.b_0 is not null stage_model,
+       round(case when o.b_0 is not null then {ALL_X.replace('f.', 'o.')} else {ALL_X} end, 4) + 0.0 y_hat
+from ds d join refits r on d.origin_date >= r.refit_date and d.origin_date < r.next_refit join full_fit f on f.refit_date = r.refit_date
+left join own o on o.refit_date = r.refit_date || {STAGE.format(GAP)}"""
+
 # -- autoregression ---------------------------------------------------------------------------------------
 
 AR = f"""{BASE}, {TARGETS},
@@ -423,7 +476,18 @@ ORACLES["nowcast_results"] = f"{SINGLE} select origin_date, model_target_ref_per
 SIGNAL = "case when y_hat > 2.5 then 1 when y_hat < 0 then -1 when y_hat is not null then 0 end"
 ORACLES["nowcast_signals"] = f"""{SINGLE} select origin_date, model_target_ref_period target_quarter, round(y_hat, 5) + 0.0 point, round(nowcast_sigma, 5) + 0.0 std, cast({SIGNAL} as int) signal,
   round(case when y_hat is null then null when nowcast_sigma > 0 then 1 - exp(-least(abs(y_hat - 2.5), abs(y_hat)) / nowcast_sigma) else 0.0 end, 5) + 0.0 confidence from preds"""
-ORACLES["run_daily"] = f"""{MONTHLY}, {TRAIN}, {FULL}, {predicted('full_fit', ALL_X)}
+def ds_as_of(day: str) -> str:
+    """The dataset from vintages dated up to a day, and up to that day."""
+    known = DS.replace("from dated)", f"from dated where vintage_source <> 'alfred' or cast(period_end + (release_lag_days + 30 * vint) * interval 1 day as date) <= date '{day}')")
+    return known.replace("timestamp '2001-12-31'", f"timestamp '{day}'")
+
+
+ORACLES["datasets_as_of"] = " union all ".join(f"select date '{a}' as_of, target_ref_period, target_release_date, model_target_ref_period, model_target_release_date, origin_date, {rounded('y ' + X_NAMES)} from ({ds_as_of(a)} select * from ds)" for a in AS_OFS[1:4])
+# The model of 1 May learns from what was known on 1 May, and meets what was known on 17 May.
+ORACLES["run_daily"] = f"""with ds as (
+  select * from ({ds_as_of('2000-05-01')} select * from ds) where origin_date < date '2000-05-01'
+  union all by name select * from ({ds_as_of('2000-05-17')} select * from ds) where origin_date = date '2000-05-17'),
+refits as (select date '2000-05-01' refit_date, date '2000-05-18' next_refit), {TRAIN}, {FULL}, {predicted('full_fit', ALL_X)}
 select origin_date, model_target_ref_period target_quarter, round(y_hat, 4) + 0.0 point, round(nowcast_sigma, 4) + 0.0 std, cast({SIGNAL} as int) signal,
   round(case when y_hat is null then null when nowcast_sigma > 0 then 1 - exp(-least(abs(y_hat - 2.5), abs(y_hat)) / nowcast_sigma) else 0.0 end, 4) + 0.0 confidence
-from preds where origin_date = date '2000-05-17'""".replace("timestamp '2001-12-31'", "timestamp '2000-05-17'")
+from preds where origin_date = date '2000-05-17'"""

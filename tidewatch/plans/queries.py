@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import ARConfig, EvaluationConfig, RollingConfig, meta_frame
 from tidewatch.functions import dates, labels
 from tidewatch.functions.metrics import METRICS
-from tidewatch.operators import autoregression, calendar, checks, dataset, evaluation, features, panel, rolling, signals
+from tidewatch.operators import autoregression, bitemporal, calendar, checks, dataset, evaluation, features, panel, rolling, signals
 from tidewatch.plans.engine import Nowcaster
 from tidewatch.session import checkpoint_dir, cut, table
 from tidewatch.sources import fixtures, observations
@@ -212,6 +212,34 @@ def panel_as_of(spark, sf_dir):
     return nowcaster(spark, sf_dir).panel(as_of="1999-06-30")
 
 
+AS_OFS = ["1996-01-15", "1997-02-14", "1998-07-31", "1999-06-30", "2000-12-24", "2002-03-01"]
+
+
+@query
+def panels_as_of(spark, sf_dir):
+    """The panels of six dates in one plan, none with a vintage dated after its own."""
+    return bitemporal.panels_as_of(_calendar(spark, sf_dir), AS_OFS, START, END)
+
+
+@query
+def real_time_features(spark, sf_dir):
+    """Every day's features as they were known on that day."""
+    return _rounded(bitemporal.knowledge_features(_calendar(spark, sf_dir), fixtures.demo_meta(), START, END).drop("age_days"))
+
+
+@query
+def datasets_as_of(spark, sf_dir):
+    return _rounded(nowcaster(spark, sf_dir).datasets_as_of(AS_OFS[1:4]))
+
+
+@query
+def panel_vintage_modes(spark, sf_dir):
+    """Four series, each by its own vintage mode; all releases are seen from their own dates on."""
+    modes = {"revenue_growth": "first_release", "order_value": "all_releases", "order_count": "latest", "ship_quantity": "reference"}
+    metas = {k: replace(m, vintage_mode=modes.get(k, "reference")) for k, m in fixtures.demo_meta().items()}
+    return panel.daily_panel(panel.by_vintage_mode(_calendar(spark, sf_dir), metas), START, END)
+
+
 @query
 def panel_strict(spark, sf_dir):
     return nowcaster(spark, sf_dir, strict=True).panel()
@@ -462,6 +490,19 @@ def time_slice_label(spark, sf_dir):
     return spark.range(1).select(days.alias("d")).select("d", labels.trainer_time_slice(F.col("d")).alias("time_slice"))
 
 
+@query
+def stage_sigmas_full(spark, sf_dir):
+    """Residual spreads of the model over all features."""
+    return _rounded(rolling.stage_sigmas(_dataset(spark, sf_dir), XS, ROLLING).select("refit_date", "distance_bucket", F.col("overall").cast("int").alias("overall"), "sigma"), 4)
+
+
+@query
+def stage_ols_full(spark, sf_dir):
+    """The stage-aware model over all features, from a packed dataset."""
+    ds = cut(nowcaster(spark, sf_dir).dataset(packed=True))
+    return _rounded(rolling.stage_predict(ds, dataset.PACKED, ROLLING).select("origin_date", "distance_bucket", "stage_model", "y_hat"), 4)
+
+
 @query
 def bridge_metrics_sets(spark, sf_dir):
     return _rounded(evaluation.slice_metrics(_predictions(spark, sf_dir, XS[:1])), 5)
