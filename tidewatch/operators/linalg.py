@@ -1,24 +1,19 @@
-"""Least squares inside a plan: moment sums as aggregates, elimination as a fold over arrays.
+"""Moment sums as aggregates, and least squares from them on the driver.
 
 With k features the sums n, s_i, s_ij of complete rows (a missing feature or target drops the row) are
-all that a fit needs. They add up over any partition of the rows, so windows of months are sums of
-monthly sums. Elimination runs on the centred moments; a pivot that is tiny against its variable's
-variance means collinear features, and gives null coefficients; ``least_norm_of_moments`` still has the
-solution of least norm from the same sums.
+statistics of a training window that add up over any partition of its rows. Fits themselves come from
+``factors``, which keep their precision at any level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.session import ship
-
-#: A pivot below this share of the variable's own variance, or of its raw second moment, counts as zero.
+#: An eigenvalue below this share of the largest, or a variance below this share of the raw second moment, counts as zero.
 TINY, NOISE = 1e-10, 1e-13
 
 
@@ -40,43 +35,6 @@ def moments(xs: Sequence[str], y: str) -> list[Column]:
     return out
 
 
-def solve(df: DataFrame, k: int, keep: Sequence[str], coef: str = "b") -> DataFrame:
-    """Rows with moments -> ``keep``, n, {coef}_0 (intercept), {coef}_1..k; null where features are collinear.
-
-    Gauss-Jordan as one fold over the pivots: the state is the k x (k + 1) matrix of centred moments.
-    """
-    n = F.nullif(F.col("n").cast("double"), F.lit(0.0))
-
-    def centred(i: int, j: int) -> Column:
-        a, b = min(i, j), max(i, j)
-        return F.col(f"s_{a}_{b}") - F.col(f"s_{i}") * F.col(f"s_{j}") / n
-
-    matrix = F.array(*[F.array(*[centred(i, j) for j in range(k + 1)]) for i in range(k)]).cast("array<array<double>>")
-    least = F.array(*[F.greatest(TINY * centred(i, i), NOISE * F.col(f"s_{i}_{i}")) for i in range(k)])
-    df = df.select(*keep, "n", F.array(*[F.col(f"s_{i}") / n for i in range(k + 1)]).alias("__mean"), matrix.alias("__m"), least.alias("__d"))
-
-    def step(m: Column, p: Column) -> Column:
-        at = F.get(F.get(m, p), p)
-        pivot = F.when(F.abs(at) > F.get(F.col("__d"), p), at)
-        row = F.transform(F.get(m, p), lambda x: x / pivot)
-        return F.transform(m, lambda r, i: F.when(i == p, row).otherwise(F.zip_with(r, row, lambda x, y: x - F.get(r, p) * y)))
-
-    df = df.withColumn("__s", F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.col("__m"), step))
-    bs = [F.get(F.get(F.col("__s"), F.lit(i)), F.lit(k)) for i in range(k)]
-    intercept = F.get(F.col("__mean"), F.lit(k))
-    for i, b in enumerate(bs):
-        intercept = intercept - b * F.get(F.col("__mean"), F.lit(i))
-    return df.select(*keep, "n", intercept.alias(f"{coef}_0"), *[b.alias(f"{coef}_{i + 1}") for i, b in enumerate(bs)])
-
-
-def linear(xs: Sequence[Column | str], coef: str = "b") -> Column:
-    """The prediction; null if a coefficient or a feature is."""
-    out = F.col(f"{coef}_0")
-    for i, x in enumerate(xs):
-        out = out + F.col(f"{coef}_{i + 1}") * (F.col(x) if isinstance(x, str) else x)
-    return out
-
-
 def least_norm(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
     """Intercept and coefficients by least squares on standardised features, of least norm if they are collinear.
 
@@ -114,20 +72,3 @@ def least_norm_of_moments(sums: dict[str, float], k: int, constant: bool = True)
         q = np.linalg.qr(flat / np.linalg.norm(flat, axis=0))[0]
         out -= q @ (q.T @ out)
     return out
-
-
-def solve_least_norm(df: DataFrame, k: int, keep: Sequence[str], coef: str = "b", constant: bool = True) -> DataFrame:
-    """Rows with moments -> ``keep``, {coef}_0..k by ``least_norm_of_moments``; null without complete rows. A row is a fit."""
-    ship(df.sparkSession)
-    names, kinds = moment_names(k), dict(df.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keep], *[f"{coef}_{i} double" for i in range(k + 1)]])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            found = [least_norm_of_moments(r, k, constant) for r in pdf[names].to_dict("records")]
-            out = pdf[list(keep)].copy()
-            for i in range(k + 1):
-                out[f"{coef}_{i}"] = pd.Series([None if b is None else b[i] for b in found], out.index, "float64")
-            yield out
-
-    return df.select(*keep, *names).mapInPandas(run, schema)

@@ -406,6 +406,18 @@ b2 as (select *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) p1, (s2y * s1
 last2 as (select t_eval, arg_max(y, ref_period) z0, arg_max(y1, ref_period) z1 from hist group by 1)
 select {FC_KEYS.replace(', model_name', '')}, 'AR_p2' model_name, round(y, 5) + 0.0 y, round(case when train_end is not null then mw - p1 * mu - p2 * mv + p1 * z0 + p2 * z1 end, 5) + 0.0 y_hat
 from fc left join b2 on b2.t_eval = target_ref_period left join last2 on last2.t_eval = target_ref_period"""
+ORACLES["ar1_by_nation"] = """with q as (
+  select c_nationkey k, cast(date_trunc('quarter', o_orderdate) as date) rp, cast(sum(cast(o_totalprice as decimal(18,2))) as double) s
+  from orders join customer on c_custkey = o_custkey group by 1, 2),
+t as (
+  select k, rp, cast(rp + interval 3 months - interval 1 day + interval 27 days as date) rel, y
+  from (select *, 100 * (s / lag(s) over (partition by k order by rp) - 1) y from q) where y is not null),
+h as (
+  select a.k, a.rp t, b.rp, b.y, lag(b.y) over (partition by a.k, a.rp order by b.rp) y1
+  from t a join t b on a.k = b.k and b.rel < a.rp and b.rp >= a.rp - interval 3 years where a.rp >= date '1998-01-01'),
+f as (select k, t, min(rp) train_start, max(rp) train_end, regr_intercept(y, y1) c, regr_slope(y, y1) phi, arg_max(y, rp) z from h group by 1, 2 having count(*) >= 8)
+select t.k c_nationkey, t.rp target_ref_period, rel target_release_date, round(y, 4) + 0.0 y, round(c + phi * z, 4) + 0.0 y_hat, train_start, train_end, 'AR_p1_15y' model_name
+from t left join f on f.k = t.k and f.t = t.rp where t.rp >= date '1998-01-01'"""
 ORACLES["ar1_daily"] = f"{AR} select * exclude (y, y_hat), {rounded('y y_hat')} from daily"
 
 # -- evaluation -------------------------------------------------------------------------------------------

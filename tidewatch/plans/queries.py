@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import ARConfig, EvaluationConfig, RollingConfig, meta_frame
@@ -446,6 +446,18 @@ def ar1_true_horizon(spark, sf_dir):
     return _rounded(autoregression.quarterly_forecasts(cut(nowcaster(spark, sf_dir).targets()), replace(AR, true_horizon=True)))
 
 
+@query
+def ar1_by_nation(spark, sf_dir):
+    """The growth of every nation's orders, 25 targets in one plan."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.trunc(F.col("o_orderdate").cast("date"), "QUARTER").alias("ref_period"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    met = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    quarterly = met.groupBy("c_nationkey", "ref_period").agg(F.sum("p").cast("double").alias("s"))
+    growth = 100 * (F.col("s") / F.lag("s").over(Window.partitionBy("c_nationkey").orderBy("ref_period")) - 1)
+    release = F.date_add(dates.quarter_end(F.col("ref_period")), LAG)
+    targets = quarterly.select("c_nationkey", "ref_period", release.alias("release_date"), growth.alias("y")).where("y is not null")
+    return _rounded(autoregression.quarterly_forecasts(targets, AR, keys=["c_nationkey"]), 4)
+
+
 def _ar_daily(spark, sf_dir):
     return autoregression.expand_to_daily(autoregression.quarterly_forecasts(cut(nowcaster(spark, sf_dir).targets()), AR))
 
