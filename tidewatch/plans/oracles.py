@@ -481,6 +481,28 @@ ORACLES["raw_integrity"] = f"""{BASE} select series, cast(count(*) as bigint) n_
   cast(count(*) - count(distinct (ref_period, vintage_date)) as bigint) repeats, series <> 'urgent_orders' configured,
   series <> 'urgent_orders' and count(*) filter (where ref_period is null or value is null) = 0 and count(*) = count(distinct (ref_period, vintage_date)) ok from cal group by 1"""
 
+ORACLES["raw_structure"] = f"""{BASE},
+per as (
+  select c.series, c.ref_period, meta.freq, min(vintage_date) fv, count(distinct vintage_date) vs, count(*) filter (where vintage_date < period_end) early
+  from cal c join meta on meta.series = c.series group by 1, 2, 3),
+step as (
+  select *, lag(ref_period) over w prev, lag(fv) over w older,
+         case freq when 'Q' then date_diff('quarter', lag(ref_period) over w, ref_period) when 'M' then date_diff('month', lag(ref_period) over w, ref_period)
+                   when 'W' then date_diff('day', lag(ref_period) over w, ref_period) // 7 else date_diff('day', lag(ref_period) over w, ref_period) end - 1 gap
+  from per window w as (partition by series order by ref_period)),
+sums as (
+  select series, count(*) n_periods, cast(coalesce(sum(gap) filter (where gap > 0), 0) as bigint) missing_periods,
+         min(case when gap > 0 then cast(prev + case freq when 'Q' then interval 3 months when 'M' then interval 1 month when 'W' then interval 7 days else interval 1 day end as date) end) first_missing,
+         max(case when gap > 0 then cast(ref_period - case freq when 'Q' then interval 3 months when 'M' then interval 1 month when 'W' then interval 7 days else interval 1 day end as date) end) last_missing,
+         cast(sum(early) as bigint) early_vintages, count(*) filter (where fv < older) unordered_periods,
+         count(*) filter (where vs > 1 and series = 'order_count') unexpected_revisions
+  from step group by 1)
+select *, missing_periods = 0 and early_vintages = 0 and unordered_periods = 0 and unexpected_revisions = 0 ok from sums"""
+ORACLES["event_gaps"] = """with d as (select distinct event_type series, cast(ts as date) x from events where event_type is not null),
+g as (select *, x - lag(x) over (partition by series order by x) - 1 gap, lag(x) over (partition by series order by x) p from d)
+select series, count(*) n_periods, cast(coalesce(sum(gap), 0) as bigint) missing_periods, min(case when gap > 0 then p + 1 end) first_missing,
+       max(case when gap > 0 then x - 1 end) last_missing, coalesce(sum(gap), 0) = 0 ok from g group by 1"""
+ORACLES["event_value_quantiles"] = " union all ".join(f"select event_type, cast({p} as double) p, round(quantile_cont(value, {p}), 6) + 0.0 quantile from events where value is not null and not isnan(value) group by 1" for p in ("0.0", "0.01", "0.5", "0.99", "1.0"))
 # -- results and signals ----------------------------------------------------------------------------------
 
 COVERAGE = f"({KNOWN}) / 5.0"

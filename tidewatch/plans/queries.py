@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import ARConfig, EvaluationConfig, RollingConfig, meta_frame
 from tidewatch.functions import dates, labels
 from tidewatch.functions.metrics import METRICS
-from tidewatch.operators import autoregression, bitemporal, calendar, checks, dataset, evaluation, features, panel, rolling, signals
+from tidewatch.operators import autoregression, bitemporal, calendar, checks, dataset, evaluation, features, panel, quantiles, rolling, signals
 from tidewatch.plans.engine import Nowcaster
 from tidewatch.session import checkpoint_dir, cut, table
 from tidewatch.sources import fixtures, observations
@@ -583,6 +583,29 @@ def raw_integrity(spark, sf_dir):
     return checks.integrity(fixtures.demo_raw(spark, sf_dir), {k: m for k, m in fixtures.demo_meta().items() if k != "urgent_orders"})
 
 
+@query
+def raw_structure(spark, sf_dir):
+    """Every series held to its frequency, one of them to single vintages as well."""
+    metas = {k: replace(m, revision_type="single") if k == "order_count" else m for k, m in fixtures.demo_meta().items()}
+    return checks.structure(fixtures.demo_raw(spark, sf_dir), metas)
+
+
+@query
+def event_gaps(spark, sf_dir):
+    """Days without an event of a type, over the event stream."""
+    daily = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("ref_period"), F.lit(None).cast("date").alias("vintage_date"), "value")
+    base = next(iter(fixtures.demo_meta().values()))
+    kinds = [r["series"] for r in daily.select("series").distinct().collect()]  # the configuration: a row a type
+    out = checks.structure(daily, {k: replace(base, freq="D", revision_type="multi") for k in kinds if k is not None})
+    return out.select("series", "n_periods", "missing_periods", "first_missing", "last_missing", "ok")
+
+
+@query
+def event_value_quantiles(spark, sf_dir):
+    """Exact quantiles of the values of each type of event."""
+    return _rounded(quantiles.exact_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.0, 0.01, 0.5, 0.99, 1.0]))
+
+
 # -- results and signals --------------------------------------------------------------------------------
 
 

@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-#: First parts of the names of work folders below the shared one.
-WORK_PREFIXES = ("raw", "pipeline", "token-store", "language-model")
+#: Each application's work folder.
+_WORK: dict[str, str] = {}
 
 
 def get_session(app: str = "tidewatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -47,31 +47,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where the session names none and all runs on one machine, as in tests.
+    """This application's folder, ``tidewatch-{application id}``, below that of ``spark.checkpoint.dir``; below a local one only where the session names none and all runs on one machine, as in tests.
 
-    What is written there stays until ``clean`` removes it, as results may be read later on.
+    Work tables and checkpoints are written there and stay until ``clean`` removes them, as results may be read later on.
     """
-    named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    app, named, current = sc.applicationId, spark.conf.get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    if app not in _WORK:
+        if not named and current is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-ckpt-"))
-    return sc.getCheckpointDir()
+        _WORK[app] = f"{(named or current or tempfile.mkdtemp(prefix='tidewatch-ckpt-')).rstrip('/')}/tidewatch-{app}"
+        if named or current is None:  # a folder that the caller has set stays Spark's
+            sc.setCheckpointDir(_WORK[app])
+    return _WORK[app]
 
 
 def clean(spark: SparkSession) -> list[str]:
-    """Remove what this library has written into the shared folder, of all sessions: call it when no result is needed any more."""
-    fs = spark._jvm.org.apache.hadoop.fs
-    folder = fs.Path(checkpoint_dir(spark))
-    files, removed = folder.getFileSystem(spark._jsc.hadoopConfiguration()), []
-    for prefix in WORK_PREFIXES:
-        for found in files.globStatus(fs.Path(folder, f"{prefix}-*")) or []:
-            files.delete(found.getPath(), True)
-            removed.append(found.getPath().getName())
+    """Remove this application's folder with its work tables and checkpoints; returns what was in it. Call it when no result is needed any more.
+
+    Other folders, those of other running sessions among them, are left alone.
+    """
+    fs, own = spark._jvm.org.apache.hadoop.fs, checkpoint_dir(spark)
+    folder = fs.Path(own)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    files.delete(folder, True)
+    if (spark.sparkContext.getCheckpointDir() or "").find(f"tidewatch-{spark.sparkContext.applicationId}") >= 0:
+        spark.sparkContext.setCheckpointDir(own)  # a new one for what is still to come
     return removed
 
 
