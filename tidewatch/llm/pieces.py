@@ -349,8 +349,9 @@ class Lattice:
     def encode(self, texts: list[str | None] | pa.Array, n_best: int, every: bool = True) -> Iterator[tuple[bytes, list[float], list[bytes]]]:
         """For each text: the packed ids of the best segmentation, the scores best first, and with ``every`` the packed ids of each.
 
-        Raises if the ids of a text do not give it back.
+        ``sound`` is then whether each text's best ids, as bytes, are its own (U+2581 being a blank).
         """
+        self.sound = []
         if isinstance(texts, list):
             texts = pa.array(texts, pa.string())
         for lo, hi in spans(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE):
@@ -385,9 +386,11 @@ class Lattice:
         id_at = np.append(0, np.cumsum(count))
         back = self.all_bytes[ranges(self.id_start[ids], self.id_bytes[ids])]
         lasts = np.append(0, np.cumsum(self.id_bytes[ids]))[id_at]  # bytes decoded up to each part
-        if not np.array_equal(lasts[:-1], starts) or not np.array_equal(back, raw):
-            raise ValueError("the ids of a text do not give it back")
         packed, bounds = ids.astype("<u4").tobytes(), np.searchsorted(starts, offsets).tolist()
+        if np.array_equal(lasts[:-1], starts) and np.array_equal(back, raw):
+            self.sound += [True] * len(texts)
+        else:  # text by text
+            self.sound += [np.array_equal(back[lasts[i] : lasts[j]], raw[a:z]) for i, j, a, z in zip(bounds[:-1], bounds[1:], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         byte_at = 4 * id_at
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             own = packed[byte_at[lo] : byte_at[hi]]
@@ -447,14 +450,15 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, n_best:
     """The rows of ``df`` with
 
     n_tokens long, score double, nbest_scores array<double> (best first), ids_crc32 long (of the best ids
-    as little-endian unsigned 32-bit integers), round_trip boolean (decoding the ids gives the text back),
+    as little-endian unsigned 32-bit integers), round_trip boolean (the decoded ids, compared with the text, give it
+    back, U+2581 being read as a blank), exact boolean (they are the given text, U+2581 and all),
     with ``ids`` nbest array<array<int>>: the ids of each segmentation, and with ``best`` ids array<int>:
     those of the best one. memory_parts: parts that a worker remembers, about 100 bytes each; more save
     time where new words are frequent.
     """
     require(df, text_col)
     ship(df.sparkSession)
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("nbest_scores", T.ArrayType(T.DoubleType())), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType()), T.StructField("exact", T.BooleanType())]
     if ids:
         fields.append(T.StructField("nbest", T.ArrayType(T.ArrayType(T.IntegerType()))))
     if best:
@@ -470,7 +474,7 @@ def encode(df: DataFrame, *, text_col: str = "text", model: str = MODEL, n_best:
             texts = b.column(at)
             for lo, hi in spans(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE):
                 packed, scores, every = zip(*lat.encode(texts.slice(lo, hi - lo), n_best, ids), strict=True)
-                cols = [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array([True] * len(packed))]
+                cols = [pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(map(zlib.crc32, packed), pa.int64()), pa.array(lat.sound), pc.and_(pa.array(lat.sound), pc.invert(pc.match_substring(texts.slice(lo, hi - lo).fill_null(""), BLANK)))]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(_offsets([len(x) for x in every]), _id_lists([w for x in every for w in x])))
                 if best:

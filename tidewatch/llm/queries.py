@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_tokens", "score", "nbest_scores", "nbest", "ids_crc32", "round_trip")
+    return out.select("doc_id", "n_tokens", "score", "nbest_scores", "nbest", "ids_crc32", "round_trip", "exact")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 Documents are encoded, an end id is appended, and a rolling hash over the ids cuts the stream into
 chunks wherever its top bits are zero, so equal passages give equal chunks wherever they stand. The
-store has two tables of Parquet files:
+store has three tables of Parquet files:
 
 ``chunks``   digest (sha256 of the packed ids), n, ids (little-endian, 2 bytes an id if the vocabulary
-             allows, else 4, as their length tells): each distinct chunk once.
+             allows, else 4): each distinct chunk once.
 ``recipes``  in ascending doc_id order over the files: kind 0 = a document (doc_id, part, row, start in
              the part, n_tokens, the digests of its chunks, their Merkle root); kind 1 = the manifest at
              the end of each part (documents, ids, Merkle root of the documents' roots).
+``manifest`` one row for the store: parts, documents, ids, Merkle root of the parts' roots, bytes of an id.
 
-``read_documents`` rebuilds all ids; ``read_digests`` checks every stored chunk against its digest and
-every recipe against its Merkle root, and combines chunk checksums along the recipes, so that ids are not
-shuffled again for a checksum.
+Reading verifies: every recipe's rows and roots are held against its part's manifest and those against the
+store's (``check_parts``), every chunk against its digest and length, every document against its Merkle root.
+``read_documents`` rebuilds all ids and raises where anything is missing or changed; ``read_digests`` marks such
+documents (all of a part whose manifest does not fit, all of a store whose own does not) and combines chunk
+checksums along the recipes, so that ids are not shuffled again for a checksum.
 
 Defined results: a null text is empty (one end id); rows that repeat a doc_id are documents of their own,
 next to each other; a null doc_id comes first; the tokenizer's special strings in a text
@@ -33,10 +36,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import mix64, require, spans
+from tidewatch.llm.common import HEAVY_KEYS, mix64, require, spans
 from tidewatch.llm.units import UNIT_BYTES, Rows, UnitTable, ranges, text_bytes
 from tidewatch.session import checkpoint_dir, ship
 
@@ -223,6 +226,28 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+class Merkle:
+    """``merkle_root`` of leaves that come one by one: the roots of full subtrees are held, one for each bit of the count."""
+
+    def __init__(self):
+        self.n, self.full = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        node, n = hashlib.sha256(b"\0" + leaf).digest(), self.n
+        while n & 1:
+            node, n = hashlib.sha256(b"\1" + self.full.pop() + node).digest(), n >> 1
+        self.full.append(node)
+        self.n += 1
+
+    def root(self) -> bytes:
+        if not self.full:
+            return merkle_root([])
+        node = self.full[-1]
+        for left in reversed(self.full[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
 # -- checksums of concatenations -------------------------------------------------------------------
 
 
@@ -330,21 +355,23 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One part in doc_id order: rows numbered, ids counted, the manifest at the end."""
     from pyspark import TaskContext
 
-    part, row, start, roots = TaskContext.get().partitionId(), 0, 0, []
+    part, row, start, tree = TaskContext.get().partitionId(), 0, 0, Merkle()
     names = ["kind", "part", "row", "start", "doc_id", "n_tokens", "root", "digests", "sizes"]
     for b in batches:
         n = b.column("n_tokens").to_numpy()
         starts = start + np.concatenate([[0], np.cumsum(n)])
-        roots += b.column("root").to_pylist()
+        for root in b.column("root").to_pylist():
+            tree.add(root)
         m = len(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, part, np.int32)), pa.array(np.arange(row, row + m)), pa.array(starts[:-1]), *(b.column(c) for c in names[4:])], names=names)
         row, start = row + m, int(starts[-1])
     if row:
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-        last = [1, part, row, 0, None, start, merkle_root(roots), [], []]
+        last = [1, part, row, 0, None, start, tree.root(), [], []]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names=names)
 
 
+MANIFEST = "parts int, documents long, n_tokens long, root binary, width int"
 RECIPE = "doc_id long, n_tokens long, root binary, digests array<binary>, sizes array<int>"
 
 
@@ -370,7 +397,8 @@ def store_encoded(encoded: DataFrame, path: str) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
     if files.exists(hadoop(f"{path}/met/kind={CHUNK}")):
-        files.rename(hadoop(f"{path}/met/kind={CHUNK}"), hadoop(f"{path}/chunks"))
+        if not files.rename(hadoop(f"{path}/met/kind={CHUNK}"), hadoop(f"{path}/chunks")):
+            raise RuntimeError(f"the chunks could not be moved to {path}/chunks")
         packed = spark.read.schema("n int, ids binary").parquet(f"{path}/met/kind={DOCUMENT}")
     else:
         spark.createDataFrame([], "digest binary, n int, ids binary").write.parquet(f"{path}/chunks")
@@ -378,6 +406,10 @@ def store_encoded(encoded: DataFrame, path: str) -> str:
     ordered = packed.mapInArrow(_recipes, RECIPE).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     ordered.mapInArrow(_number, "kind int, part int, row long, start long, doc_id long, n_tokens long, root binary, digests array<binary>, sizes array<int>").write.parquet(f"{path}/recipes")
     files.delete(hadoop(f"{path}/met"), True)
+    parts = spark.read.parquet(f"{path}/recipes").where("kind = 1").select("part", "row", "n_tokens", "root").orderBy("part").collect()  # a row a file
+    some = spark.read.parquet(f"{path}/chunks").select((F.length("ids") / F.col("n")).cast("int")).first()
+    whole = (len(parts), sum(r["row"] for r in parts), sum(r["n_tokens"] for r in parts), merkle_root([bytes(r["root"]) for r in parts]), some[0] if some else 4)
+    spark.createDataFrame([whole], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
 
@@ -389,29 +421,93 @@ def write_store(df: DataFrame, path: str, **kw) -> str:
 # -- read ------------------------------------------------------------------------------------------
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """The recipes with ``start`` counted over all parts. Part numbers follow doc_id order."""
-    recipes = spark.read.parquet(f"{path}/recipes")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = recipes.where("kind = 1").select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))  # one row for each file
-    return recipes.where("kind = 0").join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("base")).drop("kind", "base")
+def check_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, documents, n_tokens, root, sound) as found: a part is sound if its rows are all there, in order, and their count, ids and Merkle root are its manifest's. A row for each file."""
+    ship(spark)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, ids, tree, ordered, sound = None, 0, 0, Merkle(), True, False
+
+        def found() -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, n, ids, tree.root(), sound), kinds, strict=True)], names=["part", "documents", "n_tokens", "root", "sound"])
+
+        for b in batches:
+            for p, kind, row, n_tokens, root in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "row", "n_tokens", "root")), strict=True):
+                if p != part:
+                    if part is not None:
+                        yield found()
+                    part, n, ids, tree, ordered, sound = p, 0, 0, Merkle(), True, False
+                if kind == 0:
+                    ordered, n, ids = ordered and row == n, n + 1, ids + n_tokens
+                    tree.add(root)
+                else:
+                    sound = not sound and ordered and (row, n_tokens, root) == (n, ids, tree.root())
+        if part is not None:
+            yield found()
+
+    rows = spark.read.parquet(f"{path}/recipes").select("part", "kind", "row", "n_tokens", "root")
+    return rows.repartition("part").sortWithinPartitions("part", "kind", "row").mapInArrow(check, "part int, documents long, n_tokens long, root binary, sound boolean")
+
+
+def _checked(spark: SparkSession, path: str) -> tuple[int, list[tuple[int, int, bool]]]:
+    """The bytes of an id, and (part, ids, sound) of each part; no part is sound if the store's manifest does not fit them."""
+    parts = check_parts(spark, path).orderBy("part").collect()  # a row a file
+    kept = spark.read.parquet(f"{path}/manifest").collect()
+    whole = [(len(parts), sum(r["documents"] for r in parts), sum(r["n_tokens"] for r in parts), merkle_root([bytes(r["root"]) for r in parts]))]
+    good = [(r["parts"], r["documents"], r["n_tokens"], bytes(r["root"])) for r in kept] == whole
+    return kept[0]["width"] if kept else 4, [(r["part"], r["n_tokens"], r["sound"] and (good or _only(r, parts))) for r in parts]
+
+
+def _only(own, parts: list) -> bool:
+    """Where another part is broken, the store's manifest cannot fit; a sound part stays so. Where none is, something of the whole is missing."""
+    return own["sound"] and any(not r["sound"] for r in parts)
+
+
+def _documents(spark: SparkSession, path: str, parts: list[tuple[int, int, bool]]) -> DataFrame:
+    """The recipes with ``start`` counted over all parts, and whether their part is ``sound``. Part numbers follow doc_id order."""
+    recipes, base, rows = spark.read.parquet(f"{path}/recipes"), 0, []
+    own = {r["part"]: r["n_tokens"] for r in recipes.where("kind = 1").select("part", "n_tokens").collect()}  # as written: a lost recipe moves no start
+    for part, ids, sound in parts:
+        rows.append((part, base, sound))
+        base += own.get(part, ids)
+    bases = spark.createDataFrame(rows, "part int, base long, sound boolean")
+    return recipes.where("kind = 0").join(F.broadcast(bases), "part").withColumn("start", F.col("start") + F.col("base")).drop("kind", "base")
+
+
+def _with_chunks(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Left join on the digest. Chunks that very many documents share, fewer than 1,000, are broadcast, so that their references stay spread."""
+    total = refs.count()
+    heavy = F.broadcast(refs.groupBy("digest").count().where(F.col("count") * HEAVY_KEYS > total).select("digest"))
+    light = refs.join(heavy, "digest", "left_anti").join(chunks, "digest", "left")
+    return refs.join(heavy, "digest", "left_semi").join(F.broadcast(chunks.join(heavy, "digest", "left_semi")), "digest", "left").unionByName(light)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids array<int>): every document rebuilt from its recipe."""
+    """(doc_id, start, n_tokens, ids array<int>): every document rebuilt from its recipe.
+
+    Raises, now or when it runs, if a manifest does not fit or a chunk is missing or changed.
+    """
     ship(spark)
-    refs = _documents(spark, path).select("part", "row", "doc_id", "start", "n_tokens", F.posexplode("digests").alias("pos", "digest"))
+    width, parts = _checked(spark, path)
+    if not all(sound for *_, sound in parts) or (not parts and spark.read.parquet(f"{path}/manifest").where("documents > 0").count()):
+        raise ValueError(f"manifests do not fit the recipes: parts {[p for p, _, sound in parts if not sound]} of {path}")
+    refs = _documents(spark, path, parts).select("part", "row", "doc_id", "start", "n_tokens", F.posexplode("digests").alias("pos", "digest"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = []
-            for pieces, n in zip(b.column("pieces").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
+            for doc_id, pieces, n in zip(b.column("doc_id").to_pylist(), b.column("pieces").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
+                if any(x["ids"] is None or hashlib.sha256(x["ids"]).digest() != x["digest"] for x in pieces):
+                    raise ValueError(f"a chunk of document {doc_id} is missing or changed")
                 raw = b"".join(x["ids"] for x in pieces)
-                ids.append(np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int32))
+                if len(raw) != width * n:
+                    raise ValueError(f"document {doc_id} has {len(raw) // width} of {n} ids")
+                ids.append(np.frombuffer(raw, f"<u{width}").astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "n_tokens", "ids"])
 
-    met = refs.join(spark.read.parquet(f"{path}/chunks").select("digest", "ids"), "digest")
-    grouped = met.groupBy("part", "row", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("pieces"))
+    met = _with_chunks(refs, spark.read.parquet(f"{path}/chunks").select("digest", "ids"))
+    grouped = met.groupBy("part", "row", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "ids"))).alias("pieces"))
     return grouped.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(join, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
@@ -419,23 +515,25 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, n_chunks, verified) of every document, read back from the files.
 
     ids_crc32: crc32 of its ids as little-endian unsigned 32-bit integers. verified: all its chunks are
-    there and match their digests, its lengths add up and its Merkle root is that of its recipe.
+    there and match their digests, its lengths add up, its Merkle root is that of its recipe, and the
+    manifests of its part and of the store fit what was found.
     """
     ship(spark)
+    width, parts = _checked(spark, path)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, digests, counts = b.column("ids").to_pylist(), b.column("digest").to_pylist(), b.column("n").to_pylist()
-            good = [hashlib.sha256(x).digest() == d for x, d in zip(ids, digests, strict=True)]
-            crc = [zlib.crc32(x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x, n in zip(ids, counts, strict=True)]
+            good = [len(x) == width * n and hashlib.sha256(x).digest() == d for x, d, n in zip(ids, digests, counts, strict=True)]
+            crc = [zlib.crc32(x if width == 4 else np.frombuffer(x[: len(x) // 2 * 2], "<u2").astype("<u4").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n"), pa.array(crc, pa.int64()), pa.array(good)], names=["digest", "n", "crc", "good"])
 
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(check, "digest binary, n int, crc long, good boolean")
-    docs = _documents(spark, path)
+    docs = _documents(spark, path, parts)
     refs = docs.select("part", "row", F.posexplode("digests").alias("pos", "digest"))
     piece = F.struct("pos", "digest", "n", "crc", "good")
-    grouped = refs.join(chunks, "digest", "left").groupBy("part", "row").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    grouped = grouped.join(docs.select("part", "row", "doc_id", "start", "n_tokens", "root"), ["part", "row"])
+    grouped = _with_chunks(refs, chunks).groupBy("part", "row").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    grouped = grouped.join(docs.select("part", "row", "doc_id", "start", "n_tokens", "root", "sound"), ["part", "row"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -450,7 +548,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             spans_of = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             roots = [merkle_root(digest[lo:hi]) == root for (lo, hi), root in zip(spans_of, b.column("root").to_pylist(), strict=True)]
             bad, lengths = np.append(0, np.cumsum(~good)), np.append(0, np.cumsum(n))
-            sound = np.array(roots, bool) & (np.diff(bad[at]) == 0) & (np.diff(lengths[at]) == b.column("n_tokens").to_numpy())
+            sound = np.array(roots, bool) & (np.diff(bad[at]) == 0) & (np.diff(lengths[at]) == b.column("n_tokens").to_numpy()) & b.column("sound").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc.astype(np.int64)), pa.array(counts, pa.int64()), pa.array(sound, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "verified"])
 
     return grouped.mapInArrow(combine, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, verified boolean")
