@@ -274,4 +274,4 @@ def test_decontamination_is_native(spark):
 
 
 def test_new_queries_are_registered():
-    assert {"op11_hard_negatives", "op12_conversation_repair", "op13_decontamination"} <= set(queries.QUERIES) & set(queries.ORACLES)
+    assert {"op11_hard_negatives", "op12_conversation_repair", "op13_decontamination"} <= set(queries.MORE_QUERIES) & set(queries.MORE_ORACLES)

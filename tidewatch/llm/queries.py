@@ -331,13 +331,15 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_simhash": op9_simhash,
     "op10_language_model": op10_language_model,
+}
+
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
+
+#: Searches and repairs, and a dealt operator on another table of the tests.
+MORE_QUERIES: dict[str, Query] = {
     "op11_hard_negatives": op11_hard_negatives,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_decontamination": op13_decontamination,
+    "line_dedup_by_host": line_dedup_by_host,
 }
-
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_decontamination": OP13_SQL}
-
-#: A dealt operator on another table of the tests.
-MORE_QUERIES: dict[str, Query] = {"line_dedup_by_host": line_dedup_by_host}
-MORE_ORACLES: dict[str, str] = {"line_dedup_by_host": HOST_SQL}
+MORE_ORACLES: dict[str, str] = {"op11_hard_negatives": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_decontamination": OP13_SQL, "line_dedup_by_host": HOST_SQL}
