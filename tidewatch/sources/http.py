@@ -3,7 +3,8 @@
 ``ObservationClient`` speaks the JSON protocol of the St. Louis Fed's public data service: an
 ``observations`` list of date, value and realtime_start, all strings. Its transport is a parameter, so
 tests need no network. ``ObservationSource`` offers the same as a Spark data source: one partition for
-each series code, date filters become request parameters.
+each series code, of all vintages or of the newest one, date filters become request parameters. Refusals that
+pass (too many requests, a busy server, no connection) are tried again after growing pauses.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import logging
 import os
+import time
 import urllib.error
 import urllib.parse
 import urllib.request
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from tidewatch.config import SeriesMeta
@@ -28,6 +31,8 @@ from tidewatch.sources.observations import file_name, has_vintages
 BASE_URL = "https://api.stlouisfed.org/fred"
 KEY_VARIABLE = "FRED_API_KEY"
 TIMEOUT_S = 30
+#: Answers after which a request is made again, how often by default, and the first pause, which doubles.
+BUSY, RETRIES, PAUSE_S = (408, 425, 429, 500, 502, 503, 504), 4, 0.5
 FIRST_REALTIME, LAST_REALTIME = "1980-01-01", "9999-12-31"
 
 #: (url, parameters) -> (status, body)
@@ -52,10 +57,12 @@ class ObservationClient:
     api_key: str
     base_url: str = BASE_URL
     transport: Transport = _urllib
+    retries: int = 0
+    pause_s: float = PAUSE_S
 
     @classmethod
     def from_env(cls, **kw) -> ObservationClient:
-        """The key from the environment, which a .env file may have filled in."""
+        """The key from the environment, which a .env file may have filled in; with retries unless told otherwise."""
         try:
             from dotenv import load_dotenv
 
@@ -65,10 +72,10 @@ class ObservationClient:
         key = os.environ.get(KEY_VARIABLE)
         if not key:
             raise RuntimeError(f"{KEY_VARIABLE} is not set")
-        return cls(key, **kw)
+        return cls(key, **{"retries": RETRIES} | kw)
 
     def get(self, endpoint: str, params: Mapping[str, str]) -> dict:
-        status, body = self.transport(f"{self.base_url}/{endpoint}", {**params, "api_key": self.api_key, "file_type": "json"})
+        status, body = self._answer(f"{self.base_url}/{endpoint}", {**params, "api_key": self.api_key, "file_type": "json"})
         if status != 200:
             raise ObservationError(f"status {status}: {body[:200]}")
         try:
@@ -79,6 +86,20 @@ class ObservationClient:
             raise ObservationError(f"the service reports an error: {data}")
         return data
 
+    def _answer(self, url: str, params: dict) -> tuple[int, str]:
+        """The transport's answer; one that says "not now", and a broken connection, are tried ``retries`` times more."""
+        for k in range(self.retries + 1):
+            try:
+                status, body = self.transport(url, params)
+            except OSError as e:  # no connection, or a timeout
+                if k == self.retries:
+                    raise ObservationError(f"no answer: {e}") from e
+            else:
+                if status not in BUSY or k == self.retries:
+                    return status, body
+            time.sleep(self.pause_s * 2**k)
+        raise AssertionError("unreachable")
+
     def _observations(self, code: str, needed: tuple[str, ...], **params: str | None) -> Iterator[dict]:
         for x in self.get("series/observations", {"series_id": code} | {k: v for k, v in params.items() if v}).get("observations", []):
             if any(k not in x for k in needed):
@@ -140,11 +161,12 @@ def sync_all(spark: SparkSession, metas: Mapping[str, SeriesMeta], data_dir: str
 @dataclass
 class _Code(InputPartition):
     code: str
+    final: bool = False
 
 
 class ObservationReader(DataSourceReader):
-    def __init__(self, client: ObservationClient, codes: list[str]):
-        self.client, self.codes, self.start, self.end = client, codes, None, None
+    def __init__(self, client: ObservationClient, codes: list[str], final: list[str] | None = None):
+        self.client, self.codes, self.final, self.start, self.end = client, codes, final or [], None, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Bounds of ref_period go to the service; they are also returned, as it may answer with more."""
@@ -157,9 +179,13 @@ class ObservationReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [_Code(c) for c in self.codes]
+        return [*[_Code(c) for c in self.codes], *[_Code(c, True) for c in self.final]]
 
     def read(self, partition: _Code) -> Iterator[tuple]:
+        if partition.final:
+            for ref_period, value in self.client.final_series(partition.code, self.start, self.end):
+                yield partition.code, ref_period, None, value
+            return
         for ref_period, vintage_date, value in self.client.vintage_series(partition.code, self.start, self.end):
             yield partition.code, ref_period, vintage_date, value
 
@@ -167,7 +193,8 @@ class ObservationReader(DataSourceReader):
 class ObservationSource(DataSource):
     """spark.dataSource.register(ObservationSource); spark.read.format("observations").option("codes", "A,B").load()
 
-    Options: codes (separated by commas), base_url, api_key (default: the environment).
+    Options: codes of series with all vintages and final_codes of series with the newest one only, whose vintage_date
+    is null (both separated by commas), base_url, api_key (default: the environment), retries.
     """
 
     transport: Transport = staticmethod(_urllib)
@@ -183,8 +210,17 @@ class ObservationSource(DataSource):
         key = self.options.get("api_key") or os.environ.get(KEY_VARIABLE)
         if not key:
             raise RuntimeError(f"{KEY_VARIABLE} is not set")
-        client = ObservationClient(key, self.options.get("base_url", BASE_URL), type(self).transport)
-        return ObservationReader(client, [c.strip() for c in self.options["codes"].split(",") if c.strip()])
+        client = ObservationClient(key, self.options.get("base_url", BASE_URL), type(self).transport, int(self.options.get("retries", RETRIES)))
+        return ObservationReader(client, *([c.strip() for c in self.options.get(o, "").split(",") if c.strip()] for o in ("codes", "final_codes")))
+
+
+def read_configured(spark: SparkSession, metas: Mapping[str, SeriesMeta], source: type[ObservationSource] = ObservationSource, **options: str) -> DataFrame:
+    """(series, ref_period, vintage_date, value) of all configured series in one scan, a task for each: straight from the service, without files."""
+    by = {final: [m.code for m in metas.values() if has_vintages(m) != final] for final in (False, True)}
+    found = read_observations(spark, by[False], source, final_codes=",".join(by[True]), **options)
+    names = spark.createDataFrame([(m.code, not has_vintages(m), k) for k, m in metas.items()], "code string, final boolean, series string")
+    met = found.withColumn("final", F.col("vintage_date").isNull()).join(F.broadcast(names), ["code", "final"])  # a row for each configured series
+    return met.select("series", "ref_period", "vintage_date", "value")
 
 
 def read_observations(spark: SparkSession, codes: list[str], source: type[ObservationSource] = ObservationSource, **options: str) -> DataFrame:
