@@ -6,10 +6,12 @@ import math
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from tidewatch.llm import conversations, decontamination, mining, queries
 
 # -- mining -----------------------------------------------------------------------------------------
@@ -273,5 +275,16 @@ def test_decontamination_is_native(spark):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
 
 
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_conversation_repair", "op13_decontamination"])
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
+        con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    found = con.execute(queries.MORE_ORACLES[name])
+    columns, want = [c[0] for c in found.description], found.fetchall()
+    got = queries.MORE_QUERIES[name](spark, SMALL).select(columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and want
+
+
 def test_new_queries_are_registered():
     assert {"op11_hard_negatives", "op12_conversation_repair", "op13_decontamination"} <= set(queries.MORE_QUERIES) & set(queries.MORE_ORACLES)
