@@ -33,8 +33,9 @@ def build_calendar(raw: DataFrame, metas: Mapping[str, SeriesMeta], strict: bool
     shuffled.
     """
     meta = meta_frame(raw.sparkSession, metas).select("series", F.col("freq").alias("__freq"), F.col("release_lag_days").alias("__lag"))
-    unknown = F.raise_error(F.concat(F.lit("series without configuration: "), F.coalesce("series", F.lit("null")))).cast("string")
-    met = raw.join(F.broadcast(meta), "series", "left").withColumn("__freq", F.coalesce("__freq", unknown))
+    unknown = F.raise_error(F.concat(F.lit("series without configuration: "), F.coalesce("series", F.lit("null"))))
+    # Both columns raise: a filter on the dates must not let the join drop such series.
+    met = raw.join(F.broadcast(meta), "series", "left").withColumns({"__freq": F.coalesce("__freq", unknown.cast("string")), "__lag": F.coalesce("__lag", unknown.cast("int"))})
     return _dated(met, F.col("__freq"), F.col("__lag"), strict).drop("__freq", "__lag")
 
 

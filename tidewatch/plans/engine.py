@@ -16,7 +16,7 @@ from tidewatch.operators.dataset import bridge_dataset, feature_columns
 from tidewatch.operators.features import event_features
 from tidewatch.operators.panel import apply_missing_policy, by_vintage_mode, daily_panel, expand_days, panel_events
 from tidewatch.session import cut
-from tidewatch.sources.results import parquet_or_build, write_csv
+from tidewatch.sources.results import fingerprint, parquet_or_build, write_csv
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,9 @@ class Nowcaster:
         return bridge_dataset(None, self.metas, self.target, daily=self._held(daily, "feature"), **kw)
 
     def cached_dataset(self, path: str, rebuild: bool = False) -> DataFrame:
-        return parquet_or_build(self.raw.sparkSession, path, self.dataset, rebuild)
+        """The dataset at ``path``, built if there is none yet or the raw rows or settings are others than those it was built from."""
+        key = fingerprint(self.raw, sorted(self.metas.items()), self.target, self.start, self.end, self.strict, self.policies, self.stale_days)
+        return parquet_or_build(self.raw.sparkSession, path, self.dataset, rebuild, key)
 
     def targets(self) -> DataFrame:
         return autoregression.quarterly_targets(self.calendar().where(F.col("series") == self.target))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from pathlib import Path
 
@@ -45,9 +46,25 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("date") for c in dates} | {"distance_to_release": F.col("distance_to_release").try_cast("int"), "y": number(F.col("y")), "y_hat": number(F.col("y_hat"))})
 
 
-def parquet_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """The table at ``path``; it is built and written first if it does not exist or ``rebuild`` is set. Dates that do not parse become null."""
-    if rebuild or not path_exists(spark, path):
+def fingerprint(df: DataFrame, *settings: object) -> str:
+    """A key of a table's rows, in any order, and of what is done with them: one pass, no sort."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").isNull() for c in df.columns])
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("total"), F.bit_xor(h).alias("mixed"), F.bit_xor(F.xxhash64(h, F.lit(1))).alias("again")).first()
+    return hashlib.sha256(repr((df.dtypes, tuple(row), settings)).encode()).hexdigest()
+
+
+def parquet_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False, key: str | None = None) -> DataFrame:
+    """The table at ``path``; it is built and written first if it does not exist or ``rebuild`` is set. Dates that do not parse become null.
+
+    key: also if the table was built under another one, which is kept beside it at ``{path}.key``.
+    """
+    at = f"{path}.key"
+    stale = key is not None and not (path_exists(spark, f"{at}/_SUCCESS") and [r[0] for r in spark.read.text(at).collect()] == [key])
+    if rebuild or stale or not path_exists(spark, path):
+        if path_exists(spark, at):  # the old key must not outlive its table
+            spark.createDataFrame([("",)], "value string").write.mode("overwrite").text(at)
         build().write.mode("overwrite").parquet(path)
+        if key is not None:
+            spark.createDataFrame([(key,)], "value string").coalesce(1).write.mode("overwrite").text(at)
     df = spark.read.parquet(path)
     return df.withColumns({c: F.col(c).try_cast("date") for c in df.columns if c.endswith(("_date", "_ref_period"))})

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.config import SeriesMeta
 from tidewatch.operators.calendar import build_calendar
+from tidewatch.plans.daily_state import DailyState
 from tidewatch.sources.observations import number
 
 FILE_SCHEMA = "series string, ref_period string, vintage_date string, value string"
@@ -28,3 +29,9 @@ def append_calendar(stream: DataFrame, metas: Mapping[str, SeriesMeta], path: st
     """Dates the stream's rows and appends them to a Parquet table, a folder for each series. The file sink's log makes it exactly once."""
     out = build_calendar(stream, metas).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("series").outputMode("append")
     return (out.trigger(availableNow=True) if available_now else out).start()
+
+
+def update_state(stream: DataFrame, state: DailyState, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
+    """Takes the stream's rows into the state of daily runs, a step for each micro-batch. A batch that is given again after a failure is taken once, by its number."""
+    out = stream.writeStream.foreachBatch(lambda rows, batch: state.add(rows, batch)).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out).start()
