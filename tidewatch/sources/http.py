@@ -5,6 +5,10 @@
 tests need no network. ``ObservationSource`` offers the same as a Spark data source: one partition for
 each series code, of all vintages or of the newest one, date filters become request parameters. Refusals that
 pass (too many requests, a busy server, no connection) are tried again after growing pauses.
+
+As a stream the source knows for each code the last day whose vintages it has given. A batch asks for the days since
+then only, each code in windows of days that are tasks of their own, so a restart fetches what is new, and a code that
+is added later gets its whole history.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 from tidewatch.config import SeriesMeta
 from tidewatch.session import ship
@@ -190,11 +194,67 @@ class ObservationReader(DataSourceReader):
             yield partition.code, ref_period, vintage_date, value
 
 
+@dataclass
+class _Window(InputPartition):
+    """The vintages of a code from one day to another, both included."""
+
+    code: str
+    first: str
+    last: str
+
+
+def _day(text: str, plus: int) -> str:
+    return (date.fromisoformat(text) + timedelta(days=plus)).isoformat()
+
+
+class ObservationStreamReader(DataSourceStreamReader):
+    """Offsets are {code: last day given}; the days of a batch are cut into windows of at most ``window_days``."""
+
+    def __init__(self, client: ObservationClient, codes: list[str], until: str | None = None, window_days: int = 3650):
+        if window_days < 1:
+            raise ValueError("window_days is at least 1")
+        self.client, self.codes, self.until, self.window_days = client, codes, until, window_days
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        """Yesterday, as a day's vintages are complete when it is over; or the day of the option ``until``."""
+        last = self.until or (date.today() - timedelta(days=1)).isoformat()
+        return {c: last for c in sorted(set(self.codes))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out = []
+        for code, last in end.items():
+            first = _day(start[code], 1) if code in start else FIRST_REALTIME
+            while first <= last:
+                to = min(_day(first, self.window_days - 1), last)
+                out.append(_Window(code, first, to))
+                first = _day(to, 1)
+        return out
+
+    def read(self, partition: _Window) -> Iterator[tuple]:
+        """Vintages that begin inside the window.
+
+        The service cuts a vintage's time off where the request begins, so what was there already seems to begin on
+        that day. The request begins a day earlier, and what begins on that day is left out.
+        """
+        oldest = partition.first == FIRST_REALTIME
+        asked = partition.first if oldest else _day(partition.first, -1)
+        for ref_period, vintage_date, value in self.client.vintage_series(partition.code, realtime_start=asked, realtime_end=partition.last):
+            if partition.first <= vintage_date.isoformat() <= partition.last:
+                yield partition.code, ref_period, vintage_date, value
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held between batches."""
+
+
 class ObservationSource(DataSource):
     """spark.dataSource.register(ObservationSource); spark.read.format("observations").option("codes", "A,B").load()
 
     Options: codes of series with all vintages and final_codes of series with the newest one only, whose vintage_date
-    is null (both separated by commas), base_url, api_key (default: the environment), retries.
+    is null (both separated by commas), base_url, api_key (default: the environment), retries. A stream
+    (``readStream``) has the vintages of ``codes``; until: its last day, window_days: days of a request.
     """
 
     transport: Transport = staticmethod(_urllib)
@@ -206,12 +266,22 @@ class ObservationSource(DataSource):
     def schema(self) -> str:
         return "code string, ref_period date, vintage_date date, value double"
 
-    def reader(self, schema) -> DataSourceReader:
+    def _client(self) -> ObservationClient:
         key = self.options.get("api_key") or os.environ.get(KEY_VARIABLE)
         if not key:
             raise RuntimeError(f"{KEY_VARIABLE} is not set")
-        client = ObservationClient(key, self.options.get("base_url", BASE_URL), type(self).transport, int(self.options.get("retries", RETRIES)))
-        return ObservationReader(client, *([c.strip() for c in self.options.get(o, "").split(",") if c.strip()] for o in ("codes", "final_codes")))
+        return ObservationClient(key, self.options.get("base_url", BASE_URL), type(self).transport, int(self.options.get("retries", RETRIES)))
+
+    def _codes(self, option: str) -> list[str]:
+        return [c.strip() for c in self.options.get(option, "").split(",") if c.strip()]
+
+    def reader(self, schema) -> DataSourceReader:
+        return ObservationReader(self._client(), self._codes("codes"), self._codes("final_codes"))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        if self._codes("final_codes"):
+            raise ValueError("a series without vintages has no days to go on from: read it as a batch")
+        return ObservationStreamReader(self._client(), self._codes("codes"), self.options.get("until"), int(self.options.get("window_days", 3650)))
 
 
 def read_configured(spark: SparkSession, metas: Mapping[str, SeriesMeta], source: type[ObservationSource] = ObservationSource, **options: str) -> DataFrame:
@@ -228,3 +298,13 @@ def read_observations(spark: SparkSession, codes: list[str], source: type[Observ
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(source)
     return spark.read.format(source.name()).options(codes=",".join(codes), **options).load()
+
+
+def stream_configured(spark: SparkSession, metas: Mapping[str, SeriesMeta], source: type[ObservationSource] = ObservationSource, **options: str) -> DataFrame:
+    """(series, ref_period, vintage_date, value) of the configured series with vintages, as a stream of what the service adds: for ``append_calendar`` or ``update_state``."""
+    ship(spark)
+    spark.dataSource.register(source)
+    names = spark.createDataFrame([(m.code, k) for k, m in metas.items() if has_vintages(m)], "code string, series string")
+    codes = ",".join(sorted({m.code for m in metas.values() if has_vintages(m)}))
+    found = spark.readStream.format(source.name()).options(codes=codes, **options).load()
+    return found.join(F.broadcast(names), "code").select("series", "ref_period", "vintage_date", "value")  # a row for each configured series
