@@ -34,6 +34,8 @@ from tidewatch.session import cut, ship
 THRESHOLD = 0.9
 #: Vectors of a block: at least, at most, and the number of blocks aimed at between the two.
 BLOCK_MIN, BLOCK_MAX, BLOCKS = 4_096, 16_384, 32
+#: Bytes of a block's vectors at most (a single longer vector is a block): a tile holds two blocks and a few copies of them.
+BLOCK_BYTES = 64_000_000
 #: Vectors of a tile that are multiplied at a time.
 ROWS = 512
 #: More than rounding can add to a cosine in double precision.
@@ -122,12 +124,13 @@ def _rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec")).mapInArrow(run, "vec_id long, dim int, key binary, vec binary")
 
 
-def near_links(distinct: DataFrame, *, threshold: float = THRESHOLD, block_min: int = BLOCK_MIN) -> DataFrame:
+def near_links(distinct: DataFrame, *, threshold: float = THRESHOLD, block_min: int = BLOCK_MIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """distinct (key, dim, vec, rep, n) -> (u, v, links): for each tile in which rep u links, its links there and the tile's smallest connected rep v.
 
     The reps are different longs.
     """
-    size = F.least(F.lit(BLOCK_MAX), F.greatest(F.lit(block_min), F.floor(F.col("vectors") / BLOCKS)))
+    fitting = F.greatest(F.lit(1), F.floor(F.lit(block_bytes) / (8 * F.col("dim"))))
+    size = F.least(F.lit(BLOCK_MAX), fitting, F.greatest(F.lit(block_min), F.floor(F.col("vectors") / BLOCKS)))
     sizes = cut(distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("vectors")).select("dim", F.greatest(F.lit(1), F.ceil(F.col("vectors") / size)).cast("int").alias("parts")))
     if sizes.count() <= BROADCAST_DIMS:
         met = distinct.join(F.broadcast(sizes), "dim")
@@ -154,7 +157,7 @@ def near_links(distinct: DataFrame, *, threshold: float = THRESHOLD, block_min:
     return dealt.groupBy("dim", "a", "b").applyInPandas(compare, "u long, v long, links long")
 
 
-def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block_min: int = BLOCK_MIN) -> DataFrame:
+def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, block_min: int = BLOCK_MIN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     require(df, id_col, vec_col)
     ship(df.sparkSession)
@@ -163,7 +166,7 @@ def embedding_dedup(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
     distinct = solid.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"))
     # Vectors are compared by numbers of their own: ids may be null, and then link others all the same.
     distinct = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    tiles = cut(near_links(distinct, threshold=threshold, block_min=block_min))
+    tiles = cut(near_links(distinct, threshold=threshold, block_min=block_min, block_bytes=block_bytes))
     links = tiles.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "rep")
     groups = connected_components(tiles.select("u", "v")).withColumnRenamed("node", "rep")
     found = cut(distinct.select("key", "rep", "vec_id", "n").join(links, "rep", "left").join(groups, "rep", "left").withColumn("group", F.coalesce("component_id", "rep")).drop("component_id"))
